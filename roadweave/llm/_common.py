@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +54,20 @@ def text_slices(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
         yield start, values[start:]
 
 
-def hot_salt(df: DataFrame, key: str, parts: int, *extra: str):
-    """A salt made of the row's other columns, to deal a hot key's rows over ``parts`` tasks before they are aggregated."""
-    return F.pmod(F.xxhash64(*[F.col(c) for c in extra or df.columns if c != key]), F.lit(parts))
+#: Codepoint classes: everything else, letters (L*), numbers (N*), white space.
+OTHER, LETTER, NUMBER, SPACE = range(4)
+#: Unicode's White_Space.
+WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+
+
+@functools.lru_cache(maxsize=1)
+def codepoint_classes() -> np.ndarray:
+    """The class of every codepoint, from the Unicode general categories; built once a worker."""
+    first = {"L": LETTER, "N": NUMBER}
+    out = np.fromiter((first.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+    out[WHITE_SPACE] = SPACE
+    return out
+
+
+def codepoints(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import bpe, simhash
 from ._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,9 +18,15 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), replace=True)
+    return bpe.digests(bpe.decode(coded))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
+        "op3_byte_bpe": op3_byte_bpe,
     }
 
 
