@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
+from . import bpe, decontam, simhash
 from ._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,12 +23,20 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(coded))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.digest(decontam.contamination(docs, table(spark, sf_dir, "benchmark")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_byte_bpe": op3_byte_bpe,
+        "op5_decontamination": op5_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_decontamination": decontam.SQL,
+    }
