@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, simhash
-from ._common import table
+from . import bpe, decontam, langid, simhash
+from ._common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,11 +28,19 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contamination(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~held_out()))
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_byte_bpe": op3_byte_bpe,
         "op5_decontamination": op5_decontamination,
+        "op10_language_id": op10_language_id,
     }
 
 
