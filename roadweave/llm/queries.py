@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, simhash, suffixdedup, topk
+from . import bpe, decontam, langid, quality, simhash, suffixdedup, topk
 from ._common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,13 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    out = quality.score(docs, model)
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integers(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk.top_k(vectors.where("id % 50 = 0"), vectors)
@@ -51,6 +58,7 @@ def queries() -> dict[str, Query]:
         "op3_byte_bpe": op3_byte_bpe,
         "op5_decontamination": op5_decontamination,
         "op6_suffix_array_dedup": op6_suffix_array_dedup,
+        "op8_quality_classifier": op8_quality_classifier,
         "op9_exact_top_k": op9_exact_top_k,
         "op10_language_id": op10_language_id,
     }
