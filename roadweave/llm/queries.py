@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, quality, simhash, suffixdedup, topk
+from . import bpe, decontam, langid, paradedup, quality, simhash, suffixdedup, topk
 from ._common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(coded))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paradedup.duplicate_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.digest(decontam.contamination(docs, table(spark, sf_dir, "benchmark")))
@@ -56,6 +60,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_decontamination": op5_decontamination,
         "op6_suffix_array_dedup": op6_suffix_array_dedup,
         "op8_quality_classifier": op8_quality_classifier,
