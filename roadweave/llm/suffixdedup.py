@@ -32,6 +32,28 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return h | np.uint64(1)
 
 
+def _parts(data: np.ndarray, at: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Four 16-bit hashes of the bytes that all strings share whose anchor stands in one quarter of the places; 0 beyond the text.
+
+    Two units share a string only if they share one of the four, so this tells most units apart that share no more than
+    an anchor; a chance match costs a look only.
+    """
+    n, base = len(data), 0x9E3779B97F4A7C15
+    power = np.cumprod(np.concatenate(([1], np.full(n, base, np.uint64))).astype(np.uint64))
+    back = np.cumprod(np.concatenate(([1], np.full(n, pow(base, -1, 2**64), np.uint64))).astype(np.uint64))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1])))
+    out = np.zeros(len(at), np.uint64)
+    for q in range(4):
+        low, high = q * 69 // 4, (q + 1) * 69 // 4 - 1
+        x, y = at - low, at - high + LENGTH
+        fits = (x >= start) & (y <= stop)
+        x, y = np.where(fits, x, 0), np.where(fits, y, 0)
+        h = (total[y] - total[x]) * back[x]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        out |= np.where(fits, np.maximum(h >> np.uint64(48), np.uint64(1)), np.uint64(0)) << np.uint64(16 * q)
+    return out
+
+
 def _sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     size = 1
     while size * 2 <= width:
@@ -81,44 +103,86 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 right = np.minimum(stop[doc], at + LENGTH)
                 unit = np.fromiter((xxhash.xxh3_64_intdigest(whole[x:y]) for x, y in zip(left.tolist(), right.tolist(), strict=True)), np.uint64, len(at))
                 place = (at - start[doc]) * 128 + (right - at)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(unit.view(np.int64)), pa.array(ids[first + doc]), pa.array(place)], names=["anchor", "unit", "doc", "place"])
+                parts = _parts(data[a:b], at - a, np.maximum(start[doc] - a, 0), np.minimum(stop[doc], b) - a)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), unit.view(np.int64), ids[first + doc], place, parts.view(np.int64))], names=["anchor", "unit", "doc", "place", "parts"])
+
 
+def _sharing(group: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Which units share one of their four parts with another unit of their anchor."""
+    out = np.zeros(len(group), bool)
+    for q in range(4):
+        part = parts.view(np.uint64) >> np.uint64(16 * q) & np.uint64(0xFFFF)
+        some = np.flatnonzero(part)
+        _, which, times = np.unique(group[some].astype(np.uint64) << np.uint64(16) | part[some], return_inverse=True, return_counts=True)
+        out[some[times[which] > 1]] = True
+    return out
 
-def _spans_and_requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _spans_and_requests(hot_units: int):
     """From rows sorted by anchor, unit, doc, place: units that repeat an earlier one whole, as spans without anchor; and
-    the first of each unit, with the anchor, if its anchor has other units too."""
-    prev: np.ndarray | None = None  # the last unit's first row
-    pending = False  # that row is its anchor's first unit and not given out yet
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)], axis=1)
-        held = prev is not None
-        if held:
-            rows = np.concatenate([prev[None, :], rows])
-        new_anchor = np.append(True, rows[1:, 0] != rows[:-1, 0])
-        new_unit = new_anchor | np.append(True, rows[1:, 1] != rows[:-1, 1])
-        firsts = np.flatnonzero(new_unit)
-        rep = rows[firsts[np.cumsum(new_unit) - 1]]
-        start, of_rep = (np.maximum(0, (r[:, 3] >> 7) - (LENGTH - GRAM)) for r in (rows, rep))
-        again = ~new_unit & ((rows[:, 2] != rep[:, 2]) | (start != of_rep))
-        # The held row counts as its anchor's first unit only if it still waits.
-        opens = new_anchor[firsts].copy()
-        if held:
-            opens[0] = pending
-        follows = np.append(~new_anchor[firsts][1:], False)
-        ask = np.where(opens, follows, True)
-        if held and not pending:
-            ask[0] = False
-        prev, pending = rows[firsts[-1]], bool(opens[-1] and not ask[-1])
-        if not opens[-1] and held and len(firsts) == 1:
-            pending = False
-        out = np.concatenate([rows[again], rows[firsts[ask]]])
-        if not len(out):
-            continue
-        at, right = out[:, 3] >> 7, out[:, 3] & 127  # a unit may start where its document does, with several anchors
-        whole = np.arange(len(out)) < again.sum()
-        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0], mask=whole), pa.array(out[:, 2]), pa.array(np.maximum(0, at - (LENGTH - GRAM))), pa.array(at + right)], names=["anchor", "doc", "start", "stop"])
+    the first of each unit, with the anchor, if it may share a string with another unit of its anchor.
+
+    Of the anchor at a batch's end the units' first rows are held until it ends; beyond ``hot_units`` they go out as they
+    come, and untold apart.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: np.ndarray = np.empty((0, 5), np.int64)
+        hot: int | None = None  # the anchor whose units go out as they come
+
+        def out(rows: np.ndarray, asked: bool) -> pa.RecordBatch:
+            at, right = rows[:, 3] >> 7, rows[:, 3] & 127
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0], mask=np.full(len(rows), not asked)), pa.array(rows[:, 2]), pa.array(np.maximum(0, at - (LENGTH - GRAM))), pa.array(at + right)], names=["anchor", "doc", "start", "stop"])
+
+        def closed(firsts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """First rows of units whose anchors are over."""
+            if len(firsts) < 2:
+                return
+            group = np.cumsum(np.append(False, firsts[1:, 0] != firsts[:-1, 0]))
+            several = np.bincount(group)[group] > 1
+            firsts, group = firsts[several], group[several]
+            asked = firsts[_sharing(group, np.ascontiguousarray(firsts[:, 4]))]
+            if len(asked):
+                yield out(asked, True)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)], axis=1)
+            n = len(held)
+            rows = np.concatenate([held, rows])
+            new_anchor = np.append(True, rows[1:, 0] != rows[:-1, 0])
+            new_unit = new_anchor | np.append(True, rows[1:, 1] != rows[:-1, 1])
+            firsts = np.flatnonzero(new_unit)
+            rep = rows[firsts[np.cumsum(new_unit) - 1]]
+            # A unit may start where its document does, with several anchors: that is one unit, not a repeat.
+            start, of_rep = (np.maximum(0, (r[:, 3] >> 7) - (LENGTH - GRAM)) for r in (rows, rep))
+            again = ~new_unit & ((rows[:, 2] != rep[:, 2]) | (start != of_rep))
+            again[:n] = False
+            if again.any():
+                yield out(rows[again], False)
+            last = rows[-1, 0]
+            if hot is not None and n:
+                # Of a hot anchor only the last unit's first row was held, to know its repeats; it is out already.
+                mine = firsts[(firsts >= n) & (rows[firsts, 0] == hot)]
+                if len(mine):
+                    yield out(rows[mine], True)
+                firsts = firsts[rows[firsts, 0] != hot] if last != hot else firsts[-1:]
+            if hot is not None and last == hot:
+                held = rows[firsts]
+                continue
+            hot = None
+            first_rows = rows[firsts]
+            over = first_rows[:, 0] != last
+            yield from closed(first_rows[over])
+            held = first_rows[~over]
+            if len(held) > hot_units:
+                yield out(held, True)
+                hot, held = int(last), held[-1:]
+        if hot is None:
+            yield from closed(held)
+
+    return run
 
 
 def _cut_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,9 +290,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = df.sparkSession
     bounded_batches(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text")).where("doc IS NOT NULL")
-    rows = docs.mapInArrow(_anchor_rows, "anchor long, unit long, doc long, place long")
-    sorted_rows = rows.repartition("anchor").sortWithinPartitions("anchor", "unit", "doc", "place")
-    found = checkpointed(sorted_rows.mapInArrow(_spans_and_requests, "anchor long, doc long, start long, stop long"))
+    rows = docs.mapInArrow(_anchor_rows, "anchor long, unit long, doc long, place long, parts long")
+    sorted_rows = rows.repartition("anchor").sortWithinPartitions("anchor", "unit", "doc", "place").select("anchor", "unit", "doc", "place", "parts")
+    found = checkpointed(sorted_rows.mapInArrow(_spans_and_requests(hot_units), "anchor long, doc long, start long, stop long"))
     spans = found.where("anchor IS NULL").select("doc", "start", "stop")
     asked = found.where("anchor IS NOT NULL")
     hot = checkpointed(asked.groupBy("anchor").count().where(F.col("count") > hot_units).select("anchor"))

@@ -82,10 +82,10 @@ def test_batches_split_anywhere():
     import pyarrow as pa
 
     rng = random.Random(5)
-    rows = sorted((rng.randrange(12), rng.randrange(3), rng.randrange(30), rng.randrange(4) * 128 + 100) for _ in range(300))
-    cols = lambda part: pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.int64()) for i in range(4)], names=list("abcd"))
-    run = lambda size: sorted(str(x) for b in suffixdedup._spans_and_requests(cols(rows[i : i + size]) for i in range(0, len(rows), size)) for x in b.to_pylist())
-    assert run(1) == run(7) == run(300)
+    rows = sorted((rng.randrange(12), rng.randrange(3), rng.randrange(30), rng.randrange(4) * 128 + 100, 7) for _ in range(300))
+    cols = lambda part: pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.int64()) for i in range(5)], names=list("abcde"))
+    run = lambda size, hot: sorted(str(x) for b in suffixdedup._spans_and_requests(hot)(cols(rows[i : i + size]) for i in range(0, len(rows), size)) for x in b.to_pylist())
+    assert run(1, 99) == run(7, 99) == run(300, 99) == run(1, 1) == run(2, 1) == run(7, 2)
 
 
 def test_repeated_rows_null_ids_and_empty(spark):
