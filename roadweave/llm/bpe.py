@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import itertools
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,6 +89,35 @@ def boundaries(cp: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out.T.ravel()[:n]
 
 
+#: Bytes up to which a piece is merged by scanning its list of pairs.
+SHORT, NONE = 48, 1 << 40
+
+
+def _pairs(ranks: dict[bytes, int]) -> dict[int, int]:
+    """The rank of each two tokens that make a third, by left rank << 32 | right rank."""
+    out = {}
+    for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            a, b = ranks.get(token[:i]), ranks.get(token[i:])
+            if a is not None and b is not None:
+                out[a << 32 | b] = rank
+    return out
+
+
+def _merge_short(part: list[int], get) -> list[int]:
+    """The same merges over ranks, as a merged pair's rank is its token."""
+    pair = [get(a << 32 | b, NONE) for a, b in itertools.pairwise(part)]
+    while pair and (least := min(pair)) < NONE:
+        i = pair.index(least)
+        part[i] = least
+        del part[i + 1], pair[i]
+        if i:
+            pair[i - 1] = get(part[i - 1] << 32 | least, NONE)
+        if i < len(pair):
+            pair[i] = get(least << 32 | part[i + 1], NONE)
+    return part
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Merges the lowest-ranked adjacent pair, leftmost first, until none is left; a heap keeps long pieces n log n."""
     if (whole := ranks.get(piece)) is not None:
@@ -113,7 +144,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Codec:
-    """Ranks, the merges seen so far (bounded), and the tokens' bytes in one array."""
+    """Ranks, the merges seen of late (two generations of bounded size), and the tokens' bytes in one array."""
 
     CACHE, LONGEST = 100_000, 64
 
@@ -124,16 +155,25 @@ class Codec:
         self.size = np.array([len(t) for t in self.tokens], np.int64)
         self.start = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
+        self.single = [self.ranks[bytes([c])] for c in range(256)]
+        self.pairs = _pairs(self.ranks)
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def ids(self, piece: bytes) -> bytes:
-        found = self.cache.get(piece)
+        found = self.cache.get(piece) or self.older.get(piece)
         if found is None:
-            found = np.array(merge(piece, self.ranks), "<u4").tobytes()
-            if len(piece) <= self.LONGEST:
-                if len(self.cache) >= self.CACHE:
-                    self.cache.clear()
-                self.cache[piece] = found
+            if (whole := self.ranks.get(piece)) is not None:
+                ids = [whole]
+            elif len(piece) <= SHORT:
+                ids = _merge_short([self.single[c] for c in piece], self.pairs.get)
+            else:
+                ids = merge(piece, self.ranks)
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= self.LONGEST:
+            if len(self.cache) >= self.CACHE:
+                self.older, self.cache = self.cache, {}
+            self.cache[piece] = found
         return found
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -147,8 +187,10 @@ class Codec:
         first = np.flatnonzero(boundaries(cp, end))
         starts = np.concatenate(([0], at))[first]
         pieces = [joined[a:b] for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(joined)], strict=True)]
-        get, ids = self.cache.get, self.ids
-        coded = [get(p) or ids(p) for p in pieces]
+        coded: list[bytes] = []
+        for i in range(0, len(pieces), self.CACHE):
+            get, ids = self.cache.get, self.ids  # a generation may end, but what this one has stays right
+            coded += [get(p) or ids(p) for p in pieces[i : i + self.CACHE]]
         cuts = np.searchsorted(starts, stops - 1).tolist()
         return [b"".join(coded[a:b]) for a, b in zip([0, *(c + 1 for c in cuts[:-1])], cuts, strict=True)]
 
