@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, paradedup, quality, simhash, suffixdedup, topk
+from . import bpe, decontam, langid, licenses, paradedup, quality, simhash, suffixdedup, topk
 from ._common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -58,6 +62,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_license_scan": op1_license_scan,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_substring_dedup": op4_substring_dedup,
@@ -71,6 +76,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_license_scan": licenses.sql(),
         "op5_decontamination": decontam.SQL,
         "op9_exact_top_k": topk.SQL,
     }
