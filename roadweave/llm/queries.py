@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, licenses, paradedup, quality, simhash, suffixdedup, topk
+from . import bpe, decontam, langid, licenses, paradedup, quality, secrets, simhash, suffixdedup, topk
 from ._common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels").where(~held_out()))
@@ -68,6 +72,7 @@ def queries() -> dict[str, Query]:
         "op4_substring_dedup": op4_substring_dedup,
         "op5_decontamination": op5_decontamination,
         "op6_suffix_array_dedup": op6_suffix_array_dedup,
+        "op7_secret_scan": op7_secret_scan,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_exact_top_k": op9_exact_top_k,
         "op10_language_id": op10_language_id,
