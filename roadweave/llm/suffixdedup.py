@@ -17,6 +17,8 @@ from .suffix_array import permuted_prefixes, suffix_array
 LENGTH, GRAM = 100, 32
 #: Bytes of one suffix array, and units of one anchor beyond which its strings are compared by their hashes instead.
 SHARD_BYTES, HOT_UNITS = 1 << 20, 20_000
+#: First rows of units that are held to be told apart; beyond, an anchor's units go out untold.
+HELD_UNITS = 400_000
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -32,25 +34,30 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return h | np.uint64(1)
 
 
-def _parts(data: np.ndarray, at: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Four 16-bit hashes of the bytes that all strings share whose anchor stands in one quarter of the places; 0 beyond the text.
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
-    Two units share a string only if they share one of the four, so this tells most units apart that share no more than
+
+def _parts(data: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Three 21-bit hashes of the bytes that all strings share whose anchor stands in one third of the places; 0 for a third without strings.
+
+    Two units share a string only if they share one of the three, so this tells most units apart that share no more than
     an anchor; a chance match costs a look only.
     """
     n, base = len(data), 0x9E3779B97F4A7C15
-    power = np.cumprod(np.concatenate(([1], np.full(n, base, np.uint64))).astype(np.uint64))
-    back = np.cumprod(np.concatenate(([1], np.full(n, pow(base, -1, 2**64), np.uint64))).astype(np.uint64))
+    power = _powers(base, n)
+    back = _powers(pow(base, -1, 2**64), n)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1])))
     out = np.zeros(len(at), np.uint64)
-    for q in range(4):
-        low, high = q * 69 // 4, (q + 1) * 69 // 4 - 1
-        x, y = at - low, at - high + LENGTH
-        fits = (x >= start) & (y <= stop)
-        x, y = np.where(fits, x, 0), np.where(fits, y, 0)
+    for q in range(3):
+        low, high = q * 23, q * 23 + 22
+        some = (at - last <= high) & (at - first >= low)
+        x, y = np.where(some, at - low, 0), np.where(some, at - high + LENGTH, 0)
         h = (total[y] - total[x]) * back[x]
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-        out |= np.where(fits, np.maximum(h >> np.uint64(48), np.uint64(1)), np.uint64(0)) << np.uint64(16 * q)
+        out |= np.where(some, np.maximum(h >> np.uint64(43), np.uint64(1)), np.uint64(0)) << np.uint64(21 * q)
     return out
 
 
@@ -62,22 +69,50 @@ def _sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
-def anchors(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the grams that are the smallest of some ``valid`` string of 100 bytes (ties: all of them).
+def anchors(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Position and hash of anchors, first and last start of the strings that are theirs.
 
-    Equal strings have equal anchors at equal places, so their units, all that a string with that anchor can span, meet.
+    A ``valid`` string's anchor is its leftmost gram of smallest hash. Equal strings have equal anchors at equal places, so
+    they meet under them; each string has one anchor only, so no string is looked at twice.
     """
+    none = np.empty(0, np.int64)
     if len(data) < LENGTH:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return none, none.view(np.uint64), none, none
     h, width = _grams(data), LENGTH - GRAM + 1
     least = np.where(valid[: len(h) - width + 1], _sliding(h, width, np.minimum), np.uint64(0))
+    # Neighbouring strings with one anchor are a run of one value.
+    first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    last = np.append(first[1:], len(least)) - 1
+    some = least[first] > 0
+    first, last = first[some], last[some]
     pad = np.zeros(width - 1, np.uint64)
-    at = np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), width, np.maximum) == h)
-    return at, h[at]
+    grams = np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), width, np.maximum) == h)
+    if not len(first):
+        return none, none.view(np.uint64), none, none
+
+    def leftmost(start: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(grams, start)
+        wrong = np.arange(len(k))
+        while len(wrong := wrong[h[grams[k[wrong]]] != least[start[wrong]]]):
+            k[wrong] += 1
+        return grams[k]
+
+    at = leftmost(first)
+    # A gram that stands again before the run ends parts it: those runs are taken a string at a time.
+    split = last > at
+    if split.any():
+        starts = np.concatenate([np.arange(x, y + 1) for x, y in zip(first[split].tolist(), last[split].tolist(), strict=True)])
+        at = np.concatenate([at[~split], leftmost(starts)])
+        first, last = np.concatenate([first[~split], starts]), np.concatenate([last[~split], starts])
+        order = np.lexsort((first, at))
+        at, first, last = at[order], first[order], last[order]
+        new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        at, first, last = at[new], first[new], last[np.append(new[1:], len(at)) - 1]
+    return at, h[at], first, last
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """anchor, unit (a hash of its bytes), doc, place: the anchor's position, and bytes of the unit from there on, as one long."""
+    """anchor, unit (a hash of the bytes that its strings span), doc, place (where that starts, times 256, and its size), parts."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for first, texts in text_slices(batch.column(1)):
@@ -94,35 +129,33 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # A text beyond a chunk is taken in pieces that overlap by a string less a byte, so each string is in one of them.
             for a in range(0, len(data), CHUNK_BYTES):
                 b = min(len(data), a + CHUNK_BYTES + LENGTH - 1)
-                at, h = anchors(data[a:b], valid[a:b])
+                at, h, lo, hi = anchors(data[a:b], valid[a:b])
                 if not len(at):
                     continue
-                at += a
-                doc = np.searchsorted(stop, at, "right")
-                left = np.maximum(start[doc], at - (LENGTH - GRAM))
-                right = np.minimum(stop[doc], at + LENGTH)
-                unit = np.fromiter((xxhash.xxh3_64_intdigest(whole[x:y]) for x, y in zip(left.tolist(), right.tolist(), strict=True)), np.uint64, len(at))
-                place = (at - start[doc]) * 128 + (right - at)
-                parts = _parts(data[a:b], at - a, np.maximum(start[doc] - a, 0), np.minimum(stop[doc], b) - a)
+                doc = np.searchsorted(stop, at + a, "right")
+                parts = _parts(data[a:b], at, lo, hi)
+                size = hi - lo + LENGTH
+                unit = np.fromiter((xxhash.xxh3_64_intdigest(whole[x : x + n]) for x, n in zip((lo + a).tolist(), size.tolist(), strict=True)), np.uint64, len(at))
+                place = (lo + a - start[doc]) * 256 + size
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), unit.view(np.int64), ids[first + doc], place, parts.view(np.int64))], names=["anchor", "unit", "doc", "place", "parts"])
 
 
 def _sharing(group: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    """Which units share one of their four parts with another unit of their anchor."""
+    """Which units share one of their three parts with another unit of their anchor."""
     out = np.zeros(len(group), bool)
-    for q in range(4):
-        part = parts.view(np.uint64) >> np.uint64(16 * q) & np.uint64(0xFFFF)
+    for q in range(3):
+        part = parts.view(np.uint64) >> np.uint64(21 * q) & np.uint64(0x1FFFFF)
         some = np.flatnonzero(part)
-        _, which, times = np.unique(group[some].astype(np.uint64) << np.uint64(16) | part[some], return_inverse=True, return_counts=True)
+        _, which, times = np.unique(group[some].astype(np.uint64) << np.uint64(21) | part[some], return_inverse=True, return_counts=True)
         out[some[times[which] > 1]] = True
     return out
 
 
-def _spans_and_requests(hot_units: int):
+def _spans_and_requests(most: int):
     """From rows sorted by anchor, unit, doc, place: units that repeat an earlier one whole, as spans without anchor; and
     the first of each unit, with the anchor, if it may share a string with another unit of its anchor.
 
-    Of the anchor at a batch's end the units' first rows are held until it ends; beyond ``hot_units`` they go out as they
+    Of the anchor at a batch's end the units' first rows are held until it ends; beyond ``most`` they go out as they
     come, and untold apart.
     """
 
@@ -131,8 +164,8 @@ def _spans_and_requests(hot_units: int):
         hot: int | None = None  # the anchor whose units go out as they come
 
         def out(rows: np.ndarray, asked: bool) -> pa.RecordBatch:
-            at, right = rows[:, 3] >> 7, rows[:, 3] & 127
-            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0], mask=np.full(len(rows), not asked)), pa.array(rows[:, 2]), pa.array(np.maximum(0, at - (LENGTH - GRAM))), pa.array(at + right)], names=["anchor", "doc", "start", "stop"])
+            at, size = rows[:, 3] >> 8, rows[:, 3] & 255
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0], mask=np.full(len(rows), not asked)), pa.array(rows[:, 2]), pa.array(at), pa.array(at + size)], names=["anchor", "doc", "start", "stop"])
 
         def closed(firsts: np.ndarray) -> Iterator[pa.RecordBatch]:
             """First rows of units whose anchors are over."""
@@ -155,9 +188,8 @@ def _spans_and_requests(hot_units: int):
             new_unit = new_anchor | np.append(True, rows[1:, 1] != rows[:-1, 1])
             firsts = np.flatnonzero(new_unit)
             rep = rows[firsts[np.cumsum(new_unit) - 1]]
-            # A unit may start where its document does, with several anchors: that is one unit, not a repeat.
-            start, of_rep = (np.maximum(0, (r[:, 3] >> 7) - (LENGTH - GRAM)) for r in (rows, rep))
-            again = ~new_unit & ((rows[:, 2] != rep[:, 2]) | (start != of_rep))
+            # A row of the same place is the same unit, of a repeated row; not a repeat.
+            again = ~new_unit & ((rows[:, 2] != rep[:, 2]) | (rows[:, 3] != rep[:, 3]))
             again[:n] = False
             if again.any():
                 yield out(rows[again], False)
@@ -176,7 +208,7 @@ def _spans_and_requests(hot_units: int):
             over = first_rows[:, 0] != last
             yield from closed(first_rows[over])
             held = first_rows[~over]
-            if len(held) > hot_units:
+            if len(held) > most:
                 yield out(held, True)
                 hot, held = int(last), held[-1:]
         if hot is None:
@@ -283,7 +315,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     back as often; an empty table gives none; other columns play no part.
 
     Only anchors (about one position in 35) are shuffled, never all positions. All copies of a string meet under its
-    anchor; a unit whose bytes all stand earlier is removed whole, and what is left, first copies that share an anchor
+    anchor; a unit, the run of strings that one anchor has, whose bytes all stand earlier is removed whole, and what is left, first copies that share an anchor
     but not all bytes, goes to suffix arrays of about SHARD_BYTES. An anchor with more than ``hot_units`` such units
     has its strings dealt by 128-bit hashes, aggregated before the shuffle, instead of one shard. Texts are shuffled once.
     """
@@ -292,7 +324,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text")).where("doc IS NOT NULL")
     rows = docs.mapInArrow(_anchor_rows, "anchor long, unit long, doc long, place long, parts long")
     sorted_rows = rows.repartition("anchor").sortWithinPartitions("anchor", "unit", "doc", "place").select("anchor", "unit", "doc", "place", "parts")
-    found = checkpointed(sorted_rows.mapInArrow(_spans_and_requests(hot_units), "anchor long, doc long, start long, stop long"))
+    found = checkpointed(sorted_rows.mapInArrow(_spans_and_requests(max(hot_units, HELD_UNITS)), "anchor long, doc long, start long, stop long"))
     spans = found.where("anchor IS NULL").select("doc", "start", "stop")
     asked = found.where("anchor IS NOT NULL")
     hot = checkpointed(asked.groupBy("anchor").count().where(F.col("count") > hot_units).select("anchor"))

@@ -51,6 +51,23 @@ def test_suffix_array_and_prefixes(small, monkeypatch):
             assert prefix[b] == n
 
 
+def test_anchors_and_parts():
+    """Each string has one anchor, its leftmost smallest gram; equal bytes have equal parts, others differ."""
+    rng = random.Random(8)
+    for text in ("a" * 400, "ab" * 200, "".join(rng.choice("abc ") for _ in range(3000)), ("x" * 150 + "some other words, and more of them; " * 3) * 4):
+        data = np.frombuffer(text.encode(), np.uint8)
+        at, _, lo, hi = suffixdedup.anchors(data, np.arange(len(data)) < len(data) - 99)
+        grams = suffixdedup._grams(data)
+        assert sorted(p for x, y in zip(lo, hi) for p in range(x, y + 1)) == list(range(len(data) - 99))
+        assert all(p + int(grams[p : p + 69].argmin()) == i for i, x, y in zip(at, lo, hi) for p in range(x, y + 1))
+        moved = suffixdedup._parts(np.concatenate([np.frombuffer(b"zz" * 77, np.uint8), data]), at + 154, lo + 154, hi + 154)
+        assert (moved == suffixdedup._parts(data, at, lo, hi)).all()
+    data = np.frombuffer(bytes(rng.randrange(256) for _ in range(20_000)), np.uint8)
+    at, _, lo, hi = suffixdedup.anchors(data, np.arange(len(data)) < len(data) - 99)
+    parts = suffixdedup._parts(data, at, lo, hi)
+    assert suffixdedup._sharing(np.zeros(len(parts), np.int64), parts).mean() < 0.01
+
+
 def test_query_matches_brute_force(spark):
     docs = dict(duckdb.connect().execute(f"select doc_id, text from '{SF}/documents.parquet'").fetchall())
     got = {r.doc_id: tuple(r)[1:] for r in op6_suffix_array_dedup(spark, SF).collect()}
@@ -82,7 +99,7 @@ def test_batches_split_anywhere():
     import pyarrow as pa
 
     rng = random.Random(5)
-    rows = sorted((rng.randrange(12), rng.randrange(3), rng.randrange(30), rng.randrange(4) * 128 + 100, 7) for _ in range(300))
+    rows = sorted((rng.randrange(12), rng.randrange(3), rng.randrange(30), rng.randrange(4) * 256 + 120, 7) for _ in range(300))
     cols = lambda part: pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.int64()) for i in range(5)], names=list("abcde"))
     run = lambda size, hot: sorted(str(x) for b in suffixdedup._spans_and_requests(hot)(cols(rows[i : i + size]) for i in range(0, len(rows), size)) for x in b.to_pylist())
     assert run(1, 99) == run(7, 99) == run(300, 99) == run(1, 1) == run(2, 1) == run(7, 2)
