@@ -48,7 +48,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (unsigned 32-bit little-endian), and digests of the ids and of what they decode to."""
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), replace=True))
+    coded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"))
     return coded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -23,8 +23,7 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), replace=True)
-    return bpe.digests(bpe.decode(coded))
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,4 +68,5 @@ def test_nulls_repeats_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, None, 5), (None, "", 5), (2, "a b", 5), (2, "a b", 5)], "doc_id long, text string, ids int")
     out = bpe.decode(bpe.encode(df)).collect()
     assert sorted((r.doc_id or 0, r.n_tokens, bytes(r.decoded)) for r in out) == [(0, 0, b""), (1, 0, b""), (2, 2, b"a b"), (2, 2, b"a b")]
+    assert sorted((r.doc_id or 0, r.n_tokens, bytes(r.ids), bytes(r.decoded)) for r in bpe.round_trip(df).collect()) == sorted((r.doc_id or 0, r.n_tokens, bytes(r.ids), bytes(r.decoded)) for r in out)
     assert bpe.encode(df.where(F.lit(False))).count() == 0
