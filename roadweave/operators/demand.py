@@ -143,3 +143,48 @@ def inverse_distance_od(points: DataFrame, total: float, power: float = 2.0, lea
 def half_even(c: Column) -> Column:
     """Whole numbers, halves to even."""
     return F.rint(c).cast("long")
+
+
+def commuter_od(blocks: DataFrame, lookup: DataFrame) -> DataFrame:
+    """origin, destination (counties), jobs: home and work blocks looked up, summed, positive rows only.
+
+    A block that the lookup lists twice would count its jobs twice, so that raises an error.
+    """
+    repeated = lookup.groupBy("block").count().where("count > 1").limit(1)
+    if not repeated.isEmpty():
+        raise ValueError("the lookup lists a block twice")
+    home = lookup.select(F.col("block").alias("home"), F.col("county").alias("origin"))
+    work = lookup.select(F.col("block").alias("work"), F.col("county").alias("destination"))
+    return blocks.join(home, "home").join(work, "work").groupBy(*PAIR).agg(F.sum("jobs").alias("jobs")).where("jobs > 0")
+
+
+def to_nodes(od: DataFrame, mapping: DataFrame, measures: list[str]) -> DataFrame:
+    """Zones of both ends replaced by their nodes (zone, node) and summed; pairs with an end without node are left out."""
+    m = mapping.select("zone", "node").where("node IS NOT NULL")
+    o, d = m.select(F.col("zone").alias("origin"), F.col("node").alias("o")), m.select(F.col("zone").alias("destination"), F.col("node").alias("d"))
+    return od.join(o, "origin").join(d, "destination").groupBy(F.col("o").alias("origin"), F.col("d").alias("destination")).agg(*[F.sum(x).alias(x) for x in measures])
+
+
+def preserved(before: DataFrame, after: DataFrame, key: str, measure: str, tolerance: float = 1e-6) -> DataFrame:
+    """key, before, after, ok: totals on both sides of a step, 0 where one lacks."""
+    a, b = (df.groupBy(key).agg(F.sum(measure).alias(n)) for df, n in ((before, "before"), (after, "after")))
+    out = a.join(b, key, "outer").fillna(0.0, ["before", "after"])
+    return out.withColumn("ok", F.abs(F.col("before") - F.col("after")) <= tolerance * F.greatest(F.abs("before"), F.lit(1.0)))
+
+
+def balance(df: DataFrame, keys: list[str], measure: str, targets: DataFrame) -> DataFrame:
+    """The measure scaled so that each key's sum is its target (keys, target); keys without one, or with a sum of 0, stay."""
+    sums = df.groupBy(*keys).agg(F.sum(measure).alias("__sum")).join(targets.select(*keys, "target"), keys, "left")
+    ratio = F.when((F.col("__sum") > 0) & F.col("target").isNotNull(), F.col("target") / F.col("__sum")).otherwise(F.lit(1.0))
+    return df.join(sums, keys).withColumn(measure, F.col(measure) * ratio).drop("__sum", "target")
+
+
+def fill_trips(df: DataFrame, daily: str, annual: str, days: float = 365.0) -> DataFrame:
+    """Daily and annual trips from each other where one is not positive."""
+    d, a = F.col(daily), F.col(annual)
+    return df.withColumns({daily: F.when(F.coalesce(d, F.lit(0.0)) > 0, d).otherwise(a / days), annual: F.when(F.coalesce(a, F.lit(0.0)) > 0, a).otherwise(d * days)})
+
+
+def sample(df: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
+    """n rows by a seeded hash of their keys: a sampling operator."""
+    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)

@@ -71,3 +71,14 @@ def disrupted(candidates: DataFrame, capacity: DataFrame) -> DataFrame:
     least = per_hit.groupBy("event", "od_id").agg(F.first("flow").alias("flow"), F.min("capacity").alias("least"))
     out = F.greatest(F.col("flow") - F.coalesce("least", F.lit(0.0)), F.lit(0.0))
     return least.select("event", "od_id", out.alias("disrupted")).where("disrupted > 0")
+
+
+def path_index(paths: DataFrame) -> DataFrame:
+    """A path written once: path_id (a hash of its links), path, and the number of trips on it."""
+    return paths.groupBy(F.xxhash64("path").alias("path_id"), "path").agg(F.count("*").alias("n"), F.sum("flow").alias("flow"))
+
+
+def index_candidates(index: DataFrame, damaged: DataFrame) -> DataFrame:
+    """event, path_id, hits: paths of the index that hold an event's damaged links, with how many distinct ones."""
+    links = index.select("path_id", F.explode(F.array_distinct("path")).alias("e_id"))
+    return links.join(damaged, "e_id").groupBy("event", "path_id").agg(F.count("*").alias("hits"))

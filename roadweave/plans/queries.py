@@ -420,6 +420,62 @@ def line_grid(s, d):
     return spatial.intersect_grid(lines, cells, -125.0, 20.0, 1.0, 1.0).withColumn("length", r("length", 6))
 
 
+@query("path_index", "WITH p AS (SELECT od_id, any_value(flow) AS flow, string_agg(e_id, ',' ORDER BY pos) AS path FROM st GROUP BY 1) SELECT path, count(*) AS n, round(sum(flow), 6) AS flow FROM p GROUP BY 1", "st")
+def path_index(s, d):
+    return inc.path_index(T.od_paths(s, d)).select(F.array_join("path", ",").alias("path"), "n", r("flow", 6).alias("flow"))
+
+
+@query("path_index_candidates", f"{DMG}, p AS (SELECT od_id, string_agg(e_id, ',' ORDER BY pos) AS path FROM st GROUP BY 1), u AS (SELECT DISTINCT path, e_id FROM p JOIN pe USING (od_id)) SELECT event, path, count(*) AS hits FROM u JOIN dm USING (e_id) GROUP BY 1, 2", "st lk")
+def path_index_candidates(s, d):
+    index = inc.path_index(T.od_paths(s, d))
+    return inc.index_candidates(index, _damaged(s, d)).join(index, "path_id").select("event", F.array_join("path", ",").alias("path"), "hits")
+
+
+@query("disrupted_edge_flow", f"{DMG}, c AS (SELECT event, od_id, greatest(any_value(flow) - min(capacity) / 1000, 0) AS f FROM st JOIN dm USING (e_id) JOIN lk USING (e_id) GROUP BY 1, 2) SELECT event, e_id, round(sum(f), 4) AS edge_flow FROM c JOIN pe USING (od_id) WHERE f > 0 GROUP BY 1, 2", "st lk")
+def disrupted_edge_flow(s, d):
+    paths = T.od_paths(s, d)
+    cap = T.links(s, d).select("e_id", (F.col("capacity") / 1000).alias("capacity"))
+    lost = inc.disrupted(inc.event_candidates(paths, _damaged(s, d)), cap)
+    return lost.join(paths.select("od_id", "path"), "od_id").select("event", "disrupted", F.explode("path").alias("e_id")).groupBy("event", "e_id").agg(r(F.sum("disrupted")).alias("edge_flow"))
+
+
+@query("commuter_county", "SELECT sn.n_regionkey AS origin, cn.n_regionkey AS destination, count(*)::BIGINT AS jobs FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey GROUP BY 1, 2")
+def commuter_county(s, d):
+    lookup = s.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("n"), "n_nationkey").alias("block"), F.col("n_regionkey").alias("county"))
+    line = s.read.parquet(f"{d}/lineitem.parquet").join(s.read.parquet(f"{d}/orders.parquet"), F.col("l_orderkey") == F.col("o_orderkey"))
+    line = line.join(s.read.parquet(f"{d}/customer.parquet"), F.col("o_custkey") == F.col("c_custkey")).join(s.read.parquet(f"{d}/supplier.parquet"), F.col("l_suppkey") == F.col("s_suppkey"))
+    blocks = line.groupBy(F.concat(F.lit("n"), "s_nationkey").alias("home"), F.concat(F.lit("n"), "c_nationkey").alias("work")).agg(F.count("*").alias("jobs"))
+    return demand.commuter_od(blocks, lookup)
+
+
+@query("centroid_od", "SELECT concat('c', substr(origin, 2)::INTEGER % 7) AS origin, concat('c', substr(destination, 2)::INTEGER % 7) AS destination, round(sum(flow), 4) AS flow FROM nod WHERE substr(origin, 2)::INTEGER < 20 AND substr(destination, 2)::INTEGER < 20 GROUP BY 1, 2", "nod")
+def centroid_od(s, d):
+    k = F.col("n_nationkey")
+    mapping = s.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("n"), k).alias("zone"), F.when(k < 20, F.concat(F.lit("c"), k % 7)).alias("node"))
+    return demand.to_nodes(T.nation_od(s, d), mapping, ["flow"]).withColumn("flow", r("flow"))
+
+
+@query("tonnage_preservation", "SELECT year, round(sum(tons), 3) AS before, round(sum(tons), 3) AS after, true AS ok FROM zf GROUP BY 1", "zf")
+def tonnage_preservation(s, d):
+    flows = T.zone_flows(s, d)
+    after = demand.disaggregate(flows.select("origin_zone", "destination_zone", "year", "tons"), T.nation_factors(s, d, "supplier"), T.nation_factors(s, d, "customer"), ["tons"])
+    return demand.preserved(flows, after, "year", "tons").withColumns({"before": r("before", 3), "after": r("after", 3)})
+
+
+@query("balance_totals", "SELECT origin, destination, kind, round(flow * 1000 / sum(flow) OVER (PARTITION BY kind), 5) AS flow FROM nod", "nod")
+def balance_totals(s, d):
+    targets = s.createDataFrame([("freight", 1000.0), ("passenger", 1000.0)], "kind string, target double")
+    return demand.balance(T.nation_od(s, d), ["kind"], "flow", targets).select("origin", "destination", "kind", r("flow", 5).alias("flow"))
+
+
+@query("damage_consolidated", "SELECT segment_id, round(coalesce(CASE WHEN segment_id % 3 = 0 THEN (damage + intensity) / 2 END, CASE WHEN segment_id % 3 = 1 THEN (damage + 2 * intensity) / 2 END, 0.0) * 1e6, 0) AS usd FROM sg", "sg")
+def damage_consolidated(s, d):
+    x, i = F.col("segment_id"), F.col("intensity")
+    of = lambda k, c: F.when(x % 3 == k, c)
+    both = damage.consolidated([(of(0, F.col("damage")), of(0, i)), (of(1, F.col("damage")), of(1, 2 * i))])
+    return T.segments(s, d).select("segment_id", r(both * 1e6, 0).alias("usd"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
