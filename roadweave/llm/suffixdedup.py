@@ -112,7 +112,10 @@ def anchors(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """anchor, unit (a hash of the bytes that its strings span), doc, place (where that starts, times 256, and its size), parts."""
+    """anchor, unit (a hash of the bytes that its strings span), doc, place (where that starts, times 256, and its size), parts.
+
+    A unit that an earlier row of the same slice has already is a repeat for certain: its place is given inverted.
+    """
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for first, texts in text_slices(batch.column(1)):
@@ -137,7 +140,24 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size = hi - lo + LENGTH
                 unit = np.fromiter((xxhash.xxh3_64_intdigest(whole[x : x + n]) for x, n in zip((lo + a).tolist(), size.tolist(), strict=True)), np.uint64, len(at))
                 place = (lo + a - start[doc]) * 256 + size
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), unit.view(np.int64), ids[first + doc], place, parts.view(np.int64))], names=["anchor", "unit", "doc", "place", "parts"])
+                docs = ids[first + doc]
+                again = _repeats(h, unit, docs, place)
+                # What is known to repeat goes through under an anchor of chance, so a unit that is everywhere makes no hot task.
+                chance = (docs[again].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (place[again].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+                h[again], place[again] = chance, ~place[again]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), unit.view(np.int64), docs, place, parts.view(np.int64))], names=["anchor", "unit", "doc", "place", "parts"])
+
+
+def _repeats(anchor: np.ndarray, unit: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Rows whose unit another row has in a smaller document or earlier in the same one: what a shuffle would find, found before it."""
+    key = anchor ^ (unit * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    some = order[np.append(same, False) | np.append(False, same)]
+    some = some[np.lexsort((place[some], doc[some], unit[some], anchor[some]))]
+    new = np.append(True, (anchor[some][1:] != anchor[some][:-1]) | (unit[some][1:] != unit[some][:-1]))[: len(some)]
+    lead = some[np.flatnonzero(new)][np.cumsum(new) - 1] if len(some) else some
+    return some[(doc[some] != doc[lead]) | (place[some] != place[lead])]
 
 
 def _sharing(group: np.ndarray, parts: np.ndarray) -> np.ndarray:
@@ -182,6 +202,14 @@ def _spans_and_requests(most: int):
             if not batch.num_rows:
                 continue
             rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)], axis=1)
+            known = rows[:, 3] < 0
+            if known.any():
+                found = rows[known]
+                found[:, 3] = ~found[:, 3]
+                yield out(found, False)
+                rows = rows[~known]
+            if not len(rows):
+                continue
             n = len(held)
             rows = np.concatenate([held, rows])
             new_anchor = np.append(True, rows[1:, 0] != rows[:-1, 0])

@@ -81,6 +81,7 @@ def made(seed):
     docs = {i: " ".join(rng.choice([rng.choice(passages), word(), " ".join(word() for _ in range(20))]) for _ in range(rng.randrange(0, 12))) for i in range(60)}
     common = "the common gram of thirty-two bytes."
     docs |= {100 + i: " ".join(word() for _ in range(12)) + common + " ".join(word() for _ in range(12)) for i in range(40)}
+    docs |= {150 + i: "tra la " * 90 for i in range(10)}
     docs |= {200: "a" * 5000, 201: "b" * 99, 202: "ab" * 400, 203: "b" * 99, 204: "b" * 100, 205: "b" * 101, 206: "", 207: None, 208: docs[3], 209: docs[100][:-1]}
     return docs
 
