@@ -67,7 +67,7 @@ def candidates(found: DataFrame) -> DataFrame:
     shaped = F.regexp_extract_all("token", F.lit(CANDIDATE), F.lit(0))
     # What is assigned must end in this token, so that the tokens before don't give it once more.
     assigned = F.filter(F.regexp_extract_all(whole, F.lit(ASSIGNED), F.lit(1)), lambda s: F.col("token").contains(s))
-    each = found.withColumn("secret", F.explode(F.array_distinct(F.concat(shaped, F.filter(assigned, lambda s: ~F.exists(shaped, lambda c: s.contains(c)))))))
+    each = found.withColumn("secret", F.explode(F.array_distinct(F.concat(shaped, assigned))))
     return each.withColumn("path", F.expr("substring_index(token, secret, 1)"))
 
 
@@ -170,8 +170,11 @@ def findings(df: DataFrame, forest: str | None = None, id_col: str = "doc_id", t
     ``labelled_findings``.
     """
     forest = forest or train(labelled_findings(df.sparkSession))
-    scored = features(candidates(tokens(df, id_col, text_col))).withColumn("score", F.expr(forest))
-    return scored.where(F.col("score") >= threshold).select(F.col("id").alias(id_col), "place", "secret", "score")
+    scored = features(candidates(tokens(df, id_col, text_col))).withColumn("score", F.expr(forest)).where(F.col("score") >= threshold)
+    # The longest stands for those inside it; one inside a value that the forest rejects stays.
+    of_token = scored.groupBy("id", "row", "place").agg(F.collect_list(F.struct("secret", "score")).alias("all"))
+    longest = F.filter("all", lambda c: ~F.exists("all", lambda s: (F.length(s["secret"]) > F.length(c["secret"])) & s["secret"].contains(c["secret"])))
+    return of_token.select(F.col("id").alias(id_col), "place", F.inline(longest))
 
 
 def redact(df: DataFrame, forest: str | None = None, id_col: str = "doc_id", text_col: str = "text", mask: str = MASK) -> DataFrame:
