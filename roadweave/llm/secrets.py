@@ -162,6 +162,13 @@ def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
     return "(" + " + ".join(sql(t._java_obj.rootNode()) for t in model.trees) + f") / {trees}D"
 
 
+def _accepted(df: DataFrame, forest: str | None, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """id, row, place, secret, score of what the forest accepts, parts of longer secrets too."""
+    forest = forest or train(labelled_findings(df.sparkSession))
+    scored = features(candidates(tokens(df, id_col, text_col))).withColumn("score", F.expr(forest))
+    return scored.where(F.col("score") >= threshold).select("id", "row", "place", "secret", "score")
+
+
 def findings(df: DataFrame, forest: str | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id, place, secret, score: a row for each secret of each row of ``df``, place being its token's number.
 
@@ -169,8 +176,7 @@ def findings(df: DataFrame, forest: str | None = None, id_col: str = "doc_id", t
     table gives none; other columns play no part. ``forest`` is what ``train`` gave; by default it is trained on
     ``labelled_findings``.
     """
-    forest = forest or train(labelled_findings(df.sparkSession))
-    scored = features(candidates(tokens(df, id_col, text_col))).withColumn("score", F.expr(forest)).where(F.col("score") >= threshold)
+    scored = _accepted(df, forest, id_col, text_col, threshold)
     # The longest stands for those inside it; one inside a value that the forest rejects stays.
     of_token = scored.groupBy("id", "row", "place").agg(F.collect_list(F.struct("secret", "score")).alias("all"))
     longest = F.filter("all", lambda c: ~F.exists("all", lambda s: (F.length(s["secret"]) > F.length(c["secret"])) & s["secret"].contains(c["secret"])))
@@ -183,7 +189,8 @@ def redact(df: DataFrame, forest: str | None = None, id_col: str = "doc_id", tex
     Rows are told apart by id, those without one by their text's hash; secrets of one id are masked in all rows of that id.
     """
     keyed = df.withColumn("__key", F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("#"), F.sha2(text_col, 256))))
-    found = findings(keyed.select("__key", text_col), forest, "__key", text_col)
+    # Without the grouping of findings, under which the driver's memory did not suffice to plan the join.
+    found = _accepted(keyed.select("__key", text_col), forest, "__key", text_col, THRESHOLD).select(F.col("id").alias("__key"), "secret")
     # Longer secrets go first, as one may be a part of another.
     of_doc = found.groupBy("__key").agg(F.reverse(F.array_sort(F.collect_set(F.struct(F.length("secret").alias("n"), "secret")))).alias("__secrets"))
     joined = keyed.join(of_doc, "__key", "left")
