@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
@@ -15,11 +18,17 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def checkpointed(df):
-    """Cuts the lineage in the shared folder of spark.checkpoint.dir; a folder of our own only where none is set."""
-    import tempfile
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage in the shared folder of spark.checkpoint.dir.
 
-    sc = df.sparkSession.sparkContext
+    Where none is set, a session within one process gets a folder of its own; on a cluster that is an error, as a folder
+    of the driver's machine is not there for the executors.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="roadweave-checkpoint-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="roadweave-checkpoint-"))
     return df.checkpoint()
