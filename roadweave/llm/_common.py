@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-import tempfile
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -12,9 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed  # noqa: F401
+
 #: Bytes of text that one Arrow batch carries, and that one numpy pass handles at a time.
-BATCH_BYTES = 4 << 20
-CHUNK_BYTES = 1 << 20
+BATCH_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,18 +24,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches are limited by bytes too, as 10,000 very long texts would not fit a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder of spark.checkpoint.dir; a folder of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="roadweave-checkpoint-"))
-    return df.checkpoint()
+    """Arrow batches are limited by bytes too, as 10,000 very long texts would not fit a worker.
+
+    The session keeps the lower limits, as plans are made when they run, not here; limits that are lower already stay.
+    """
+    for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", 4000)):
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(f"spark.sql.execution.arrow.{key}"))
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
+#: Rows of one key from which it counts as hot, and the share of all rows: so no more than 10,000 keys are hot.
+HOT_ROWS, HOT_SHARE = 1000, 10_000
+
+
+def join_by_hot_key(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` inner-joined with ``table`` (best a checkpoint), whose ``key`` is unique and whose ``count`` tells how many rows have it.
+
+    Keys with over HOT_ROWS rows and over one in HOT_SHARE of all are 10,000 at most, so they are broadcast, and their rows
+    are scattered in the join that all others take: no task gets all rows of one key.
+    """
+    total, most = table.agg(F.sum(count), F.max(count)).first()
+    limit = max(HOT_ROWS, (total or 0) // HOT_SHARE)
+    if (most or 0) <= limit:
+        return rows.join(table.drop(count), key)
+    names = [c for c in table.columns if c not in (key, count)]
+    both = table.select(F.col(key).alias("__k"), F.struct(*names).alias("__v"), F.col(count).alias("__n"))
+    hot = both.where(F.col("__n") > limit).select(F.col("__k").alias("__hk"), F.col("__v").alias("__h"))
+    cold = both.where(F.col("__n") <= limit).select("__k", F.lit(-1).alias("__s"), F.col("__v").alias("__c"))
+    seen = rows.join(F.broadcast(hot), F.col(key) == F.col("__hk"), "left")
+    # A hot row's second key is never -1, so it meets nothing and lies anywhere.
+    seen = seen.withColumn("__r", F.when(F.col("__h").isNull(), -1).otherwise(F.floor(F.rand(1) * (1 << 20)).cast("int")))
+    met = seen.join(cold, (F.col(key) == F.col("__k")) & (F.col("__r") == F.col("__s")), "left")
+    value = F.coalesce("__h", "__c")
+    return met.where(value.isNotNull()).select(*rows.columns, *[value[c].alias(c) for c in names])
 
 
 def held_out(id_col: str = "doc_id"):

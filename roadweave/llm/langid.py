@@ -7,19 +7,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import LETTER, bounded_batches, codepoint_classes, codepoints, text_slices
+from ._common import LETTER, bounded_batches, checkpointed, codepoint_classes, codepoints, text_slices
 
 #: n-gram lengths over lower-cased letters, a blank standing for whatever is between words.
 ORDERS = (3, 4)
 #: Labelled texts learned from, a language, at most (by the ids' hash, about as many if there are more): the one bounded sample.
 DOCS_PER_LANGUAGE = 3000
-#: Most frequent n-grams kept, a language and length; and an n-gram is held by the languages with at least this share of its highest rate.
-PROFILE, SHARE = 6000, 0.5
-#: Rows of the filter (a power of two) and looked-up rows an n-gram.
-ROWS, HASHES = 1 << 18, 2
+#: An n-gram is held by the languages with at least this share of its highest rate.
+SHARE = 0.5
+#: Rows of the filter: a power of two, this or as many as give every n-gram of the largest language SLACK rows; and looked-up rows an n-gram.
+ROWS, SLACK, HASHES = 1 << 16, 16, 2
 UNDETERMINED = "und"
 
 
@@ -64,6 +64,7 @@ class Model:
     @classmethod
     def of(cls, profiles: dict[str, np.ndarray], orders: tuple[int, ...] = ORDERS, rows: int = ROWS, hashes: int = HASHES) -> Model:
         languages = sorted(profiles)
+        rows = max(rows, 1 << (SLACK * max(map(len, profiles.values()), default=0)).bit_length())
         masks = np.zeros((rows, max(1, -(-len(languages) // 64))), np.uint64)
         for i, lang in enumerate(languages):
             for slot in _slots(profiles[lang].view(np.uint64), rows, hashes):
@@ -97,42 +98,38 @@ class Model:
         return [self.languages[b] if s else UNDETERMINED for b, s in zip(best, some, strict=True)], np.where(some, score, 0)
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = DOCS_PER_LANGUAGE, profile: int = PROFILE, orders: tuple[int, ...] = ORDERS) -> Model:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = DOCS_PER_LANGUAGE, orders: tuple[int, ...] = ORDERS) -> Model:
     """Learns from rows with text, language and id; of languages with over ``per_language`` rows, those with the lowest share of id hashes.
 
-    The sample is bounded by that parameter, the driver gets ``profile`` n-grams a language and length, whatever the input.
-    No row gives a model without languages, which answers und.
+    That parameter bounds the sample, and so its n-grams, of which all that a language has at SHARE of the highest rate or
+    more come to the driver. The texts are read once. No row gives a model without languages, which answers und.
     """
     bounded_batches(labelled.sparkSession)
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id IS NOT NULL AND lang IS NOT NULL")
+    # Texts play no part in the sizes, so they are not read for them.
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return Model.of({}, orders)
     limit = F.create_map([F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < limit[F.col("lang")] * 1_000_000).select("text", "lang")
+    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < limit[F.col("lang")] * 1_000_000).where("text IS NOT NULL").select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
-            texts = [t.decode("utf-8", "replace") for _, part in text_slices(batch.column(0)) for t in part]
-            for lang in sorted(set(langs)):
-                for n, (h, ok, _) in zip(orders, ngrams([t for t, x in zip(texts, langs, strict=True) if x == lang], orders), strict=True):
-                    grams, times = np.unique(h[ok], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(np.full(len(grams), n, np.int32)), pa.array(grams.view(np.int64)), pa.array(times)], names=["lang", "n", "gram", "times"])
-
-    counts = sample.mapInArrow(count, "lang string, n int, gram long, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
-    wide = counts.groupBy("n", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "times"))).alias("by"))
-    totals = {(r["lang"], r["n"]): r["t"] for r in counts.groupBy("lang", "n").agg(F.sum("times").alias("t")).collect()}
-    profiles = {}
-    for lang in sizes:
-        grams = []
-        for n in orders:
-            rate = {k: F.coalesce(F.col("by")[F.lit(k)], F.lit(0)) / F.lit(float(totals.get((k, n), 1))) for k in sizes}
-            top = wide.where(F.col("n") == n).where(rate[lang] > 0)
-            top = top.where(rate[lang] >= SHARE * F.greatest(*rate.values())) if len(rate) > 1 else top
-            grams += [r["gram"] for r in top.orderBy(rate[lang].desc(), "gram").limit(profile).select("gram").collect()]
-        profiles[lang] = np.array(grams, np.int64)
-    return Model.of(profiles, orders)
+            for start, texts in text_slices(batch.column(0)):
+                mine = langs[start : start + len(texts)]
+                for lang in sorted(set(mine)):
+                    for n, (h, ok, _) in zip(orders, ngrams([t.decode("utf-8", "replace") for t, x in zip(texts, mine, strict=True) if x == lang], orders), strict=True):
+                        grams, times = np.unique(h[ok], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(np.full(len(grams), n, np.int32)), pa.array(grams.view(np.int64)), pa.array(times)], names=["lang", "n", "gram", "times"])
+
+    counts = checkpointed(sample.mapInArrow(count, "lang string, n int, gram long, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times")))
+    totals = counts.groupBy("lang", "n").agg(F.sum("times").alias("total"))  # a row a language and length
+    rates = counts.join(F.broadcast(totals), ["lang", "n"]).withColumn("rate", F.col("times") / F.col("total"))
+    held = rates.withColumn("top", F.max("rate").over(Window.partitionBy("n", "gram"))).where(F.col("rate") >= F.col("top") * SHARE)
+    got = held.select("lang", "gram").toArrow()
+    of, grams = np.array(got["lang"].to_pylist(), object), got["gram"].to_numpy()
+    return Model.of({lang: grams[of == lang] for lang in sizes}, orders)
 
 
 def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
