@@ -1,6 +1,9 @@
+import random
 import re
 
 import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from roadweave.llm import decontam
@@ -41,12 +44,29 @@ ITEMS = [(1, "One two three four five six seven eight nine ten eleven"), (12, "s
 TEXTS = ["zero ONE two three, four five six seven\neight nine ten eleven twelve", "a SHORT! item b", "shortitem short", "É Ü x", "é ü x é-Ü.x", "", None, "one two " * 30_000, "two three four five six seven eight nine ten eleven", "1short item2"]
 
 
-def test_odd_texts_and_small_automata(spark):
+def test_odd_texts(spark):
     docs = spark.createDataFrame([(i, t, "z") for i, t in enumerate(TEXTS)] + [(1, TEXTS[1], "z")], "doc_id long, text string, spans string")
     items = spark.createDataFrame([*ITEMS, (None, "two")], "item_id long, text string")
-    for limit in (1 << 20, 20):
-        got = [tuple(r) for r in decontam.digest(decontam.contamination(docs, items, automaton_bytes=limit)).collect()]
-        assert sorted(got) == sorted((i, *brute(t, [x for x in ITEMS if x[1]])) for i, t in [*enumerate(TEXTS), (1, TEXTS[1])])
+    got = [tuple(r) for r in decontam.digest(decontam.contamination(docs, items)).collect()]
+    assert sorted(got) == sorted((i, *brute(t, [x for x in ITEMS if x[1]])) for i, t in [*enumerate(TEXTS), (1, TEXTS[1])])
+
+
+def test_text_ids_and_texts_of_one_id(spark):
+    docs = spark.createDataFrame([(1, "x y z"), (2, "y"), (3, "q")], "doc_id long, text string")
+    items = spark.createDataFrame([("b", "y"), ("a", "x y"), ("a", "z"), ("c", "w")], "item_id string, text string")
+    assert [r.item_ids for r in decontam.contamination(docs, items).sort("doc_id").collect()] == [["a", "b"], ["b"], []]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_automaton_matches_brute_force(seed):
+    rng = random.Random(seed)
+    text = lambda most: " ".join(rng.choice("abcd"[: 2 + seed % 3]) for _ in range(rng.randrange(most)))
+    items = [(i, text(30)) for i in range(8)]
+    texts = [text(400) for _ in range(30)]
+    ac = decontam.Automaton.unpack(np.frombuffer(decontam.Automaton.of([t.encode() for _, t in items], 10).pack(), np.uint8))
+    number = ac.numbers() | {decontam.BETWEEN: -2}
+    for t, (n, runs, owners) in zip(texts, decontam.scan([t.encode() for t in texts], ac, number), strict=True):
+        assert (n, sum(b - a for a, b in runs), len(owners), decontam.digest_of(set(owners)), bool(runs)) == brute(t, items)
 
 
 def test_spans_are_bytes_of_the_text(spark):
