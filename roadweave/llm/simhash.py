@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, checkpointed, text_slices
+from ._common import bounded_batches, checkpointed, join_by_hot_key, text_slices
 from .components import connected_components
 
 #: Hash seed, words a shingle, bits that may differ.
@@ -161,10 +161,10 @@ def near_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     spark = fps.sparkSession
     bounded_batches(spark)
-    # One exchange of the keys serves both the counts and the rows that they keep.
-    keys = fps.select("fp").mapInArrow(_keys, "key long, fp long, own boolean").repartition("key")
-    counts = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("n > 1 AND any_own").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    rows = keys.join(counts.hint("shuffle_hash"), "key").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    keys = fps.select("fp").mapInArrow(_keys, "key long, fp long, own boolean")
+    counts = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("n > 1 AND any_own")
+    rows = join_by_hot_key(keys, checkpointed(counts.select("key", "n", F.ceil(F.col("n") / block).cast("int").alias("blocks"))), "key", "n")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     # Pair i * blocks + j holds index block i and probe block j; every row is a probe, an index row is both.
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     as_index = rows.where("own OR blocks = 1").select("key", "fp", "own", F.explode(F.transform(every, lambda j: F.col("mine") * F.col("blocks") + j)).alias("pair"))
@@ -182,12 +182,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     prints = checkpointed(fingerprints(own).select("id", "fp"))
-    nodes = checkpointed(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    links = near_links(nodes)
-    parts = connected_components(links)
-    merged = nodes.join(parts.withColumnRenamed("node", "fp"), "fp")
+    nodes = checkpointed(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    parts = connected_components(near_links(nodes))
+    merged = checkpointed(nodes.join(parts.withColumnRenamed("node", "fp"), "fp"))
     # The smallest id of each component; a component that is one fingerprint needs no such step.
-    best = merged.groupBy("component").agg(F.min("least").alias("best"))
-    merged = merged.join(best, "component").select("fp", "best")
-    ids = nodes.join(merged, "fp", "left").select("fp", F.coalesce("best", "least").alias("component_id"))
-    return prints.join(ids, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    best = checkpointed(merged.groupBy("component").agg(F.min("least").alias("best"), F.count("*").alias("fps")))
+    found = join_by_hot_key(merged.select("fp", "component"), best, "component", "fps").select("fp", "best")
+    ids = checkpointed(nodes.join(found, "fp", "left").select("fp", "n", F.coalesce("best", "least").alias("component_id")))
+    return join_by_hot_key(prints, ids, "fp", "n").select(F.col("id").alias(id_col), "fp", "component_id")
