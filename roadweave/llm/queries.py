@@ -30,11 +30,6 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paradedup.duplicate_paragraphs(table(spark, sf_dir, "documents"))
 
 
-def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op4_substring_dedup, for lines of any length."""
-    return paradedup.duplicate_paragraphs(table(spark, sf_dir, "documents"), min_words=1)
-
-
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.digest(decontam.contamination(docs, table(spark, sf_dir, "benchmark")))
@@ -74,7 +69,6 @@ def queries() -> dict[str, Query]:
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_substring_dedup": op4_substring_dedup,
-        "op4_line_dedup": op4_line_dedup,
         "op5_decontamination": op5_decontamination,
         "op6_suffix_array_dedup": op6_suffix_array_dedup,
         "op7_secret_scan": op7_secret_scan,
@@ -87,6 +81,8 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": licenses.sql(),
+        "op4_substring_dedup": paradedup.SQL,
         "op5_decontamination": decontam.SQL,
+        "op6_suffix_array_dedup": suffixdedup.SQL,
         "op9_exact_top_k": topk.SQL,
     }

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import CHUNK_BYTES, bounded_batches, checkpointed, text_slices
+from ._common import CHUNK_BYTES, bounded_batches, checkpointed, join_by_hot_key, text_slices
 from .suffix_array import permuted_prefixes, suffix_array
 
 #: Bytes of a string that counts as repeated, and of the grams from which a string's anchor is picked.
@@ -111,14 +111,20 @@ def anchors(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, h[at], first, last
 
 
+#: Slots in which a task keeps the units that it has seen, to send only the first of many equal ones.
+SEEN = 1 << 19
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """anchor, unit (a hash of the bytes that its strings span), doc, place (where that starts, times 256, and its size), parts.
+    """anchor, unit (a hash of the bytes that its strings span), doc, sub, place (where that starts, times 256, and its size), parts.
 
-    A unit that an earlier row of the same slice has already is a repeat for certain: its place is given inverted.
+    A unit that an earlier row of the same task has already is a repeat for certain: its place is given inverted. So of a
+    unit that is everywhere a task sends about one row to the task of its anchor.
     """
+    seen = np.zeros((4, SEEN), np.int64)
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for first, texts in text_slices(batch.column(1)):
+        ids, subs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        for first, texts in text_slices(batch.column(2)):
             whole = b"".join(texts)
             data = np.frombuffer(whole, np.uint8)
             size = np.array([len(t) for t in texts], np.int64)
@@ -140,24 +146,37 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size = hi - lo + LENGTH
                 unit = np.fromiter((xxhash.xxh3_64_intdigest(whole[x : x + n]) for x, n in zip((lo + a).tolist(), size.tolist(), strict=True)), np.uint64, len(at))
                 place = (lo + a - start[doc]) * 256 + size
-                docs = ids[first + doc]
-                again = _repeats(h, unit, docs, place)
+                docs, sub = ids[first + doc], subs[first + doc]
+                again = _repeats(h, unit, docs, sub, place, seen)
                 # What is known to repeat goes through under an anchor of chance, so a unit that is everywhere makes no hot task.
-                chance = (docs[again].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (place[again].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+                chance = ((docs[again] ^ sub[again]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (place[again].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
                 h[again], place[again] = chance, ~place[again]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), unit.view(np.int64), docs, place, parts.view(np.int64))], names=["anchor", "unit", "doc", "place", "parts"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), unit.view(np.int64), docs, sub, place, parts.view(np.int64))], names=["anchor", "unit", "doc", "sub", "place", "parts"])
+
 
+def _repeats(anchor: np.ndarray, unit: np.ndarray, doc: np.ndarray, sub: np.ndarray, place: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Rows whose unit another row has in a smaller document or earlier in the same one: what a shuffle would find, found before it.
 
-def _repeats(anchor: np.ndarray, unit: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Rows whose unit another row has in a smaller document or earlier in the same one: what a shuffle would find, found before it."""
+    ``seen`` holds, a slot a unit, the key, doc, sub and place of units from before; the least of this run's are put there.
+    """
     key = anchor ^ (unit * np.uint64(0x9E3779B97F4A7C15))
     order = np.argsort(key, kind="stable")
     same = key[order][1:] == key[order][:-1]
     some = order[np.append(same, False) | np.append(False, same)]
-    some = some[np.lexsort((place[some], doc[some], unit[some], anchor[some]))]
+    some = some[np.lexsort((place[some], sub[some], doc[some], unit[some], anchor[some]))]
     new = np.append(True, (anchor[some][1:] != anchor[some][:-1]) | (unit[some][1:] != unit[some][:-1]))[: len(some)]
     lead = some[np.flatnonzero(new)][np.cumsum(new) - 1] if len(some) else some
-    return some[(doc[some] != doc[lead]) | (place[some] != place[lead])]
+    again = np.zeros(len(key), bool)
+    again[some[(doc[some] != doc[lead]) | (sub[some] != sub[lead]) | (place[some] != place[lead])]] = True
+    rest = np.flatnonzero(~again)
+    slot = (key[rest] >> np.uint64(20)).astype(np.int64) & (SEEN - 1)
+    k, d, s, p = (x[slot] for x in seen)
+    known = k == key[rest].view(np.int64)
+    later = (doc[rest] > d) | ((doc[rest] == d) & ((sub[rest] > s) | ((sub[rest] == s) & (place[rest] > p))))
+    again[rest[known & later]] = True
+    put = ~(known & later)
+    seen[:, slot[put]] = key[rest[put]].view(np.int64), doc[rest[put]], sub[rest[put]], place[rest[put]]
+    return np.flatnonzero(again)
 
 
 def _sharing(group: np.ndarray, parts: np.ndarray) -> np.ndarray:
@@ -172,7 +191,7 @@ def _sharing(group: np.ndarray, parts: np.ndarray) -> np.ndarray:
 
 
 def _spans_and_requests(most: int):
-    """From rows sorted by anchor, unit, doc, place: units that repeat an earlier one whole, as spans without anchor; and
+    """From rows sorted by anchor, unit, doc, sub, place: units that repeat an earlier one whole, as spans without anchor; and
     the first of each unit, with the anchor, if it may share a string with another unit of its anchor.
 
     Of the anchor at a batch's end the units' first rows are held until it ends; beyond ``most`` they go out as they
@@ -180,12 +199,12 @@ def _spans_and_requests(most: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: np.ndarray = np.empty((0, 5), np.int64)
+        held: np.ndarray = np.empty((0, 6), np.int64)
         hot: int | None = None  # the anchor whose units go out as they come
 
         def out(rows: np.ndarray, asked: bool) -> pa.RecordBatch:
-            at, size = rows[:, 3] >> 8, rows[:, 3] & 255
-            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0], mask=np.full(len(rows), not asked)), pa.array(rows[:, 2]), pa.array(at), pa.array(at + size)], names=["anchor", "doc", "start", "stop"])
+            at, size = rows[:, 4] >> 8, rows[:, 4] & 255
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0], mask=np.full(len(rows), not asked)), pa.array(rows[:, 2]), pa.array(rows[:, 3]), pa.array(at), pa.array(at + size)], names=["anchor", "doc", "sub", "start", "stop"])
 
         def closed(firsts: np.ndarray) -> Iterator[pa.RecordBatch]:
             """First rows of units whose anchors are over."""
@@ -194,18 +213,18 @@ def _spans_and_requests(most: int):
             group = np.cumsum(np.append(False, firsts[1:, 0] != firsts[:-1, 0]))
             several = np.bincount(group)[group] > 1
             firsts, group = firsts[several], group[several]
-            asked = firsts[_sharing(group, np.ascontiguousarray(firsts[:, 4]))]
+            asked = firsts[_sharing(group, np.ascontiguousarray(firsts[:, 5]))]
             if len(asked):
                 yield out(asked, True)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)], axis=1)
-            known = rows[:, 3] < 0
+            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)], axis=1)
+            known = rows[:, 4] < 0
             if known.any():
                 found = rows[known]
-                found[:, 3] = ~found[:, 3]
+                found[:, 4] = ~found[:, 4]
                 yield out(found, False)
                 rows = rows[~known]
             if not len(rows):
@@ -217,7 +236,7 @@ def _spans_and_requests(most: int):
             firsts = np.flatnonzero(new_unit)
             rep = rows[firsts[np.cumsum(new_unit) - 1]]
             # A row of the same place is the same unit, of a repeated row; not a repeat.
-            again = ~new_unit & ((rows[:, 2] != rep[:, 2]) | (rows[:, 3] != rep[:, 3]))
+            again = ~new_unit & (rows[:, 2:5] != rep[:, 2:5]).any(axis=1)
             again[:n] = False
             if again.any():
                 yield out(rows[again], False)
@@ -248,10 +267,11 @@ def _spans_and_requests(most: int):
 def _cut_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            text, doc, units = (batch.column(0)[i].as_py() or b""), batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+            text, doc, sub, units = (batch.column(k)[i].as_py() for k in range(4))
             for lo in range(0, len(units), 10_000):
                 part = units[lo : lo + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array([u["anchor"] for u in part], pa.int64()), pa.array([doc] * len(part), pa.int64()), pa.array([u["start"] for u in part], pa.int64()), pa.array([text[u["start"] : u["stop"]] for u in part], pa.binary())], names=["anchor", "doc", "start", "bytes"])
+                n = len(part)
+                yield pa.RecordBatch.from_arrays([pa.array([u["anchor"] for u in part], pa.int64()), pa.array([doc] * n, pa.int64()), pa.array([sub] * n, pa.int64()), pa.array([u["start"] for u in part], pa.int64()), pa.array([text[u["start"] : u["stop"]] for u in part], pa.binary())], names=["anchor", "doc", "sub", "start", "bytes"])
 
 
 def repeated_in(docs: np.ndarray, starts: np.ndarray, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -294,13 +314,15 @@ def merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
 
 def _shard_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by anchor; a shard closes at the first change of anchor after SHARD_BYTES."""
-    hold: list[tuple[int, int, int, bytes]] = []
+    hold: list[tuple[int, int, int, int, bytes]] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        anchor, doc, start, units = zip(*hold, strict=True)
-        found = repeated_in(np.array(doc, np.int64), np.array(start, np.int64), list(units))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["doc", "start", "stop"])
+        _, doc, sub, start, units = zip(*hold, strict=True)
+        # Documents by their rank: by id, then by their text's hash.
+        names, rank = np.unique(np.array([doc, sub], np.int64).T, axis=0, return_inverse=True)
+        which, first, last = repeated_in(rank.ravel(), np.array(start, np.int64), list(units))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (names[which, 0], names[which, 1], first, last)], names=["doc", "sub", "start", "stop"])
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -308,17 +330,18 @@ def _shard_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield flush()
                 hold, size = [], 0
             hold.append(row)
-            size += len(row[3])
+            size += len(row[4])
     if hold:
         yield flush()
 
 
 def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, doc, start, unit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            keys = [xxhash.xxh3_128_digest(unit[i : i + LENGTH]) for i in range(len(unit) - LENGTH + 1)]
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([doc] * len(keys), pa.int64()), pa.array([start + i for i in range(len(keys))], pa.int64())], names=["string", "doc", "start"])
+        for _, doc, sub, start, unit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            n = len(unit) - LENGTH + 1
+            if n > 0:
+                keys = [xxhash.xxh3_128_digest(unit[i : i + LENGTH]) for i in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([doc] * n, pa.int64()), pa.array([sub] * n, pa.int64()), pa.array(range(start, start + n), pa.int64())], names=["string", "doc", "sub", "start"])
 
 
 def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,7 +363,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A byte goes if a string of 100 bytes that covers it also starts earlier: in a document of smaller id, or earlier in
     its own. Null texts are empty; rows without id are left out; rows that repeat an id and text are one document, given
-    back as often; an empty table gives none; other columns play no part.
+    back as often; rows of one id with different texts are documents of their own, in the order of their texts' hashes;
+    an empty table gives none; other columns play no part.
 
     Only anchors (about one position in 35) are shuffled, never all positions. All copies of a string meet under its
     anchor; a unit, the run of strings that one anchor has, whose bytes all stand earlier is removed whole, and what is left, first copies that share an anchor
@@ -349,25 +373,40 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = df.sparkSession
     bounded_batches(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text")).where("doc IS NOT NULL")
-    rows = docs.mapInArrow(_anchor_rows, "anchor long, unit long, doc long, place long, parts long")
-    sorted_rows = rows.repartition("anchor").sortWithinPartitions("anchor", "unit", "doc", "place").select("anchor", "unit", "doc", "place", "parts")
-    found = checkpointed(sorted_rows.mapInArrow(_spans_and_requests(max(hot_units, HELD_UNITS)), "anchor long, doc long, start long, stop long"))
-    spans = found.where("anchor IS NULL").select("doc", "start", "stop")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("sub"), text.cast("binary").alias("text")).where("doc IS NOT NULL")
+    rows = docs.mapInArrow(_anchor_rows, "anchor long, unit long, doc long, sub long, place long, parts long")
+    sorted_rows = rows.repartition("anchor").sortWithinPartitions("anchor", "unit", "doc", "sub", "place").select("anchor", "unit", "doc", "sub", "place", "parts")
+    found = checkpointed(sorted_rows.mapInArrow(_spans_and_requests(max(hot_units, HELD_UNITS)), "anchor long, doc long, sub long, start long, stop long"))
+    spans = found.where("anchor IS NULL").select("doc", "sub", "start", "stop")
     asked = found.where("anchor IS NOT NULL")
     hot = checkpointed(asked.groupBy("anchor").count().where(F.col("count") > hot_units).select("anchor"))
-    by_doc = docs.repartition("doc")
-    requests = asked.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "stop")).alias("units"))
-    units = by_doc.join(requests, "doc").select("text", "doc", "units").mapInArrow(_cut_units, "anchor long, doc long, start long, bytes binary")
+    by_doc = docs.repartition("doc", "sub")
+    requests = asked.groupBy("doc", "sub").agg(F.collect_list(F.struct("anchor", "start", "stop")).alias("units"))
+    units = by_doc.join(requests, ["doc", "sub"]).select("text", "doc", "sub", "units").mapInArrow(_cut_units, "anchor long, doc long, sub long, start long, bytes binary")
     common = units
     if not hot.isEmpty():
         common = units.join(hot, "anchor", "left_anti")
-        strings = units.join(hot, "anchor", "left_semi").select("anchor", "doc", "start", "bytes").mapInArrow(_string_rows, "string binary, doc long, start long")
-        least = strings.groupBy("string").agg(F.min(F.struct("doc", "start")).alias("least"))
-        later = strings.join(least, "string").where(F.struct("doc", "start") > F.col("least"))
-        spans = spans.union(later.select("doc", "start", (F.col("start") + LENGTH).alias("stop")))
-    shards = common.select("anchor", "doc", "start", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    spans = spans.union(shards.mapInArrow(_shard_spans, "doc long, start long, stop long"))
-    removals = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    out = by_doc.join(removals, "doc", "left").select("doc", "text", "spans").mapInArrow(_cut_text, "doc long, n_bytes long, n_removed long, spans array<struct<start: long, stop: long>>, kept binary")
+        strings = units.join(hot, "anchor", "left_semi").select("anchor", "doc", "sub", "start", "bytes").mapInArrow(_string_rows, "string binary, doc long, sub long, start long")
+        least = strings.groupBy("string").agg(F.min(F.struct("doc", "sub", "start")).alias("least"), F.count("*").alias("n"))
+        later = join_by_hot_key(strings, checkpointed(least.where("n > 1")), "string", "n").where(F.struct("doc", "sub", "start") > F.col("least"))
+        spans = spans.union(later.select("doc", "sub", "start", (F.col("start") + LENGTH).alias("stop")))
+    shards = common.select("anchor", "doc", "sub", "start", "bytes").repartition("anchor").sortWithinPartitions("anchor")
+    spans = spans.union(shards.mapInArrow(_shard_spans, "doc long, sub long, start long, stop long"))
+    removals = spans.groupBy("doc", "sub").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    out = by_doc.join(removals, ["doc", "sub"], "left").select("doc", "text", "spans").mapInArrow(_cut_text, "doc long, n_bytes long, n_removed long, spans array<struct<start: long, stop: long>>, kept binary")
     return out.withColumnRenamed("doc", id_col)
+
+
+#: Every string of 100 bytes, in hexadecimal, and the runs that all but each one's first cover.
+SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents WHERE doc_id IS NOT NULL),
+pieces AS (SELECT doc_id, k * 1000 AS base, substr(h, 2000 * k + 1, 2198) AS h FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2000 + 1)) AS k FROM d WHERE len(h) >= 200)),
+strings AS (SELECT doc_id, base + i AS start, substr(h, 2 * i + 1, 200) AS g FROM (SELECT doc_id, base, h, unnest(range(0, least(1000, len(h) // 2 - 99))) AS i FROM pieces)),
+later AS (SELECT doc_id, start FROM strings QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, start) > 1),
+islands AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY start) AS island FROM (SELECT *, CASE WHEN start <= lag(start) OVER (PARTITION BY doc_id ORDER BY start) + 100 THEN 0 ELSE 1 END AS new FROM later)),
+spans AS (SELECT doc_id, min(start) AS a, max(start) + 100 AS b FROM islands GROUP BY doc_id, island),
+cuts AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM spans UNION ALL SELECT doc_id, len(h) // 2, len(h) // 2, coalesce(max(b), 0) FROM d LEFT JOIN spans USING (doc_id) GROUP BY doc_id, h),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY before) AS rest, sum(b - a) AS n_removed, count(*) - 1 AS n_spans FROM cuts JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, n_spans::BIGINT AS n_spans, sha256(unhex(rest)) AS kept_sha256 FROM d JOIN kept USING (doc_id)
+"""

@@ -1,55 +1,94 @@
-"""Exact top-k inner products by a dual cover-tree search, within blocks of queries and candidates."""
+"""Exact top-k inner products by a dual cover-tree search, over blocks that are the trees' top-level cells."""
 
 from __future__ import annotations
 
 import heapq
 import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import bounded_batches, checkpointed
+
 #: Rows of one block of queries and of candidates: one task holds one of each.
 QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 8192
+#: Cells at most, and the candidates (by their ids' hash) from which the cells' centres are picked.
+CELLS, SAMPLE = 1024, 8192
 #: Points of a leaf and children of a node. A node's centres are its farthest-first net: they are apart by no less than
 #: what the net leaves uncovered, and the first is the node's own centre.
-LEAF, FANOUT = 128, 12
+LEAF, FANOUT = 8, 12
+#: Pairs of nodes with so few products are worked out at once, as one product of matrices.
+AT_ONCE = 4096
 
 
 @dataclass
 class Node:
+    """``radius`` and ``angle`` cover the rows from the centre; ``norm`` is the longest row's."""
+
     rows: np.ndarray
     centre: int
     radius: float
+    angle: float
+    norm: float
     children: list[Node] = field(default_factory=list)
 
 
+def _angles(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Angles to the centre; a row or centre of length 0 is as far as can be."""
+    size = np.sqrt((x**2).sum(axis=1)) * np.sqrt((centre**2).sum())
+    return np.where(size > 0, np.arccos(np.clip(x @ centre / np.where(size > 0, size, 1), -1, 1)), np.pi)
+
+
+def net(x: np.ndarray, most: int, first: int = 0) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """A farthest-first net of rows: the centres, each row's centre and its distance."""
+    near = np.sqrt(((x - x[first]) ** 2).sum(axis=1))
+    centres, owner = [first], np.zeros(len(x), int)
+    while len(centres) < most and near[far := int(near.argmax())] > 0:
+        d = np.sqrt(((x - x[far]) ** 2).sum(axis=1))
+        owner[d < near] = len(centres)
+        near = np.minimum(near, d)
+        centres.append(far)
+    return centres, owner, near
+
+
 def cover_tree(x: np.ndarray, rows: np.ndarray | None = None, centre: int | None = None) -> Node:
     """A cover tree over rows of ``x``: nested centres, measured covering radii, separated siblings."""
     rows = np.arange(len(x)) if rows is None else rows
     centre = int(rows[0]) if centre is None else centre
-    near = np.sqrt(((x[rows] - x[centre]) ** 2).sum(axis=1))
-    node = Node(rows, centre, float(near.max()))
+    mine = x[rows]
+    near = np.sqrt(((mine - x[centre]) ** 2).sum(axis=1))
+    node = Node(rows, centre, float(near.max()), float(_angles(mine, x[centre]).max()), float(np.sqrt((mine**2).sum(axis=1)).max()))
     if len(rows) <= LEAF or node.radius == 0:
         return node
-    centres, owner = [centre], np.zeros(len(rows), int)
-    while len(centres) < FANOUT and (far := int(near.argmax())) >= 0 and near[far] > 0:
-        centres.append(int(rows[far]))
-        d = np.sqrt(((x[rows] - x[rows[far]]) ** 2).sum(axis=1))
-        owner[d < near] = len(centres) - 1
-        near = np.minimum(near, d)
-    node.children = [cover_tree(x, rows[owner == i], c) for i, c in enumerate(centres)]
+    centres, owner, _ = net(mine, FANOUT, int(np.flatnonzero(rows == centre)[0]))
+    node.children = [cover_tree(x, rows[owner == i], int(rows[c])) for i, c in enumerate(centres)]
     return node
 
 
-def block_top_k(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, point_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, point id, score) of each query's k best points, its own id left out; ties to the smaller id.
+def upper_bound(product: float, a_norm: float, b_norm: float, a: tuple[float, float, float], b: tuple[float, float, float]) -> float:
+    """The largest product of a row of each of two groups, of (radius, angle, longest row), whose centres' product and lengths are given.
+
+    The smaller of two bounds: the centres' product and what both radii can add; and the longest rows at the smallest
+    angle that both groups' angles leave. Rounding is allowed for.
+    """
+    by_radius = product + a_norm * b[0] + b_norm * a[0] + a[0] * b[0]
+    between = np.arccos(np.clip(product / (a_norm * b_norm), -1, 1)) if a_norm * b_norm > 0 else 0.0
+    by_angle = a[2] * b[2] * max(0.0, float(np.cos(max(0.0, between - a[1] - b[1]))))
+    return min(by_radius, by_angle) + 1e-9 * (abs(by_radius) + a[2] * b[2] + a_norm * b_norm + 1)
+
+
+def block_top_k(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, point_ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], int]:
+    """(query id, point id, score) of each query's k best points, its own id left out, ties to the smaller id; and the products worked out.
 
-    Scores must fit a long. Equal points are one point of the tree with a list of ids; of these a query can need its k + 1 smallest at most.
-    Pairs of nodes are visited by their bound: centre product plus what both radii can add. A pair is pruned if that is
-    below the worst k-th score of the group's queries; equal bounds are visited, as ties count.
+    ``floor`` is a score that each query has k points of elsewhere: lower ones are not looked for. Scores must fit a long.
+    Equal points are one point of the tree with a list of ids; of these a query can need its k + 1 smallest at most.
+    Pairs of nodes are visited by their bound. A pair is pruned if that is below the worst k-th score of the group's
+    queries; equal bounds are visited, as ties count.
     """
     points, which = np.unique(points, axis=0, return_inverse=True)
     order = np.lexsort((point_ids, which.ravel()))
@@ -60,13 +99,16 @@ def block_top_k(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray,
     q, p = queries.astype(float), points.astype(float)
     q_norm, p_norm = np.sqrt((q**2).sum(axis=1)), np.sqrt((p**2).sum(axis=1))
     best: list[list[tuple[int, int]]] = [[] for _ in q]  # heaps of (score, -id)
-    worst = np.full(len(q), -np.inf)
+    low = np.full(len(q), -np.inf) if floor is None else floor.astype(float)
+    worst = low.copy()
+    products = 0
 
     def bound(a: Node, b: Node) -> float:
-        top = q[a.centre] @ p[b.centre] + q_norm[a.centre] * b.radius + p_norm[b.centre] * a.radius + a.radius * b.radius
-        return top + 1e-9 * (abs(top) + q_norm[a.centre] * p_norm[b.centre] + 1)
+        return upper_bound(float(q[a.centre] @ p[b.centre]), float(q_norm[a.centre]), float(p_norm[b.centre]), (a.radius, a.angle, a.norm), (b.radius, b.angle, b.norm))
 
     def base(a: Node, b: Node) -> None:
+        nonlocal products
+        products += len(a.rows) * len(b.rows)
         scores = q[a.rows] @ p[b.rows].T if exact else queries[a.rows].astype(object) @ points[b.rows].T.astype(object)
         hit = scores >= worst[a.rows][:, None]
         width = min(k + 1, len(b.rows))  # one more than k, as the query's own row may be among them
@@ -84,7 +126,7 @@ def block_top_k(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray,
                 else:
                     break
             if len(heap) == k:
-                worst[row] = heap[0][0]
+                worst[row] = max(low[row], heap[0][0])
 
     if len(q) and len(p):
         tick = itertools.count()
@@ -94,7 +136,7 @@ def block_top_k(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray,
             top, _, a, b = heapq.heappop(queue)
             if -top < worst[a.rows].min():
                 continue
-            if not a.children and not b.children:
+            if len(a.rows) * len(b.rows) <= AT_ONCE or not a.children and not b.children:
                 base(a, b)
                 continue
             split_a = a.children and (not b.children or a.radius >= b.radius)
@@ -102,7 +144,7 @@ def block_top_k(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray,
                 if (up := bound(x, y)) >= worst[x.rows].min():
                     heapq.heappush(queue, (-up, next(tick), x, y))
     found = [(query_ids[i], -m, s) for i, heap in enumerate(best) for s, m in heap]
-    return tuple(np.array(c, np.int64) for c in zip(*found, strict=True)) if found else tuple(np.empty(0, np.int64) for _ in range(3))
+    return (tuple(np.array(c, np.int64) for c in zip(*found, strict=True)) if found else tuple(np.empty(0, np.int64) for _ in range(3))), products
 
 
 def integers(df: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
@@ -113,33 +155,116 @@ def integers(df: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> D
     return rows.select(F.col(id_col).cast("long").alias("id"), F.size(vector_col).alias("dim"), F.transform(d, lambda v: F.floor(v * scale)).alias("x"))
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: each query's k highest integer products over all candidates but its own id.
+def _one_vector(df: DataFrame) -> DataFrame:
+    one = df.groupBy("id").agg(F.min(F.struct("dim", "x")).alias("v"))
+    return one.select("id", "v.dim", "v.x")
+
+
+def _centres(candidates: DataFrame, sizes: dict[int, int], block: int) -> dict[int, np.ndarray]:
+    """Each length's centres: a farthest-first net of a sample, one for about every block of candidates."""
+    rows = candidates.withColumn("r", F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id"))).where(F.col("r") <= SAMPLE)
+    by_dim: dict[int, list[list[int]]] = {}
+    for r in rows.select("dim", "x").toLocalIterator():
+        by_dim.setdefault(r["dim"], []).append(r["x"])
+    return {d: (x := np.array(v, float))[net(x, min(CELLS, -(-sizes[d] // block)))[0]] for d, v in by_dim.items()}
 
-    Both sides have id, dim and x, as ``integers`` gives them; vectors of different lengths never meet. Ties go to the
-    smaller id; fewer candidates give fewer rows; repeated (id, vector) rows count once. Every block of queries meets
-    every block of candidates in a task of its own, which holds those two blocks only; each returns k rows a query at
-    most, and the last step ranks those.
-    """
-    q, c = queries.select("id", "dim", "x").distinct(), candidates.select("id", "dim", "x").distinct()
-    sizes = q.select(F.lit(0).alias("side")).union(c.select(F.lit(1))).groupBy("side").count().collect()
-    n = {r["side"]: r["count"] for r in sizes}
-    nq, nc = max(1, -(-n.get(0, 0) // query_block)), max(1, -(-n.get(1, 0) // candidate_block))
-    own = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = q.select("*", own(nq).alias("qb"), every(nc).alias("cb"))
-    right = c.select("*", own(nc).alias("cb")).select("*", every(nq).alias("qb"))
+
+def _in_cells(df: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
+    """id, dim, x, cell (the nearest centre, ties to the first), and the distance and angle to it."""
+    shared = df.sparkSession.sparkContext.broadcast(centres)  # CELLS vectors a length at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dim = batch.column(1).to_numpy()
+            ends, flat = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
+            cell, far, angle = np.zeros(len(dim), np.int32), np.zeros(len(dim)), np.zeros(len(dim))
+            for d in np.unique(dim).tolist():
+                if d not in shared.value:
+                    continue
+                at = np.flatnonzero(dim == d)
+                x, c = flat[ends[at][:, None] + np.arange(d)].astype(float), shared.value[d]
+                cell[at] = ((c**2).sum(axis=1)[None, :] - 2 * x @ c.T).argmin(axis=1)
+                for i in np.unique(cell[at]).tolist():
+                    mine = cell[at] == i
+                    far[at[mine]] = np.sqrt(((x[mine] - c[i]) ** 2).sum(axis=1))
+                    angle[at[mine]] = _angles(x[mine], c[i])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far), pa.array(angle)], names=["id", "dim", "x", "cell", "far", "angle"])
+
+    return df.select("id", "dim", "x").mapInArrow(run, "id long, dim int, x array<long>, cell int, far double, angle double")
+
+
+def _blocks(rows: DataFrame, block: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with their part of their cell, and a row a block: dim, cell, part, radius, angle, longest row."""
+    sizes = rows.groupBy("dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))  # CELLS rows a length at most
+    rows = rows.join(F.broadcast(sizes), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda t, v: t + v * v))
+    stats = rows.groupBy("dim", "cell", "part").agg(F.max("far"), F.max("angle"), F.max(norm)).toDF("dim", f"{name}_cell", f"{name}_part", f"{name}_radius", f"{name}_angle", f"{name}_norm")
+    return rows.select("id", "dim", "x", F.col("cell").alias(f"{name}_cell"), F.col("part").alias(f"{name}_part")), stats
+
+
+def _bounds(pairs: DataFrame, centres: dict[int, np.ndarray]) -> Column:
+    @F.pandas_udf("double")
+    def bound(dim: pd.Series, a: pd.Series, b: pd.Series, ar: pd.Series, aa: pd.Series, an: pd.Series, br: pd.Series, ba: pd.Series, bn: pd.Series) -> pd.Series:
+        out = []
+        for d, i, j, *rest in zip(dim, a, b, ar, aa, an, br, ba, bn, strict=True):
+            x, y = centres[d][i], centres[d][j]
+            out.append(upper_bound(float(x @ y), float(np.sqrt(x @ x)), float(np.sqrt(y @ y)), tuple(rest[:3]), tuple(rest[3:])))
+        return pd.Series(out, dtype=float)
+
+    return bound("dim", "q_cell", "c_cell", "q_radius", "q_angle", "q_norm", "c_radius", "c_angle", "c_norm")
+
+
+def _searched(q: DataFrame, c: DataFrame, key: list[str], k: int) -> DataFrame:
+    """query_id, vec_id, score: the k best of each key's candidates for each of its queries (with ``low``, a floor)."""
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        found = block_top_k(np.stack(a["x"]), a["id"].to_numpy(), np.stack(b["x"]), b["id"].to_numpy(), k)
+        low = np.array([-np.inf if v is None or v != v else v for v in a["low"]])
+        found, _ = block_top_k(np.stack(a["x"]), a["id"].to_numpy(), np.stack(b["x"]), b["id"].to_numpy(), k, low)
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
 
-    key = ["dim", "qb", "cb"]
-    parts = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score long").distinct()
+    q, c = q.toDF(*q.columns), c.toDF(*c.columns)  # both may come from one table, whose columns would be ambiguous
+    return q.groupBy(*key).cogroup(c.groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score long")
+
+
+def surviving_pairs(q_stats: DataFrame, c_stats: DataFrame, low: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
+    """Of the pairs of a block of queries and one of candidates those whose bound reaches the worst k-th score of the queries so far."""
+    pairs = q_stats.join(c_stats, "dim").join(low, ["dim", "q_cell", "q_part"], "left")
+    return pairs.withColumn("bound", _bounds(pairs, centres)).where(F.col("low").isNull() | (F.col("bound") >= F.col("low"))).select("dim", "q_cell", "q_part", "c_cell", "c_part")
+
+
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: each query's k highest integer products over all candidates but its own id.
+
+    Both sides have id, dim and x, as ``integers`` gives them; vectors of different lengths never meet. Ties go to the
+    smaller id; fewer candidates give fewer rows; of an id with several vectors the smallest counts.
+
+    Queries and candidates are dealt to the same cells, the top level of both trees; a cell of more than a block is
+    parted. A query first searches a block of its own cell, which gives it a k-th score; then pairs of blocks whose bound
+    is below the worst k-th score of the block's queries are dropped before anything is sent, and the rest are searched by
+    a dual tree, a task a pair, which holds those two blocks only. The last step ranks k rows a query and block.
+    """
+    bounded_batches(queries.sparkSession)
+    q, c = _one_vector(queries), _one_vector(candidates)
+    sizes = {r["dim"]: r["count"] for r in c.groupBy("dim").count().collect()}
+    centres = _centres(c, sizes, candidate_block)
+    q, q_stats = _blocks(checkpointed(_in_cells(q, centres)), query_block, "q")
+    c, c_stats = _blocks(checkpointed(_in_cells(c, centres)), candidate_block, "c")
+    parts = c_stats.groupBy("dim", F.col("c_cell").alias("q_cell")).agg(F.max("c_part").alias("last"))
+    own = ["dim", "c_cell", "c_part", "q_part"]
+    near = q.join(F.broadcast(parts), ["dim", "q_cell"]).withColumn("c_part", F.pmod("q_part", F.col("last") + 1)).withColumn("c_cell", F.col("q_cell")).withColumn("low", F.lit(None).cast("double"))
+    # Each block of candidates meets the blocks of its own cell's queries that chose it.
+    met = near.select(*own).distinct()
+    first = checkpointed(_searched(near, c.join(met, ["dim", "c_cell", "c_part"]), own, k))
+    kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("low"))
+    q = checkpointed(q.join(kth, q["id"] == kth["query_id"], "left").drop("query_id"))
+    low = q.groupBy("dim", "q_cell", "q_part").agg(F.when(F.count("*") == F.count("low"), F.min("low")).alias("low"))
+    pairs = checkpointed(surviving_pairs(q_stats, c_stats, low, centres))
+    key = ["dim", "q_cell", "q_part", "c_cell", "c_part"]
+    rest = _searched(q.join(pairs, key[:3]), c.join(pairs, ["dim", "c_cell", "c_part"]), key, k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return parts.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return first.union(rest).distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 SQL = """

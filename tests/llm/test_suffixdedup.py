@@ -100,8 +100,8 @@ def test_batches_split_anywhere():
     import pyarrow as pa
 
     rng = random.Random(5)
-    rows = sorted((rng.randrange(12), rng.randrange(3), rng.randrange(30), rng.randrange(4) * 256 + 120, 7) for _ in range(300))
-    cols = lambda part: pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.int64()) for i in range(5)], names=list("abcde"))
+    rows = sorted((rng.randrange(12), rng.randrange(3), rng.randrange(30), rng.randrange(2), rng.randrange(4) * 256 + 120, 7) for _ in range(300))
+    cols = lambda part: pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.int64()) for i in range(6)], names=list("abcdef"))
     run = lambda size, hot: sorted(str(x) for b in suffixdedup._spans_and_requests(hot)(cols(rows[i : i + size]) for i in range(0, len(rows), size)) for x in b.to_pylist())
     assert run(1, 99) == run(7, 99) == run(300, 99) == run(1, 1) == run(2, 1) == run(7, 2)
 
@@ -112,3 +112,25 @@ def test_repeated_rows_null_ids_and_empty(spark):
     got = sorted((r.doc_id, r.n_removed) for r in suffixdedup.remove_repeats(df).collect())
     assert got == [(1, 0), (1, 0), (2, len(text))]
     assert suffixdedup.remove_repeats(df.where(F.lit(False))).count() == 0
+
+
+def test_texts_of_one_id(spark):
+    a = "some words that go on for more than one hundred bytes, so that there is a string to find in it, and then some"
+    b = "quite other words which go on for more than one hundred bytes as well, so that nothing of the first is in here"
+    df = spark.createDataFrame([(1, a), (1, b), (1, b + a), (2, a), (2, b)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffixdedup.remove_repeats(df).collect())
+    assert [g[1] == g[2] for g in got if g[0] == 2] == [True, True]
+    assert sum(n - gone for d, n, gone in got) in (len(a) + len(b), len(a + b) + 99)  # 99: no string over the seam stands elsewhere
+
+
+@pytest.mark.parametrize("slots", [1, 8])
+def test_units_seen_before_are_told_by_the_task(monkeypatch, slots):
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffixdedup, "SEEN", slots)
+    rng = random.Random(2)
+    same = "".join(rng.choice("abcdef ") for _ in range(150))
+    batch = lambda i: pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([0], pa.int64()), pa.array([same])], names=["doc", "sub", "text"])
+    rows = [r for b in suffixdedup._anchor_rows(batch(i) for i in (5, 6, 4, 7)) for r in b.to_pylist()]
+    told = {(r["doc"], r["place"] < 0) for r in rows}
+    assert (5, True) not in told and (4, True) not in told and (slots == 1 or {(6, True), (7, True)} <= told)

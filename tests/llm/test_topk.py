@@ -24,10 +24,45 @@ def test_block_matches_brute_force(seed, spread):
     p = np.repeat(centres, 40, axis=0) + rng.integers(-1, 2, (480, 5))
     p[:100] = p[0]
     ids = rng.permutation(480)
-    got = topk.block_top_k(p[::3], ids[::3], p, ids, 4)
+    got, products = topk.block_top_k(p[::3], ids[::3], p, ids, 4)
+    assert 0 < products <= 160 * 480
     assert set(zip(*(x.tolist() for x in got), strict=True)) == brute(p[::3], ids[::3], p, ids, 4)
 
 
+def clustered(rng, clusters, each, dim=16):
+    centres = rng.normal(size=(clusters, dim))
+    centres /= np.sqrt((centres**2).sum(axis=1))[:, None]
+    x = np.repeat(centres, each, axis=0) + rng.normal(size=(clusters * each, dim)) * 0.01
+    return np.floor(256 * x).astype(np.int64)
+
+
+def test_tree_prunes_clusters():
+    """Where vectors hang together, most pairs are dropped by the bounds."""
+    x = clustered(np.random.default_rng(5), 30, 600)
+    ids = np.arange(len(x))
+    got, products = topk.block_top_k(x[::20], ids[::20], x, ids, 5)
+    scores = x[::20] @ x.T
+    scores[np.arange(900), ids[::20]] = -(10**9)
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :5]
+    want = {(20 * i, int(j), int(scores[i, j])) for i in range(900) for j in best[i]}
+    assert set(zip(*(c.tolist() for c in got), strict=True)) == want
+    assert products < 0.1 * scores.size
+    again, fewer = topk.block_top_k(x[::20], ids[::20], x, ids, 5, scores[np.arange(900), best[:, 4]])
+    assert fewer <= products and set(zip(*(c.tolist() for c in again), strict=True)) == want
+
+
+def test_blocks_are_pruned_before_they_are_sent(spark, monkeypatch):
+    x = clustered(np.random.default_rng(6), 12, 60)
+    kept = []
+    pairs = topk.surviving_pairs
+    monkeypatch.setattr(topk, "surviving_pairs", lambda q, c, *a: kept.append((q.join(c, "dim").count(), (out := pairs(q, c, *a)).count())) or out)
+    df = spark.createDataFrame([(i, 16, v) for i, v in enumerate(x.tolist())], "id long, dim int, x array<long>")
+    got = topk.top_k(df.where("id % 10 = 0"), df, 5, query_block=50, candidate_block=60).collect()
+    assert {(r.query_id, r.vec_id, r.score) for r in got} == brute(x[::10], range(0, len(x), 10), x, range(len(x)), 5)
+    (every, some), = kept
+    assert every >= 144 and some < 0.4 * every
+
+
 def test_tree_covers_and_separates():
     x = np.random.default_rng(3).normal(size=(2000, 4))
 
@@ -53,7 +88,7 @@ def test_query_matches_sql(spark):
 
 def test_blocks_nulls_ties_and_empty(spark):
     inf, nan = float("inf"), float("nan")
-    rows = [(i, [float(i % 3), 1.0], i) for i in range(40)] + [(50, None, 0), (51, [1.0, None], 0), (52, [nan, 1.0], 0), (53, [inf, 0.0], 0), (54, [2.0], 0), (None, [1.0, 1.0], 0), (55, [], 0)] + [(0, [0.0, 1.0], 7)]
+    rows = [(i, [float(i % 3), 1.0], i) for i in range(40)] + [(50, None, 0), (51, [1.0, None], 0), (52, [nan, 1.0], 0), (53, [inf, 0.0], 0), (54, [2.0], 0), (None, [1.0, 1.0], 0), (55, [], 0)] + [(0, [0.0, 1.0], 7), (30, [9.0, 9.0], 0)]
     df = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int"), "vec_id", "embedding")
     got = topk.top_k(df.where("id % 10 = 0"), df, 5, query_block=2, candidate_block=7).collect()
     pts = [(i, [(i % 3) * 256, 256]) for i in range(40)]
