@@ -13,6 +13,7 @@ FUEL_CURVE = {"car": (0.75232, 0.05130, 0.00057, 0.000000372), "lgv": (0.65074,
 OTHER_CURVE = {"car": (8.74, 239.77), "lgv": (12.70, 83.06), "ogv": (17.41, 680.18), "psv": (53.67, 1223.40)}
 # Fixed values by tier: vehicles a lane and hour, break point, free flow, urban cap, least speed (mph), congestion factor.
 TIERS = {"freeway": (2400, 1400, 70, 55, 10, 0.033), "arterial": (2200, 1300, 60, 45, 8, 0.033), "collector": (1700, 1100, 55, 35, 7, 0.05), "local_access": (1000, 800, 35, 30, 5, 0.05)}
+# Tiers by road class; the classes that count as major.
 CLASS_TO_TIER = {
     "motorway": "freeway", "motorway_link": "freeway", "trunk": "freeway", "primary": "arterial", "secondary": "arterial", "tertiary": "collector",
     "local": "arterial", "service": "local_access", "unclassified": "local_access", "centroid_connector": "local_access",
@@ -20,6 +21,15 @@ CLASS_TO_TIER = {
 MAJOR_CLASSES = ("motorway", "motorway_link", "trunk", "primary", "secondary")
 
 
+def clean_class(road_class: Column) -> Column:
+    """Lower case, trimmed; null is empty."""
+    return F.lower(F.trim(F.coalesce(road_class.cast("string"), F.lit(""))))
+
+
+def is_major(road_class: Column, *more: str) -> Column:
+    return clean_class(road_class).isin(*MAJOR_CLASSES, *more)
+
+
 def tier(road_class: Column) -> Column:
     """The tier of a road class; null-like classes are unclassified, unknown ones arterial."""
     c = F.lower(F.trim(road_class))
@@ -78,6 +88,20 @@ def fares(km: Column) -> tuple[Column, Column]:
     return F.least(2 + 0.15 * km, F.lit(4.5)), F.least(3 + 0.2 * km, F.lit(250.0))
 
 
+#: Hours of waiting that a trip by bus or rail adds.
+WAITING = {"psv": 0.25, "rail": 0.15}
+
+
+def waiting_cost(vehicle: str) -> float:
+    """What waiting adds to the time cost of a trip."""
+    return WAITING.get(vehicle, 0.0) * VALUE_OF_TIME[vehicle]
+
+
+def speed_override(free: Column, least: Column, cap: Column) -> Column:
+    """Free-flow speed under a cap: 0 where the cap is below the least speed (such links go), the cap where it is below the free speed."""
+    return F.when(cap.isNull(), free).when(cap < least, F.lit(0.0)).when(cap < free, cap).otherwise(free)
+
+
 def bpr_time(t0: Column, flow: Column, capacity: Column, alpha: float = 0.15, beta: float = 4.0) -> Column:
     """Travel time at a flow; free time where there is no capacity or no flow."""
     return F.when((capacity <= 0) | (flow <= 0), t0).otherwise(t0 * (1 + alpha * F.pow(F.try_divide(flow, capacity), F.lit(beta))))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .cost import clean_class, is_major
+
 LEVELS = ("no", "minor", "moderate", "extensive", "severe")
 # Thresholds of minor, moderate, extensive and severe for (major, other) roads; flood in cm, snow, landslide and ice in mm, quakes in g.
 THRESHOLDS = {
@@ -21,6 +23,18 @@ FLOODS = ("surface", "river", "coastal")
 SPEED_SHARE = {"no": 1.0, "minor": 0.85, "moderate": 0.5, "extensive": 0.0, "severe": 0.0}
 
 
+#: The classes that floods can damage; for these hazards tertiary roads are major too.
+DAMAGEABLE = ("motorway", "motorway_link", "trunk", "primary", "secondary", "tertiary", "service", "unclassified", "local")
+WIDER_MAJOR = ("earthquake", "landslide", "winter_storm")
+
+
+def class_ordinal(value: Column, hazard: str, road_class: Column) -> Column:
+    """0 to 4 for an intensity on a road of a class; floods do not damage classes that are not known."""
+    hazard = "river" if hazard == "flood" else hazard
+    out = ordinal(value, hazard, is_major(road_class, *(("tertiary",) if hazard in WIDER_MAJOR else ())))
+    return F.when(clean_class(road_class).isin(*DAMAGEABLE), out).otherwise(0) if hazard in FLOODS else out
+
+
 def ordinal(value: Column, hazard: str, major: Column) -> Column:
     """0 to 4 for an intensity (floods in metres). On minor roads any depth of river flood is damage."""
     hazard = "river" if hazard == "flood" else hazard
@@ -79,6 +93,47 @@ def road_cost(length: Column, lanes: Column, unit: Column, share: Column) -> Col
     return length * 1e-3 * lanes * unit * share
 
 
-def consolidated(pairs: list[tuple[Column, Column]]) -> Column:
-    """The mean of the first pair of curves that has a value; 0 if none has."""
-    return F.coalesce(*[(a + b) / 2 for a, b in pairs], F.lit(0.0))
+def consolidated(types: list[list[tuple[Column, Column]]]) -> Column:
+    """For each type of flood the mean of what the first pair of curves with a value has, 0 if none has one; summed over types."""
+    out = F.lit(0.0)
+    for pairs in types:
+        out = out + F.coalesce(*[(F.coalesce(a, b) + F.coalesce(b, a)) / 2 for a, b in pairs], F.lit(0.0))
+    return out
+
+
+#: Labels of the cost tables that stand in where a key is missing.
+FALLBACK_LABELS = {"Interstate": ("motorway", "motorway_link", "trunk", "interstate"), "US Route": ("primary", "secondary", "us route"), "State Route": ("tertiary", "service", "state route")}
+
+
+def curve_pair(road_class: Column, trunk: Column, label: Column) -> Column:
+    """1, 3 or 5: the first of the pair of curves of tunnels on major roads, of other major roads, of the rest."""
+    major = is_major(road_class) | F.coalesce(trunk, F.lit(False))
+    return F.when(major & (label == "tunnel"), 1).when(major, 3).otherwise(5)
+
+
+def cost_key(road_class: Column, form: Column, lanes: Column, urban: Column) -> Column:
+    """The cost table's key of a road or tunnel: by class, form of way, lanes, and urban or not."""
+    c, place = clean_class(road_class), F.when(urban == 1, "urb").otherwise("sub")
+    wide = lambda n: F.when(lanes >= n, f"ge{n}").otherwise(f"lt{n}")
+    single = form == "Single Carriageway"
+    out = F.when(c.isin("motorway", "motorway_link"), F.concat_ws("_", F.lit("m"), wide(8), place))
+    out = out.when(c.isin("trunk", "primary", "secondary") & single, F.concat_ws("_", F.lit("asingle"), place))
+    out = out.when(c.isin("trunk", "primary", "secondary"), F.concat_ws("_", F.lit("abdual"), wide(6), place))
+    return out.when(single, F.concat_ws("_", F.lit("bsingle"), place)).otherwise(F.concat_ws("_", F.lit("bdual"), wide(6), place))
+
+
+def fallback_key(road_class: Column) -> Column:
+    out = F.lit("Local")
+    for label, classes in FALLBACK_LABELS.items():
+        out = F.when(clean_class(road_class).isin(*classes), label).otherwise(out)
+    return out
+
+
+#: How far roads lie above the ground, in the unit of the intensity, by flood; others as river.
+EMBANKMENT = {"surface": 100.0, "river": 200.0}
+
+
+def embanked(value: Column, hazard: str, road_class: Column, offset: float | None = None) -> Column:
+    """The intensity on major roads less their embankment, 0 at least."""
+    lower = EMBANKMENT.get(hazard, EMBANKMENT["river"]) if offset is None else offset
+    return F.when(is_major(road_class), F.greatest(value - lower, F.lit(0.0))).otherwise(value)

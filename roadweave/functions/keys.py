@@ -59,9 +59,9 @@ def last_five_digits(c: Column) -> Column:
     return F.lpad(F.right(F.regexp_replace(c.cast("string"), "[^0-9]", ""), F.lit(5)), 5, "0")
 
 
-def safe_event_id(c: Column, default: str = "event") -> Column:
-    """Only letters, digits and _; blanks and nulls become ``default``."""
-    return F.coalesce(F.nullif(F.regexp_replace(F.trim(c), "[^A-Za-z0-9_]", "_"), F.lit("")), F.lit(default))
+def safe_event_id(c: Column, default: str = "event_000001") -> Column:
+    """Only letters, digits, _ and -; blanks and nulls become ``default``."""
+    return F.coalesce(F.nullif(F.regexp_replace(F.trim(c), "[^A-Za-z0-9_-]", "_"), F.lit("")), F.lit(default))
 
 
 #: Freight modes by code.

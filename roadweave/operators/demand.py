@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cost import haversine_miles
+from ..functions.keys import commodity_group, fips, mode_is, rename_aliases, require, year_column, zone
+from .report import first_per_key
 
 PAIR = ["origin", "destination"]
 
@@ -55,12 +57,16 @@ def factor_sums(factors: DataFrame, keys: list[str], tolerance: float = 1e-6) ->
     return out.withColumn("ok", F.abs(F.col("total") - 1) <= tolerance)
 
 
-def disaggregate(flows: DataFrame, origin: DataFrame, destination: DataFrame, measures: list[str]) -> DataFrame:
-    """Zone flows times the factors of both ends, summed a pair of counties: (zone, county, factor) each, by group if both have it."""
+def disaggregate(flows: DataFrame, origin: DataFrame, destination: DataFrame, measures: list[str], keep_missing: bool = False) -> DataFrame:
+    """Zone flows times the factors of both ends, summed a pair of counties: (zone, county, factor) each, by group if both have it.
+
+    A flow whose zone has no factor is dropped; with ``keep_missing`` it stays with a null county and null measures.
+    """
+    how = "left" if keep_missing else "inner"
     by = [c for c in ("group",) if c in flows.columns and c in origin.columns]
     o = origin.select(F.col("zone").alias("origin_zone"), F.col("county").alias("origin"), F.col("factor").alias("fo"), *by)
     d = destination.select(F.col("zone").alias("destination_zone"), F.col("county").alias("destination"), F.col("factor").alias("fd"), *by)
-    out = flows.join(o, ["origin_zone", *by]).join(d, ["destination_zone", *by])
+    out = flows.join(o, ["origin_zone", *by], how).join(d, ["destination_zone", *by], how)
     keep = [c for c in flows.columns if c not in ("origin_zone", "destination_zone", *measures)]
     return out.groupBy(*PAIR, *keep).agg(*[F.sum(F.col(m) * F.col("fo") * F.col("fd")).alias(m) for m in measures])
 
@@ -93,8 +99,86 @@ def gravity(flows: DataFrame, weights: DataFrame, distance: DataFrame, power: fl
     return dealt.groupBy(*PAIR).agg(F.sum(F.col("tons") * F.col("share")).alias("tons"))
 
 
-def trucks(od: DataFrame, payload: DataFrame, days: float = 365.0, fallback: str = "all") -> DataFrame:
-    """Daily trucks: tons over the commodity's payload, or that of ``fallback``, over ``days``."""
+def near_zones(flows: DataFrame, zones: list[str]) -> DataFrame:
+    """Flows that start or end in one of the zones; codes are compared without leading zeros."""
+    want = [z.strip().lstrip("0") or "0" if z.strip().isdigit() else z.strip() for z in zones]
+    return flows.where(zone(F.col("origin_zone")).isin(want) | zone(F.col("destination_zone")).isin(want))
+
+
+def in_tons(flows: DataFrame, unit: str = "thousand_tons") -> DataFrame:
+    """Tons as tons, positive rows only; other units raise ValueError."""
+    if unit not in ("tons", "thousand_tons"):
+        raise ValueError("the unit is tons or thousand_tons")
+    return flows.withColumn("tons", F.col("tons") * (1000.0 if unit == "thousand_tons" else 1.0)).where("tons > 0")
+
+
+def regional_flows(rows: DataFrame, year: int | None = None, mode: str | None = "truck", unit: str = "thousand_tons", zones: list[str] | None = None) -> DataFrame:
+    """origin_zone, destination_zone, sctg, group, mode, year, tons, value of a table of regional flows, whatever aliases its columns go by.
+
+    One plan reads, filters and normalises; there are no chunks, as the scan is parted already.
+    """
+    df = rename_aliases(rows, {"origin_zone": ["dms_orig", "origin_faf"], "destination_zone": ["dms_dest", "destination_faf"], "sctg": ["sctg2", "commodity"], "group": ["sctgG5"], "mode": ["dms_mode"]})
+    tons, value = year_column(df, "tons", year), next((c for c in (f"value_{year}", "value") if c in df.columns), None)
+    require(df, ["origin_zone", "destination_zone", "mode"])
+    if tons is None or not {"sctg", "group"} & set(df.columns):
+        raise ValueError("regional flows need tons and a commodity")
+    if mode is not None:
+        df = df.where(mode_is(F.col("mode"), mode))
+    sctg = F.trim(F.col("sctg").cast("string")) if "sctg" in df.columns else F.lit(None).cast("string")
+    group = F.coalesce(F.col("group"), commodity_group(sctg)) if "group" in df.columns else commodity_group(sctg)
+    out = df.select(
+        zone(F.col("origin_zone")).alias("origin_zone"), zone(F.col("destination_zone")).alias("destination_zone"), sctg.alias("sctg"), group.alias("group"), F.trim(F.col("mode").cast("string")).alias("mode"),
+        F.lit(year).cast("int").alias("year"), F.col(tons).try_cast("double").alias("tons"), (F.col(value).try_cast("double") if value else F.lit(None).cast("double")).alias("value"),
+    )
+    return in_tons(near_zones(out, zones) if zones else out, unit)
+
+
+FLOW_KEYS = ["origin_zone", "destination_zone", "group", "mode", "year"]
+
+
+def county_flows(flows: DataFrame, origin: DataFrame, destination: DataFrame, keep_missing: bool = False) -> DataFrame:
+    """Tons and value by both zones, both counties, group, mode and year; null is a key like any other."""
+    o = origin.select(F.col("zone").alias("origin_zone"), F.col("county").alias("origin"), F.col("factor").alias("fo"), "group")
+    d = destination.select(F.col("zone").alias("destination_zone"), F.col("county").alias("destination"), F.col("factor").alias("fd"), "group")
+    how = "left" if keep_missing else "inner"
+    rows = flows.join(o, ["origin_zone", "group"], how).join(d, ["destination_zone", "group"], how)
+    return rows.groupBy(*FLOW_KEYS, *PAIR).agg(*[F.sum(F.col(m) * F.col("fo") * F.col("fd")).alias(m) for m in ("tons", "value")])
+
+
+def disaggregation_quality(flows: DataFrame, counties: DataFrame, origin: DataFrame, destination: DataFrame) -> DataFrame:
+    """One row: tons before and after, the difference in percent, records, records without a factor at either end, and keys that were dropped."""
+    lost = lambda factors, end: flows.join(factors.select(F.col("zone").alias(end), "group").distinct(), [end, "group"], "left_anti").agg(F.count("*").alias("n"))
+    a = flows.agg(F.coalesce(F.sum("tons"), F.lit(0.0)).alias("tons_before"), F.count("*").alias("records"))
+    b = counties.agg(F.coalesce(F.sum("tons"), F.lit(0.0)).alias("tons_after"), F.count("*").alias("county_records"))
+    keys_of = lambda df: df.select(*FLOW_KEYS).distinct()
+    gone = keys_of(flows).exceptAll(keys_of(counties)).agg(F.count("*").alias("dropped"))
+    one = a.crossJoin(b).crossJoin(lost(origin, "origin_zone").withColumnRenamed("n", "missing_origin")).crossJoin(lost(destination, "destination_zone").withColumnRenamed("n", "missing_destination")).crossJoin(gone)  # one row each
+    return one.withColumn("difference_percent", F.coalesce(F.try_divide((F.col("tons_after") - F.col("tons_before")) * 100, "tons_before"), F.lit(0.0)))
+
+
+def zone_weights(weights: DataFrame, wanted: DataFrame, fallback: str = "all") -> DataFrame:
+    """zone, commodity, subarea, share: a zone's weights for each commodity that is wanted of it, else those of ``fallback``, renormalised.
+
+    A zone and commodity with neither has a row with null subarea, so that its flow is seen to have no place.
+    """
+    w = weights.select("zone", F.col("commodity").alias("__own"), "subarea", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    known = wanted.select("zone", "commodity").distinct()
+    exact = known.join(w, ["zone"]).where("commodity = __own")
+    rest = known.join(exact.select("zone", "commodity").distinct(), ["zone", "commodity"], "left_anti").join(w.where(F.col("__own") == fallback), "zone", "left")
+    return shares(exact.unionByName(rest).drop("__own"), ["zone", "commodity"], "weight").withColumn("share", F.when(F.col("subarea").isNotNull(), F.col("share"))).drop("weight")
+
+
+def whole_trucks(tons: Column, payload: float = 20.0, days: float = 365.0) -> Column:
+    """Trucks a day as a whole number, 1 at least; halves go to the even number."""
+    return F.greatest(F.lit(1), half_even(tons / payload / days))
+
+
+def trucks(od: DataFrame, payload: DataFrame, days: float = 365.0, fallback: str | None = "all") -> DataFrame:
+    """Daily trucks: tons over the commodity's payload, or that of ``fallback``, over ``days``; without a fallback a missing payload raises an error."""
+    if fallback is None:
+        exact = od.join(F.broadcast(payload.select("commodity", "payload")), "commodity", "left")
+        missing = F.raise_error(F.concat(F.lit("no payload for "), F.coalesce(F.col("commodity").cast("string"), F.lit("null")))).cast("double")
+        return exact.withColumn("trucks", F.when(F.col("payload").isNull(), missing).otherwise(F.col("tons") / F.col("payload") / days)).drop("payload")
     own = payload.where(F.col("commodity") != fallback).select("commodity", F.col("payload").alias("own"))
     rest = payload.where(F.col("commodity") == fallback).agg(F.max("payload").alias("rest"))
     return od.join(F.broadcast(own), "commodity", "left").crossJoin(F.broadcast(rest)).withColumn("trucks", F.col("tons") / F.coalesce("own", "rest") / days).drop("own", "rest")
@@ -115,9 +199,13 @@ def nearest(left: DataFrame, right: DataFrame, cells: float = 1.0) -> DataFrame:
     schema = left.select("id").schema
     while True:
         cell = lambda c, r=ring: F.floor(F.col(c) / r)
+        # Columns run around the globe, of which the last may be narrower, so one more is looked at; few columns are all looked at.
+        columns = int(-(-360 // ring))
+        column = lambda c, r=ring: F.floor(F.pmod(F.col(c), F.lit(360.0)) / r)  # noqa: E731, B023
+        reach_x = F.explode(F.sequence(F.lit(-2), F.lit(2)) if columns > 5 else F.sequence(F.lit(0), F.lit(columns - 1)))
         around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-        probes = todo.select("*", around.alias("dx")).select("*", around.alias("dy")).select("id", "lon", "lat", (cell("lon") + F.col("dx")).alias("cx"), (cell("lat") + F.col("dy")).alias("cy"))
-        met = probes.join(points.select("*", cell("lon2").alias("cx"), cell("lat2").alias("cy")), ["cx", "cy"])
+        probes = todo.select("*", reach_x.alias("dx")).select("*", around.alias("dy")).select("id", "lon", "lat", F.pmod(column("lon") + F.col("dx"), F.lit(columns)).alias("cx"), (cell("lat") + F.col("dy")).alias("cy")).distinct()
+        met = probes.join(points.select("*", column("lon2").alias("cx"), cell("lat2").alias("cy")), ["cx", "cy"])
         miles = haversine_miles(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))
         best = met.withColumn("miles", miles).groupBy("id", "lat").agg(F.min(F.struct("miles", "near_id")).alias("b")).select("id", "lat", "b.near_id", "b.miles")
         # A ring of r degrees is r * 69 miles of latitude, less of longitude towards the poles.
@@ -145,6 +233,55 @@ def half_even(c: Column) -> Column:
     return F.rint(c).cast("long")
 
 
+def commuter_counties(parts: list[DataFrame], lookup: DataFrame, year: int, job: str = "JT00") -> DataFrame:
+    """origin, destination, year, job_type, jobs: the main and auxiliary parts of all states in one plan, positive rows only."""
+    both = parts[0]
+    for more in parts[1:]:
+        both = both.unionByName(more)
+    return commuter_od(both, lookup).select(*PAIR, F.lit(year).alias("year"), F.lit(job).alias("job_type"), "jobs")
+
+
+def commuter_trips(counties: DataFrame, days: float = 365.0) -> DataFrame:
+    """Commuters as assignment demand: a daily trip a job, and so many a year."""
+    return counties.select(*PAIR, F.col("jobs").cast("double").alias("daily_trips"), (F.col("jobs") * days).alias("annual_trips"))
+
+
+def crosswalk(zones: DataFrame, centroids: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """zone, centroid, node, method, miles, warning: zones by equal ids first, the rest by the nearest centroid.
+
+    zones: zone; centroids: centroid, node, lon, lat; places: zone, lon, lat. Ids are compared as ``keys.fips``. A zone
+    without place is unmapped; over 25 and 50 miles are warned of.
+    """
+    c = first_per_key(centroids.withColumn("zone", fips(F.col("centroid").cast("string"))), ["zone"], ["centroid", "node"])
+    z = zones.select(fips(F.col("zone").cast("string")).alias("zone")).where("zone IS NOT NULL").distinct()
+    exact = z.join(c.select("zone", "centroid", "node"), "zone").withColumns({"method": F.lit("exact_match"), "miles": F.lit(0.0)})
+    rest = z.join(exact.select("zone"), "zone", "left_anti")
+    columns = ["zone", "centroid", "node", "method", "miles"]
+    if places is None:
+        far = rest.select("zone", *[F.lit(None).cast(c.schema[n].dataType).alias(n) for n in ("centroid", "node")], F.lit(None).cast("string").alias("method"), F.lit(None).cast("double").alias("miles"))
+    else:
+        at = places.select(fips(F.col("zone").cast("string")).alias("zone"), "lon", "lat").where("lon IS NOT NULL AND lat IS NOT NULL").groupBy("zone").agg(F.min(F.struct("lon", "lat")).alias("p"))
+        near = nearest(rest.join(at, "zone").select(F.col("zone").alias("id"), "p.lon", "p.lat"), c.where("lon IS NOT NULL AND lat IS NOT NULL").select(F.col("zone").alias("id"), "lon", "lat"))
+        near = near.select(F.col("id").alias("zone"), F.col("near_id").alias("__z"), "miles")
+        named = near.join(c.select(F.col("zone").alias("__z"), "centroid", "node"), "__z").withColumn("method", F.lit("nearest_loading_node"))
+        far = rest.join(named, "zone", "left")
+    out = exact.select(*columns).unionByName(far.select(*columns))
+    warning = F.when(F.col("centroid").isNull(), "unmapped").when(F.col("miles") > 50, "distance_gt_50_miles").when(F.col("miles") > 25, "distance_gt_25_miles").otherwise("")
+    return out.withColumn("warning", warning)
+
+
+def scaled_split(od: DataFrame, scale: float = 1.0, freight_share: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Freight and passenger demand: the flow times ``scale``, parted by the share; positive rows only."""
+    part = lambda share: normalise(od.withColumn("flow", F.col("flow") * (scale * share)))
+    return part(freight_share), part(1 - freight_share)
+
+
+def weighted_mean(df: DataFrame, keys_: list[str], value: str, weight: str) -> DataFrame:
+    """Each key's weight and the mean of its values by weight; null where all weights are 0."""
+    sums = df.groupBy(*keys_).agg(F.sum(weight).alias(weight), F.sum(F.col(value) * F.col(weight)).alias("__s"))
+    return sums.withColumn(value, F.try_divide("__s", weight)).drop("__s")
+
+
 def commuter_od(blocks: DataFrame, lookup: DataFrame) -> DataFrame:
     """origin, destination (counties), jobs: home and work blocks looked up, summed, positive rows only.
 

@@ -53,6 +53,7 @@ def damaged(levels: list[Column], depth: Column | None = None) -> Column:
     return F.coalesce(depth, F.lit(0.0)) > 0
 
 
-def segment_levels(segments: DataFrame, hazard: str, major: Column, value: str = "intensity") -> DataFrame:
-    n = damage.ordinal(F.col(value), hazard, major)
+def segment_levels(segments: DataFrame, hazard: str, value: str = "intensity") -> DataFrame:
+    """Segments (road_class) with level number and level_name."""
+    n = damage.class_ordinal(F.col(value), hazard, F.col("road_class"))
     return segments.withColumns({"level": n, "level_name": damage.level_name(n)})

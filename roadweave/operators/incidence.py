@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Columns of costs of a path.
+COSTS = ("cost", "fuel", "time", "toll", "fare", "metres", "length")
+
+
 def incidence(paths: DataFrame) -> DataFrame:
     """(od_id, flow, pos, e_id) of every step of every path: od_id, flow, path array<e_id>. Links visited twice stand twice."""
     return paths.select("od_id", "flow", F.posexplode("path").alias("pos", "e_id"))
 
 
 def edge_totals(steps: DataFrame, capacity: DataFrame) -> DataFrame:
-    """e_id, capacity, total_flow of the links on paths."""
-    return steps.groupBy("e_id").agg(F.sum("flow").alias("total_flow")).join(capacity.select("e_id", "capacity"), "e_id")
+    """e_id, total_flow, capacity of the links on paths; a link without a capacity has null and limits nothing."""
+    return steps.groupBy("e_id").agg(F.sum("flow").alias("total_flow")).join(capacity.select("e_id", "capacity"), "e_id", "left")
 
 
 def od_adjustment(steps: DataFrame, totals: DataFrame) -> DataFrame:
@@ -54,8 +58,38 @@ def isolated(od: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def merge_paths(paths: DataFrame) -> DataFrame:
-    """One row for each (origin, destination, path): smallest od_id, summed flow."""
-    return paths.groupBy("origin", "destination", "path").agg(F.min("od_id").alias("od_id"), F.sum("flow").alias("flow"))
+    """One row for each (origin, destination, path): smallest od_id, summed flow, and the least of any cost columns."""
+    costs = [F.min(c).alias(c) for c in paths.columns if c in COSTS]
+    return paths.groupBy("origin", "destination", "path").agg(F.min("od_id").alias("od_id"), F.sum("flow").alias("flow"), *costs)
+
+
+def total_costs(paths: DataFrame, flow: str = "assigned") -> DataFrame:
+    """One row: the flow, and each cost column times the flow, 0 where there is none."""
+    sums = [F.coalesce(F.sum(F.col(flow) * F.col(c)), F.lit(0.0)).alias(c) for c in paths.columns if c in COSTS]
+    return paths.agg(F.coalesce(F.sum(flow), F.lit(0.0)).alias("flow"), *sums)
+
+
+def origin_lists(od: DataFrame) -> DataFrame:
+    """origin, destinations and flows: an origin's demand as two lists in the order of destinations."""
+    both = F.array_sort(F.collect_list(F.struct("destination", "flow")))
+    return od.groupBy("origin").agg(both.alias("x")).select("origin", F.col("x.destination").alias("destinations"), F.col("x.flow").alias("flows"))
+
+
+def isolation(od: DataFrame) -> DataFrame:
+    """origin, destination, flow of demand that found no way: summed, without pairs of one place and without flow."""
+    return od.where("origin <> destination").groupBy("origin", "destination").agg(F.sum("flow").alias("flow")).where("flow > 0")
+
+
+def disrupted_by_pair(lost: DataFrame) -> DataFrame:
+    """One row an event: disrupted flow in all, summed by pair first, and the pairs."""
+    pairs = lost.groupBy("event", "origin", "destination").agg(F.sum("disrupted").alias("f"))
+    return pairs.groupBy("event").agg(F.count("*").alias("pairs"), F.sum("f").alias("disrupted"))
+
+
+def edge_ids(c):
+    """A path as array<string> from text like "[a, 'b']" or "a, b"; nulls, blanks and nan are left out."""
+    parts = F.transform(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\[\]()'\"]", ""), r"[,\s]+"), lambda s: F.trim(s))
+    return F.filter(parts, lambda s: (s != "") & ~F.lower(s).isin("nan", "none", "null"))
 
 
 def event_candidates(paths: DataFrame, damaged: DataFrame) -> DataFrame:
@@ -66,19 +100,23 @@ def event_candidates(paths: DataFrame, damaged: DataFrame) -> DataFrame:
 
 
 def disrupted(candidates: DataFrame, capacity: DataFrame) -> DataFrame:
-    """event, od_id, disrupted flow: what exceeds the smallest capacity left on the hit links; positive rows only."""
+    """event, od_id, disrupted flow: what exceeds the smallest capacity left on the hit links; positive rows only.
+
+    Links without a capacity limit nothing; a path whose hit links all have none is not disrupted.
+    """
     per_hit = candidates.select("event", "od_id", "flow", F.explode(F.array_distinct("hits")).alias("e_id")).join(capacity, "e_id", "left")
     least = per_hit.groupBy("event", "od_id").agg(F.first("flow").alias("flow"), F.min("capacity").alias("least"))
-    out = F.greatest(F.col("flow") - F.coalesce("least", F.lit(0.0)), F.lit(0.0))
+    out = F.col("flow") - F.col("least")
     return least.select("event", "od_id", out.alias("disrupted")).where("disrupted > 0")
 
 
 def path_index(paths: DataFrame) -> DataFrame:
-    """A path written once: path_id (a hash of its links), path, and the number of trips on it."""
-    return paths.groupBy(F.xxhash64("path").alias("path_id"), "path").agg(F.count("*").alias("n"), F.sum("flow").alias("flow"))
+    """A path written once: path_id (128 bits of its links' hash), path, and the number of trips on it."""
+    return paths.groupBy(F.md5(F.to_json(F.struct("path"))).alias("path_id"), "path").agg(F.count("*").alias("n"), F.sum("flow").alias("flow"))
 
 
 def index_candidates(index: DataFrame, damaged: DataFrame) -> DataFrame:
-    """event, path_id, hits: paths of the index that hold an event's damaged links, with how many distinct ones."""
-    links = index.select("path_id", F.explode(F.array_distinct("path")).alias("e_id"))
-    return links.join(damaged, "e_id").groupBy("event", "path_id").agg(F.count("*").alias("hits"))
+    """event, path_id, hits, path, n, flow: paths of the index that hold an event's damaged links, with those in the path's order, once each."""
+    links = index.select("path_id", F.posexplode(F.array_distinct("path")).alias("pos", "e_id"))
+    met = links.join(damaged, "e_id").groupBy("event", "path_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "e_id"))), lambda s: s["e_id"]).alias("hits"))
+    return met.join(index, "path_id").select("event", "path_id", "hits", "path", "n", "flow")

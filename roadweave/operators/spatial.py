@@ -57,6 +57,39 @@ def in_polygon(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
     return odd % 2 == 1
 
 
+def sides(polygons: DataFrame) -> DataFrame:
+    """polygon, ax, ay, bx, by: the sides of each ring (polygon, ring array<struct<x, y>>), closed if it is not."""
+    ring = F.concat("ring", F.slice("ring", 1, 1))
+    pairs = F.explode(F.arrays_zip(F.slice(ring, 1, F.size("ring")).alias("a"), F.slice(ring, 2, F.size("ring")).alias("b")))
+    return polygons.select("polygon", pairs.alias("s")).select("polygon", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
+
+
+def within(points: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataFrame:
+    """id, polygon: each point (id, x, y) with every polygon (polygon, ring) that it lies in; points on a left or lower side count as inside.
+
+    A side meets the points of the rows of cells that it crosses, so what is compared grows with what lies side by side.
+    """
+    s = sides(polygons).where("ay <> by")
+    rows = F.explode(F.sequence(F.floor(F.least("ay", "by") / cell), F.floor(F.greatest("ay", "by") / cell))).alias("row")
+    met = points.select("id", "x", "y", F.floor(F.col("y") / cell).alias("row")).join(s.select("*", rows), "row")
+    crosses = ((F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))) & (F.col("x") < (F.col("bx") - F.col("ax")) * (F.col("y") - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax"))
+    return met.where(crosses).groupBy("id", "polygon").agg(F.count("*").alias("n")).where("n % 2 = 1").select("id", "polygon")
+
+
+def within_or_nearest(points: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataFrame:
+    """id, polygon: the first polygon by name that a point lies in, else the one with the nearest corner (few points, as each meets all corners)."""
+    inside = within(points, polygons, cell).groupBy("id").agg(F.min("polygon").alias("polygon"))
+    corners = polygons.select("polygon", F.explode("ring").alias("c")).select("polygon", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))
+    rest = points.join(inside, "id", "left_anti").join(corners, F.lit(True)).groupBy("id").agg(F.min(F.struct(F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")).alias("d"), "polygon")).alias("m"))
+    return inside.union(rest.select("id", "m.polygon"))
+
+
+def label_inside(features: DataFrame, polygons: DataFrame, column: str = "urban") -> DataFrame:
+    """Features (id, x, y) with 1 where any polygon holds them, else 0; a feature in several stays one row."""
+    hit = within(features, polygons).select("id").distinct().withColumn("__in", F.lit(1))
+    return features.join(hit, "id", "left").withColumn(column, F.coalesce("__in", F.lit(0))).drop("__in")
+
+
 def line_length(vertices: Column) -> Column:
     ends = F.arrays_zip(F.slice(vertices, 1, F.size(vertices) - 1).alias("a"), F.slice(vertices, 2, F.size(vertices) - 1).alias("b"))
     return F.aggregate(ends, F.lit(0.0), lambda s, p: s + F.hypot(p["b"]["x"] - p["a"]["x"], p["b"]["y"] - p["a"]["y"]))

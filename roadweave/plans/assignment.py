@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import incidence as inc
-from ..operators.network import adjacency, least_cost_paths, least_cost_tree
+from ..operators.network import Network, least_cost_paths
 from ..session import checkpointed
 
 
@@ -30,6 +30,7 @@ def capacity_loop(od: DataFrame, links: DataFrame, max_iterations: int = 50, eno
     ends when no demand or no path is left, the assigned share is ``enough``, after ``max_iterations``, or after
     ``stagnant`` rounds without progress; what is left is isolated. Every round is a checkpoint and one small action.
     """
+    od = od.groupBy("origin", "destination").agg(F.sum("flow").alias("flow"))
     links = checkpointed(links.withColumns({"acc_capacity": F.col("acc_capacity") if "acc_capacity" in links.columns else F.col("capacity"), "acc_flow": F.col("acc_flow") if "acc_flow" in links.columns else F.lit(0.0)}))
     nodes = links.select(F.col("from_id").alias("node")).union(links.select("to_id")).distinct()
     lost = checkpointed(inc.isolated(od.select("origin", "destination", "flow"), nodes))
@@ -38,8 +39,8 @@ def capacity_loop(od: DataFrame, links: DataFrame, max_iterations: int = 50, eno
     done, idle, cost, rounds, parts = 0.0, 0, 0.0, 0, None
     while whole and not left.isEmpty():
         active = links.where("acc_capacity >= 1 AND acc_capacity / capacity >= 0.001")
-        ways = least_cost_paths(left, active)
-        ways = checkpointed(ways.where("size(path) > 0").withColumn("od_id", F.xxhash64("origin", "destination")))
+        # Demand has one row a pair, so a pair's name is its own.
+        ways = checkpointed(least_cost_paths(left, active).where("size(path) > 0").withColumn("od_id", F.to_json(F.struct("origin", "destination"))))
         if ways.isEmpty():
             break
         steps = inc.incidence(ways)
@@ -76,7 +77,7 @@ def reroute(base: Assignment, closed: DataFrame) -> tuple[float, Assignment | No
 
 
 def user_equilibrium(od: list[tuple[str, str, float]], links: list[dict], iterations: int = 200, gap: float = 1e-3, alpha: float = 0.15, beta: float = 4.0) -> tuple[dict[str, float], list[float]]:
-    """Link flows and relative gaps by successive averages with step 2 / (k + 2), on a directed network that the driver holds.
+    """Link flows and relative gaps by successive averages, all of the first load, then steps of 1/2, 2/5, 1/3, on a directed network that the driver holds.
 
     links: e_id, from_id, to_id, t0, capacity. For networks of test size; demand on large ones goes through capacity_loop.
     """
@@ -84,13 +85,13 @@ def user_equilibrium(od: list[tuple[str, str, float]], links: list[dict], iterat
     gaps: list[float] = []
     for k in range(iterations):
         time = {e["e_id"]: e["t0"] if e["capacity"] <= 0 or flow[e["e_id"]] <= 0 else e["t0"] * (1 + alpha * (flow[e["e_id"]] / e["capacity"]) ** beta) for e in links}
-        graph = adjacency([(e["e_id"], e["from_id"], e["to_id"], time[e["e_id"]]) for e in links], directed=True)
+        net = Network.of([e["e_id"] for e in links], [e["from_id"] for e in links], [e["to_id"] for e in links], [time[e["e_id"]] for e in links], directed=True)
         target, least = dict.fromkeys(flow, 0.0), 0.0
         wanted: dict[str, list[tuple[str, float]]] = {}
         for o, d, f in od:
             wanted.setdefault(o, []).append((d, f))
         for o, ends in wanted.items():
-            tree = least_cost_tree(graph, o, {d for d, _ in ends})
+            tree = net.tree(o, {d for d, _ in ends})
             for d, f in ends:
                 if d in tree:
                     least += f * tree[d][0]
@@ -98,9 +99,9 @@ def user_equilibrium(od: list[tuple[str, str, float]], links: list[dict], iterat
                         target[e] += f
         total = sum(flow[e] * time[e] for e in flow)
         if k:
-            gaps.append(1 - least / total if total else 0.0)
+            gaps.append(max(0.0, 1 - least / total) if total else 0.0)
             if gaps[-1] < gap:
                 break
-        step = 1.0 if not k else 2 / (k + 2)
+        step = 1.0 if not k else 2 / (k + 3)
         flow = {e: flow[e] + step * (target[e] - flow[e]) for e in flow}
     return flow, gaps

@@ -102,10 +102,12 @@ def edge_flow_after_clip(s, d):
     return inc.edge_flow(_assigned(s, d)).select("e_id", r("edge_flow", 6).alias("edge_flow"))
 
 
-@query("iteration_costs", "SELECT round(sum(assigned * metres), 0) AS metre_flow, round(sum(assigned * toll), 1) AS toll FROM asg JOIN pe USING (od_id) JOIN lk USING (e_id)", "asg pe lk")
+@query("iteration_costs", "WITH c AS (SELECT od_id, any_value(assigned) AS f, sum(metres) AS m, sum(toll) AS t FROM asg JOIN pe USING (od_id) JOIN lk USING (e_id) GROUP BY 1) SELECT round(sum(f), 3) AS flow, round(sum(f * m), 0) AS metre_flow, round(sum(f * t), 1) AS toll FROM c", "asg pe lk")
 def iteration_costs(s, d):
-    a = _assigned(s, d).select(F.col("assigned"), F.explode("path").alias("e_id")).join(T.links(s, d), "e_id")
-    return a.agg(r(F.sum(F.col("assigned") * F.col("metres")), 0).alias("metre_flow"), r(F.sum(F.col("assigned") * F.col("toll")), 1).alias("toll"))
+    a = _assigned(s, d)
+    costs = inc.path_cost(inc.incidence(a.select("od_id", F.col("assigned").alias("flow"), "path")), T.links(s, d), ["metres", "toll"])
+    total = inc.total_costs(a.join(costs, "od_id"))
+    return total.select(r("flow", 3).alias("flow"), r("metres", 0).alias("metre_flow"), r("toll", 1).alias("toll"))
 
 
 @query("remaining_demand", "WITH g AS (SELECT origin, destination, sum(flow) AS flow, sum(assigned) AS used FROM asg GROUP BY 1, 2) SELECT origin, destination, round(greatest(flow - used, 0), 6) AS flow FROM g WHERE flow - used > 1e-9", "asg")
@@ -133,18 +135,20 @@ def odpfc_merge(s, d):
 
 
 def _damaged(s, d):
-    return T.links(s, d).where("suppkey % 10 < 3").select("e_id", (F.col("suppkey") % 3).cast("int").alias("event"))
+    """An event a hazard: links whose mean depth does extensive damage or worse."""
+    mean = T.segments(s, d).groupBy("e_id", "hazard").agg(F.avg("intensity").alias("x")).join(T.links(s, d).select("e_id", "road_class"), "e_id")
+    return mean.where(damage.class_ordinal(F.col("x"), "river", F.col("road_class")) >= 3).select("e_id", F.col("hazard").alias("event"))
 
 
-DMG = "WITH dm AS (SELECT e_id, (suppkey % 3)::INTEGER AS event FROM lk WHERE suppkey % 10 < 3)"
+DMG = "WITH dm AS (SELECT e_id, hazard AS event FROM (SELECT e_id, hazard, avg(intensity) AS x FROM sg GROUP BY 1, 2) JOIN lk USING (e_id) WHERE x >= 2 AND lower(trim(road_class)) <> 'unknown')"
 
 
-@query("event_candidates", f"{DMG} SELECT event, od_id, string_agg(e_id, ',' ORDER BY pos) AS hits, round(any_value(flow), 6) AS flow FROM st JOIN dm USING (e_id) GROUP BY 1, 2", "st lk")
+@query("event_candidates", f"{DMG} SELECT event, od_id, string_agg(e_id, ',' ORDER BY pos) AS hits, round(any_value(flow), 6) AS flow FROM st JOIN dm USING (e_id) GROUP BY 1, 2", "st lk sg")
 def event_candidates(s, d):
     return inc.event_candidates(T.od_paths(s, d), _damaged(s, d)).select("event", "od_id", F.array_join("hits", ",").alias("hits"), r("flow", 6).alias("flow"))
 
 
-@query("disrupted_flow", f"{DMG} SELECT event, od_id, round(greatest(any_value(flow) - min(capacity) / 1000, 0), 6) AS disrupted FROM st JOIN dm USING (e_id) JOIN lk USING (e_id) GROUP BY 1, 2 HAVING any_value(flow) - min(capacity) / 1000 > 0", "st lk")
+@query("disrupted_flow", f"{DMG} SELECT event, od_id, round(greatest(any_value(flow) - min(capacity) / 1000, 0), 6) AS disrupted FROM st JOIN dm USING (e_id) JOIN lk USING (e_id) GROUP BY 1, 2 HAVING any_value(flow) - min(capacity) / 1000 > 0", "st lk sg")
 def disrupted_flow(s, d):
     cap = T.links(s, d).select("e_id", (F.col("capacity") / 1000).alias("capacity"))
     return inc.disrupted(inc.event_candidates(T.od_paths(s, d), _damaged(s, d)), cap).withColumn("disrupted", r("disrupted", 6))
@@ -288,16 +292,19 @@ def _level_sql(hazard, value):
         return "CASE " + " ".join(f"WHEN {value} {'>' if lim == 0 else '>='} {lim} THEN '{damage.LEVELS[i]}'" for lim, i in reversed(steps)) + " ELSE 'no' END"
 
     major, other = damage.THRESHOLDS[hazard]
-    return f"CASE WHEN segment_id % 2 = 0 THEN {one(major)} ELSE {one(other)} END"
+    classes = ", ".join(f"'{c}'" for c in (*cost.MAJOR_CLASSES, *(("tertiary",) if hazard in damage.WIDER_MAJOR else ())))
+    known = ", ".join(f"'{c}'" for c in damage.DAMAGEABLE)
+    unknown = f"WHEN lower(trim(road_class)) NOT IN ({known}) THEN 'no' " if hazard in damage.FLOODS else ""
+    return f"CASE {unknown}WHEN lower(trim(road_class)) IN ({classes}) THEN {one(major)} ELSE {one(other)} END"
 
 
 def _levels(hazard, scale):
     x = "(intensity * 100.0)" if hazard in damage.FLOODS else f"(intensity * {scale})"
 
-    @query(f"{hazard}_levels", f"SELECT segment_id, {_level_sql(hazard, x)} AS level FROM sg", "sg")
+    @query(f"{hazard}_levels", f"SELECT segment_id, {_level_sql(hazard, x)} AS level FROM sg JOIN lk USING (e_id)", "sg lk")
     def levels(s, d):
-        seg = T.segments(s, d).withColumn("x", F.col("intensity") if hazard in damage.FLOODS else F.col("intensity") * scale)
-        return exposure.segment_levels(seg, hazard, F.col("segment_id") % 2 == 0, "x").select("segment_id", F.col("level_name").alias("level"))
+        seg = T.segments(s, d).withColumn("x", F.col("intensity") if hazard in damage.FLOODS else F.col("intensity") * scale).join(T.links(s, d).select("e_id", "road_class"), "e_id")
+        return exposure.segment_levels(seg, hazard, "x").select("segment_id", F.col("level_name").alias("level"))
 
 
 for _h, _s in (("surface", 1.0), ("river", 1.0), ("coastal", 1.0), ("snow", 100.0), ("earthquake", 0.1), ("landslide", 50.0), ("winter_storm", 40.0)):
@@ -315,9 +322,9 @@ def speed_cap_quadratic(s, d):
     return T.segments(s, d).select("segment_id", r(damage.speed_cap_quadratic(F.lit(60.0), F.col("intensity"), F.lit(3.0)), 6).alias("max_speed"))
 
 
-@query("speed_cap_step", f"SELECT segment_id, 60 * CASE {_level_sql('river', '(intensity * 100.0)')} WHEN 'minor' THEN 0.85 WHEN 'moderate' THEN 0.5 WHEN 'no' THEN 1.0 ELSE 0.0 END::DOUBLE AS max_speed FROM sg", "sg")
+@query("speed_cap_step", f"SELECT segment_id, 60 * CASE {_level_sql('river', '(intensity * 100.0)')} WHEN 'minor' THEN 0.85 WHEN 'moderate' THEN 0.5 WHEN 'no' THEN 1.0 ELSE 0.0 END::DOUBLE AS max_speed FROM sg JOIN lk USING (e_id)", "sg lk")
 def speed_cap_step(s, d):
-    seg = exposure.segment_levels(T.segments(s, d), "river", F.col("segment_id") % 2 == 0)
+    seg = exposure.segment_levels(T.segments(s, d).join(T.links(s, d).select("e_id", "road_class"), "e_id"), "river")
     return seg.select("segment_id", damage.speed_cap_step(F.lit(60.0), F.col("level_name")).alias("max_speed"))
 
 
@@ -408,8 +415,9 @@ def components(s, d):
 def capacity_loop(s, d):
     od = T.nation_od(s, d).groupBy(F.substring("origin", 2, 9).alias("origin"), F.substring("destination", 2, 9).alias("destination")).agg(F.sum("flow").alias("flow")).where("origin <> destination")
     net = T.nation_net(s, d).withColumn("capacity", F.lit(40.0))
-    out = assignment.capacity_loop(od, net, 12)
-    return out.links.select("e_id", r("acc_flow").alias("acc_flow"), r("acc_capacity").alias("acc_capacity"))
+    out = assignment.capacity_loop(od, net, max_iterations=10_000)
+    flows = out.links.select("e_id", r("acc_flow").alias("acc_flow"), r("acc_capacity").alias("acc_capacity"))
+    return flows.union(out.isolated.agg(F.lit("isolated").alias("e_id"), r(F.coalesce(F.sum("flow"), F.lit(0.0))).alias("acc_flow"), F.lit(None).cast("double").alias("acc_capacity")))
 
 
 @query("line_grid")
@@ -425,18 +433,18 @@ def path_index(s, d):
     return inc.path_index(T.od_paths(s, d)).select(F.array_join("path", ",").alias("path"), "n", r("flow", 6).alias("flow"))
 
 
-@query("path_index_candidates", f"{DMG}, p AS (SELECT od_id, string_agg(e_id, ',' ORDER BY pos) AS path FROM st GROUP BY 1), u AS (SELECT DISTINCT path, e_id FROM p JOIN pe USING (od_id)) SELECT event, path, count(*) AS hits FROM u JOIN dm USING (e_id) GROUP BY 1, 2", "st lk")
+@query("path_index_candidates", f"{DMG}, p AS (SELECT od_id, any_value(flow) AS flow, string_agg(e_id, ',' ORDER BY pos) AS path FROM st GROUP BY 1), m AS (SELECT path, count(*) AS n, sum(flow) AS flow, any_value(od_id) AS od_id FROM p GROUP BY 1), u AS (SELECT path, event, e_id, min(pos) AS pos FROM m JOIN pe USING (od_id) JOIN dm USING (e_id) GROUP BY 1, 2, 3) SELECT event, path, string_agg(e_id, ',' ORDER BY u.pos) AS hits, any_value(n) AS n, round(any_value(flow), 6) AS flow FROM u JOIN m USING (path) GROUP BY 1, 2", "st lk sg")
 def path_index_candidates(s, d):
     index = inc.path_index(T.od_paths(s, d))
-    return inc.index_candidates(index, _damaged(s, d)).join(index, "path_id").select("event", F.array_join("path", ",").alias("path"), "hits")
+    return inc.index_candidates(index, _damaged(s, d)).select("event", F.array_join("path", ",").alias("path"), F.array_join("hits", ",").alias("hits"), "n", r("flow", 6).alias("flow"))
 
 
-@query("disrupted_edge_flow", f"{DMG}, c AS (SELECT event, od_id, greatest(any_value(flow) - min(capacity) / 1000, 0) AS f FROM st JOIN dm USING (e_id) JOIN lk USING (e_id) GROUP BY 1, 2) SELECT event, e_id, round(sum(f), 4) AS edge_flow FROM c JOIN pe USING (od_id) WHERE f > 0 GROUP BY 1, 2", "st lk")
+@query("disrupted_edge_flow", f"{DMG}, c AS (SELECT event, od_id, greatest(any_value(flow) - min(capacity) / 1000, 0) AS f FROM st JOIN dm USING (e_id) JOIN lk USING (e_id) GROUP BY 1, 2) SELECT event, e_id, round(sum(f), 1) AS edge_flow FROM c JOIN pe USING (od_id) WHERE f > 0 GROUP BY 1, 2", "st lk sg")
 def disrupted_edge_flow(s, d):
     paths = T.od_paths(s, d)
     cap = T.links(s, d).select("e_id", (F.col("capacity") / 1000).alias("capacity"))
     lost = inc.disrupted(inc.event_candidates(paths, _damaged(s, d)), cap)
-    return lost.join(paths.select("od_id", "path"), "od_id").select("event", "disrupted", F.explode("path").alias("e_id")).groupBy("event", "e_id").agg(r(F.sum("disrupted")).alias("edge_flow"))
+    return lost.join(paths.select("od_id", "path"), "od_id").select("event", "disrupted", F.explode("path").alias("e_id")).groupBy("event", "e_id").agg(r(F.sum("disrupted"), 1).alias("edge_flow"))
 
 
 @query("commuter_county", "SELECT sn.n_regionkey AS origin, cn.n_regionkey AS destination, count(*)::BIGINT AS jobs FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey GROUP BY 1, 2")
@@ -468,11 +476,13 @@ def balance_totals(s, d):
     return demand.balance(T.nation_od(s, d), ["kind"], "flow", targets).select("origin", "destination", "kind", r("flow", 5).alias("flow"))
 
 
-@query("damage_consolidated", "SELECT segment_id, round(coalesce(CASE WHEN segment_id % 3 = 0 THEN (damage + intensity) / 2 END, CASE WHEN segment_id % 3 = 1 THEN (damage + 2 * intensity) / 2 END, 0.0) * 1e6, 0) AS usd FROM sg", "sg")
+@query("damage_consolidated", "SELECT segment_id, round((CASE segment_id % 4 WHEN 0 THEN (damage + intensity) / 2 WHEN 1 THEN damage WHEN 2 THEN 2 * intensity ELSE 0.0 END + CASE WHEN segment_id % 2 = 0 THEN 3 * intensity ELSE 0.0 END) * 1e6, 0) AS usd FROM sg", "sg")
 def damage_consolidated(s, d):
-    x, i = F.col("segment_id"), F.col("intensity")
-    of = lambda k, c: F.when(x % 3 == k, c)
-    both = damage.consolidated([(of(0, F.col("damage")), of(0, i)), (of(1, F.col("damage")), of(1, 2 * i))])
+    """Pairs with both curves, with one of them, with none, and a second type of flood on every other segment."""
+    x, i, none = F.col("segment_id"), F.col("intensity"), F.lit(None).cast("double")
+    of = lambda k, c, m=4: F.when(x % m == k, c)
+    first = [(F.coalesce(of(0, F.col("damage")), of(1, F.col("damage"))), of(0, i)), (none, of(2, 2 * i))]
+    both = damage.consolidated([first, [(none, none), (of(0, 3 * i, 2), none)]])
     return T.segments(s, d).select("segment_id", r(both * 1e6, 0).alias("usd"))
 
 
@@ -482,3 +492,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+from . import stage_queries  # noqa: E402, F401

@@ -21,9 +21,10 @@ class Scenario:
 
 
 def read_manifest(text: str) -> list[Scenario]:
-    """The events of a JSON manifest; one without hazard_type or scenario_param raises ValueError."""
+    """The events of a JSON manifest, an object with events or a bare list; one without hazard_type or scenario_param raises ValueError."""
     out = []
-    for e in json.loads(text).get("events", []):
+    rows = json.loads(text)
+    for e in rows.get("events", []) if isinstance(rows, dict) else rows:
         if "hazard_type" not in e or "scenario_param" not in e:
             raise ValueError(f"an event needs hazard_type and scenario_param: {e}")
         key = int(e["scenario_param"])

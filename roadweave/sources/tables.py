@@ -35,12 +35,59 @@ def read_tntp_links(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tntp_trips(spark: SparkSession, path: str) -> DataFrame:
-    """origin, destination, flow: "Origin n" heads the lines of "d : flow;" up to the next. A file is one text value, so lines keep their order."""
+    """origin, destination, flow, a row a pair: "Origin n" heads the lines of "d : flow;" up to the next.
+
+    Pairs of one node and flows of 0 are left out, pairs that stand twice are summed. A file is one text value, so lines keep their order.
+    """
     text = spark.read.text(path, wholetext=True)
-    blocks = text.select(F.explode(F.split("value", r"(?m)^\s*Origin\s+")).alias("block")).where(F.col("block").rlike(r"^\d+\s"))
-    pairs = F.explode(F.regexp_extract_all("block", F.lit(r"\d+\s*:\s*[0-9.]+"), F.lit(0))).alias("p")
-    cut = blocks.select(F.regexp_extract("block", r"^(\d+)", 1).alias("origin"), pairs)
-    return cut.select("origin", F.trim(F.split("p", ":")[0]).alias("destination"), F.trim(F.split("p", ":")[1]).cast("double").alias("flow")).where("flow > 0")
+    blocks = text.select(F.explode(F.split("value", r"(?m)^\s*Origin\s+")).alias("block")).where(F.col("block").rlike(r"^\S+\s"))
+    pairs = F.explode(F.regexp_extract_all("block", F.lit(r"(\S+)\s*:\s*([-+0-9.eE]+)\s*;"), F.lit(0))).alias("p")
+    cut = blocks.where(~F.col("block").startswith("<")).select(F.regexp_extract("block", r"^(\S+)", 1).alias("origin"), pairs)
+    rows = cut.select("origin", F.trim(F.split("p", ":")[0]).alias("destination"), F.trim(F.regexp_replace(F.split("p", ":")[1], ";", "")).try_cast("double").alias("flow"))
+    return rows.where("flow > 0 AND origin <> destination").groupBy("origin", "destination").agg(F.sum("flow").alias("flow"))
+
+
+def read_tntp_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """node, x, y of a network's node file, whose first line is a header."""
+    rows = spark.read.text(path).where(~F.lower("value").rlike(r"^\s*(~|<|node|$)"))
+    parts = F.split(F.trim(F.regexp_replace("value", ";", " ")), r"\s+")
+    return rows.select(parts[0].alias("node"), parts[1].try_cast("double").alias("x"), parts[2].try_cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+
+
+def read_tntp_metadata(spark: SparkSession, path: str) -> dict[str, str]:
+    """The <TAG> value lines of a network text file, by tag in capitals."""
+    rows = spark.read.text(path).select(F.regexp_extract("value", r"^\s*<([^>]+)>\s*(.*?)\s*$", 1).alias("k"), F.regexp_extract("value", r"^\s*<([^>]+)>\s*(.*?)\s*$", 2).alias("v"))
+    return {r["k"].strip().upper(): r["v"] for r in rows.where("k <> '' AND upper(k) <> 'END OF METADATA'").collect()}  # a few header lines
+
+
+def tntp_network(nodes: DataFrame, links: DataFrame, prefix: str = "", urban: int = 1) -> DataFrame:
+    """Assignment links of a text network: ids, class and lanes by capacity, capacity a lane, speed (45 mph at most), toll, and the line between the nodes."""
+    n = lambda c: F.concat(F.lit(prefix), c)
+    at = lambda k, x: nodes.select(F.col("node").alias(k), F.struct("x", "y").alias(x))
+    cap, hours = F.col("capacity"), F.col("t0") / 60
+    # Lanes and classes by hourly capacity.
+    lanes = F.when(cap >= 20_000, 3).when(cap >= 10_000, 2).otherwise(1)
+    road = F.when(cap >= 20_000, "freeway").when(cap >= 15_000, "arterial").when(cap >= 8_000, "collector").otherwise("local")
+    speed = F.least(F.when(F.col("t0") > 0, F.col("length") / hours).otherwise(35.0), F.lit(45.0))
+    both = links.join(at("init", "__a"), "init").join(at("term", "__b"), "term")
+    return both.select(
+        F.concat_ws("_", n(F.col("init")), n(F.col("term"))).alias("e_id"), n(F.col("init")).alias("from_id"), n(F.col("term")).alias("to_id"), road.alias("road_class"), lanes.alias("lanes"), cap.alias("tntp_capacity"),
+        F.col("t0").alias("tntp_t0"), F.col("b").alias("tntp_b"), F.col("power").alias("tntp_power"), (cap / lanes).alias("flow_cap_plph"), F.lit(urban).alias("urban"), F.col("toll"),
+        speed.alias("free_flow_speed"), F.lit("tntp").alias("network_source"), F.array("__a", "__b").alias("vertices"),
+    )
+
+
+def read_commuters(spark: SparkSession, folder: str, state: str, year: int, part: str = "main", job: str = "JT00", years: dict[str, int] | None = None) -> DataFrame:
+    """home, work, jobs of a state's file of commuters; ``years`` holds the states whose last year is another."""
+    use = (years or {}).get(state.lower(), year)
+    rows = read_csv_strings(spark, f"{folder}/{state.lower()}_od_{part}_{job}_{use}.csv*")
+    return rows.select(F.trim("h_geocode").alias("home"), F.trim("w_geocode").alias("work"), F.col("S000").try_cast("long").alias("jobs"))
+
+
+def read_commuter_lookup(spark: SparkSession, folder: str, state: str) -> DataFrame:
+    """block, county of a state's crosswalk: the first row of a block by county."""
+    rows = read_csv_strings(spark, f"{folder}/{state.lower()}_xwalk.csv*")
+    return rows.groupBy(F.trim("tabblk2020").alias("block")).agg(F.lpad(F.min(F.trim("cty")), 5, "0").alias("county"))
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
