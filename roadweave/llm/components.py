@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed
+from ._common import checkpointed, join_by_hot_key
 
 
 def _stars(e: DataFrame) -> bool:
@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps: both keep the components and move every edge towards its smallest node,
     and their numbers of edges never exceed the input's. A star's minimum is a partial aggregate, so a node with very
-    many neighbours costs no task more than its share; the join back is split by adaptive execution. Each round is a
+    many neighbours costs no task more than its share; the join back scatters such nodes' edges. Each round is a
     checkpoint in the shared folder, so a lost executor costs one round at most. The rounds, a few times the logarithm of
     the longest path, end when the edges are stars, which is looked up exactly. Self-loops, repeated edges and nulls are
     dropped; no edges give no rows.
@@ -31,11 +31,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while not _stars(e):
         # Large-star: every neighbour above a node is linked to the smallest node of that node's neighbourhood.
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+        large = join_by_hot_key(both.where("v > u"), least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small-star: a node and its smaller neighbours are linked to the smallest of these.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        large = checkpointed(large)
+        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = join_by_hot_key(large, least, "u", "n").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         e = checkpointed(small)
     roots = nodes.select(F.col("u").alias("node")).union(nodes.select("v")).distinct()
     return roots.join(e.select(F.col("u").alias("node"), F.col("v").alias("least")), "node", "left").select("node", F.coalesce("least", "node").alias("component"))
