@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -38,19 +39,6 @@ THRESHOLD = 0.5
 MASK = "[SECRET]"
 
 
-def tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, row, place (of the blank-separated token, from 0), token, before and after (the two tokens on each side, blank-joined).
-
-    Only tokens that may hold a candidate: by themselves, or since the tokens before end in a key word and = or :.
-    """
-    suspect = f"{CANDIDATE}|{ASSIGNED}"
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-    # One pass of the pattern over each text; the few that match are cut into tokens. The row number is not pushed through.
-    docs = docs.where((F.col("row") >= 0) & F.col("text").rlike(suspect))
-    cut = docs.select("id", "row", F.posexplode(F.array_compact(F.transform(F.array(F.filter(F.split("text", r"\s+"), lambda t: t != "")), _around)[0])).alias("at", "t"))
-    return cut.select("id", "row", "t.*").where(F.col("token").rlike(CANDIDATE) | F.concat_ws(" ", "before", "token").rlike(ASSIGNED))
-
-
 def _around(w: Column) -> Column:
     def one(t: Column, i: Column) -> Column:
         near = lambda a, n: F.array_join(F.slice(w, F.greatest(i + a, F.lit(1)).cast("int"), F.greatest(F.least(F.lit(n), i + a + n - 1), F.lit(0)).cast("int")), " ")
@@ -61,26 +49,37 @@ def _around(w: Column) -> Column:
     return F.transform(w, one)
 
 
-def candidates(found: DataFrame) -> DataFrame:
-    """id, row, place, secret, path (what stands before it in its token), before, after: one row for each candidate of each token."""
-    whole = F.concat_ws(" ", "before", "token")
-    shaped = F.regexp_extract_all("token", F.lit(CANDIDATE), F.lit(0))
+def _of_token(t: Column) -> Column:
+    """The candidates of one token: place, secret, path (what stands before it in its token), before, after."""
+    shaped = F.regexp_extract_all(t["token"], F.lit(CANDIDATE), F.lit(0))
     # What is assigned must end in this token, so that the tokens before don't give it once more.
-    assigned = F.filter(F.regexp_extract_all(whole, F.lit(ASSIGNED), F.lit(1)), lambda s: F.col("token").contains(s))
-    each = found.withColumn("secret", F.explode(F.array_distinct(F.concat(shaped, assigned))))
-    return each.withColumn("path", F.expr("substring_index(token, secret, 1)"))
+    assigned = F.filter(F.regexp_extract_all(F.concat_ws(" ", t["before"], t["token"]), F.lit(ASSIGNED), F.lit(1)), lambda s: t["token"].contains(s))
+    path = lambda s: F.call_function("substring_index", t["token"], s, F.lit(1))
+    one = lambda s: F.struct(t["place"].alias("place"), s.alias("secret"), path(s).alias("path"), t["before"].alias("before"), t["after"].alias("after"))
+    return F.transform(F.array_distinct(F.concat(shaped, assigned)), one)
+
+
+def candidates(text: Column) -> Column:
+    """All candidates of a text, in an array; null and empty texts have none.
+
+    A text is cut into blank-separated tokens only if a candidate stands in it, by one pass of the pattern.
+    """
+    words = F.filter(F.split(text, r"\s+"), lambda t: t != "")
+    # The words are bound by a lambda, or they would be cut anew for every token.
+    found = F.flatten(F.transform(F.array_compact(F.flatten(F.transform(F.array(words), _around))), _of_token))
+    return F.when(text.rlike(f"{CANDIDATE}|{ASSIGNED}"), found)
 
 
 def _share(c: Column, drop: str) -> Column:
     return 1 - F.length(F.translate(c, drop, "")) / F.length(c)
 
 
-def features(df: DataFrame) -> DataFrame:
-    """All columns and those named in FEATURES, of secret, path, before and after."""
-    s, low = F.col("secret"), F.lower("secret")
+def feature_columns(s: Column, path: Column, before: Column, after: Column) -> list[Column]:
+    """The columns named in FEATURES."""
+    low = F.lower(s)
     letters = F.regexp_replace(low, "[^a-z]", "")
     runs = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "[0-9]+", "0"), "[a-z]+", "a"), "[A-Z]+", "A"), "[^A-Za-z0-9]+", "-")
-    near = F.concat_ws(" ", "before", "path", "after")
+    near = F.concat_ws(" ", before, path, after)
     kinds = {
         "length": F.length(s),
         "digits": _share(s, "0123456789"),
@@ -95,15 +94,20 @@ def features(df: DataFrame) -> DataFrame:
         "dictionary": 1 - F.length(F.regexp_replace(letters, "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))), "")) / F.greatest(F.length(letters), F.lit(1)),
         "vowels": 1 - F.length(F.translate(letters, "aeiou", "")) / F.greatest(F.length(letters), F.lit(1)),
         "longest_run": F.array_max(F.transform(F.split(low, "[^a-z]+"), lambda w: F.length(w))) / F.length(s),
-        "path_like": s.rlike("/.*[/.]") | F.col("path").rlike("[/\\\\]$"),
+        "path_like": s.rlike("/.*[/.]") | path.rlike("[/\\\\]$"),
         "dots": F.length(s) - F.length(F.translate(s, ".", "")),
         "dashes": F.length(s) - F.length(F.translate(s, "-_", "")),
-        "key_before": F.concat_ws(" ", "before", "path").rlike(KEY_WORDS),
+        "key_before": F.concat_ws(" ", before, path).rlike(KEY_WORDS),
         "harmless_near": near.rlike(HARMLESS_WORDS) | low.rlike("example|sample|dummy|changeme|xxxx|your"),
-        "assigned": F.concat_ws(" ", "before", "path").rlike(r"[:=]\s*[\"']?$"),
-        "quoted": F.col("path").rlike("[\"']$"),
+        "assigned": F.concat_ws(" ", before, path).rlike(r"[:=]\s*[\"']?$"),
+        "quoted": path.rlike("[\"']$"),
     }
-    return df.select("*", *[F.coalesce(kinds[n].cast("double"), F.lit(0.0)).alias(n) for n in FEATURES])
+    return [F.coalesce(kinds[n].cast("double"), F.lit(0.0)).alias(n) for n in FEATURES]
+
+
+def features(df: DataFrame) -> DataFrame:
+    """All columns and those named in FEATURES, of secret, path, before and after."""
+    return df.select("*", *feature_columns(*map(F.col, ("secret", "path", "before", "after"))))
 
 
 def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFrame:
@@ -162,11 +166,16 @@ def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
     return "(" + " + ".join(sql(t._java_obj.rootNode()) for t in model.trees) + f") / {trees}D"
 
 
-def _accepted(df: DataFrame, forest: str | None, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """id, row, place, secret, score of what the forest accepts, parts of longer secrets too."""
+def _accepted(df: DataFrame, forest: str | None, text_col: str, threshold: float) -> DataFrame:
+    """``df`` and __found: place, secret and score of what the forest accepts in each row, parts of longer secrets too."""
     forest = forest or train(labelled_findings(df.sparkSession))
-    scored = features(candidates(tokens(df, id_col, text_col))).withColumn("score", F.expr(forest))
-    return scored.where(F.col("score") >= threshold).select("id", "row", "place", "secret", "score")
+    seen = lambda c: F.struct(c["place"].alias("place"), c["secret"].alias("secret"), *feature_columns(c["secret"], c["path"], c["before"], c["after"]))
+    of = re.sub(r"\b(" + "|".join(FEATURES) + r")\b", r"c.\1", forest)
+    scored = F.transform(F.col("__seen"), lambda c: F.struct(c["place"].alias("place"), c["secret"].alias("secret")))
+    with_seen = df.withColumn("__seen", F.transform(candidates(F.col(text_col)), seen))
+    scores = with_seen.withColumn("__scores", F.expr(f"transform(__seen, c -> {of})"))
+    both = scores.withColumn("__found", F.zip_with(scored, F.col("__scores"), lambda c, p: F.struct(c["place"].alias("place"), c["secret"].alias("secret"), p.alias("score"))))
+    return both.withColumn("__found", F.filter("__found", lambda c: c["score"] >= threshold)).drop("__seen", "__scores")
 
 
 def findings(df: DataFrame, forest: str | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -176,23 +185,22 @@ def findings(df: DataFrame, forest: str | None = None, id_col: str = "doc_id", t
     table gives none; other columns play no part. ``forest`` is what ``train`` gave; by default it is trained on
     ``labelled_findings``.
     """
-    scored = _accepted(df, forest, id_col, text_col, threshold)
-    # The longest stands for those inside it; one inside a value that the forest rejects stays.
-    of_token = scored.groupBy("id", "row", "place").agg(F.collect_list(F.struct("secret", "score")).alias("all"))
-    longest = F.filter("all", lambda c: ~F.exists("all", lambda s: (F.length(s["secret"]) > F.length(c["secret"])) & s["secret"].contains(c["secret"])))
-    return of_token.select(F.col("id").alias(id_col), "place", F.inline(longest))
+    scored = _accepted(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), forest, "text", threshold)
+    # The longest of a token stands for those inside it; one inside a value that the forest rejects stays.
+    whole = lambda c: ~F.exists("__found", lambda s: (s["place"] == c["place"]) & (F.length(s["secret"]) > F.length(c["secret"])) & s["secret"].contains(c["secret"]))
+    return scored.select(F.col("id").alias(id_col), F.inline(F.filter("__found", whole)))
 
 
 def redact(df: DataFrame, forest: str | None = None, id_col: str = "doc_id", text_col: str = "text", mask: str = MASK) -> DataFrame:
-    """``df`` with every secret in its texts masked; all rows and columns stay.
+    """``df`` with every secret in its texts masked; all rows and columns stay, as each row is worked on by itself.
 
-    Rows are told apart by id, those without one by their text's hash; secrets of one id are masked in all rows of that id.
+    Null texts stay null. Columns are renamed meanwhile, so none clashes.
     """
-    keyed = df.withColumn("__key", F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("#"), F.sha2(text_col, 256))))
-    # Without the grouping of findings, under which the driver's memory did not suffice to plan the join.
-    found = _accepted(keyed.select("__key", text_col), forest, "__key", text_col, THRESHOLD).select(F.col("id").alias("__key"), "secret")
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    text = f"c{df.columns.index(text_col)}"
+    scored = _accepted(plain, forest, text, THRESHOLD)
     # Longer secrets go first, as one may be a part of another.
-    of_doc = found.groupBy("__key").agg(F.reverse(F.array_sort(F.collect_set(F.struct(F.length("secret").alias("n"), "secret")))).alias("__secrets"))
-    joined = keyed.join(of_doc, "__key", "left")
-    masked = F.aggregate(F.coalesce("__secrets", F.array().cast("array<struct<n: int, secret: string>>")), F.col(text_col), lambda t, s: F.replace(t, s["secret"], F.lit(mask)))
-    return joined.withColumn(text_col, masked).select(*df.columns)
+    found = F.reverse(F.array_sort(F.array_distinct(F.transform("__found", lambda c: F.struct(F.length(c["secret"]).alias("n"), c["secret"].alias("secret"))))))
+    none = F.array().cast("array<struct<n: int, secret: string>>")
+    masked = F.aggregate(F.coalesce(found, none), F.col(text), lambda t, s: F.replace(t, s["secret"], F.lit(mask)))
+    return scored.withColumn(text, masked).drop("__found").toDF(*df.columns)

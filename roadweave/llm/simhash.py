@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import bounded_batches, checkpointed, join_by_hot_key, text_slices
@@ -174,19 +174,38 @@ def near_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``df`` with an id: id, fp (signed long), component_id, the smallest id reachable over links.
+    """One row per row of ``df`` with an id: id, fp (signed long), component_id, the smallest id reachable over links,
+    text_hash, and group, a fingerprint that names the component.
 
     Equal fingerprints are one node from the start, so exact copies cost no pairs; blank and null texts share
-    fingerprint 0 and are linked like any other. Rows without id are left out; repeated rows give repeated rows;
-    an empty table gives none. Other columns of ``df`` play no part.
+    fingerprint 0 and are linked like any other. Rows without id are left out; repeated rows give repeated rows, and texts
+    of one id may lie in different components; an empty table gives none. Other columns of ``df`` play no part.
     """
-    own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    prints = checkpointed(fingerprints(own).select("id", "fp"))
+    own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_hash(text_col).alias("text_hash")).where("id IS NOT NULL")
+    prints = checkpointed(fingerprints(own).select("id", "text_hash", "fp"))
     nodes = checkpointed(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     parts = connected_components(near_links(nodes))
     merged = checkpointed(nodes.join(parts.withColumnRenamed("node", "fp"), "fp"))
     # The smallest id of each component; a component that is one fingerprint needs no such step.
     best = checkpointed(merged.groupBy("component").agg(F.min("least").alias("best"), F.count("*").alias("fps")))
-    found = join_by_hot_key(merged.select("fp", "component"), best, "component", "fps").select("fp", "best")
-    ids = checkpointed(nodes.join(found, "fp", "left").select("fp", "n", F.coalesce("best", "least").alias("component_id")))
-    return join_by_hot_key(prints, ids, "fp", "n").select(F.col("id").alias(id_col), "fp", "component_id")
+    found = join_by_hot_key(merged.select("fp", "component"), best, "component", "fps")
+    ids = checkpointed(nodes.join(found, "fp", "left").select("fp", "n", F.coalesce("best", "least").alias("component_id"), F.coalesce("component", "fp").alias("group")))
+    return join_by_hot_key(prints, ids, "fp", "n").select(F.col("id").alias(id_col), "fp", "component_id", "text_hash", "group")
+
+
+def text_hash(text_col: str = "text") -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that stay when one of each group of near copies does: that of smallest id, then text hash, then row as JSON.
+
+    Rows without id go; texts of one id that are not near copies stay; all columns are kept.
+    """
+    first = near_duplicates(df.select(id_col, text_col), id_col, text_col).groupBy("group").agg(F.min(F.struct(id_col, "text_hash")).alias("k")).select(F.col(f"k.{id_col}").alias("__id"), F.col("k.text_hash").alias("__hash")).distinct()
+    rows = df.join(first, (F.col(id_col) == F.col("__id")) & (text_hash(text_col) == F.col("__hash")), "left_semi")
+    repeated = df.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1)
+    if repeated.isEmpty():
+        return rows
+    order = Window.partitionBy(id_col, text_hash(text_col)).orderBy(F.to_json(F.struct(*[c for c in df.columns if c != text_col])))
+    return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")

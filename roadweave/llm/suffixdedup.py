@@ -374,7 +374,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = df.sparkSession
     bounded_batches(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("sub"), text.cast("binary").alias("text")).where("doc IS NOT NULL")
+    # Only a table in which an id stands twice needs the texts' hashes; else they are 0, which takes no room.
+    repeated = df.select(F.col(id_col).cast("long").alias("doc")).where("doc IS NOT NULL").groupBy("doc").count().where("count > 1").limit(1)
+    sub = F.lit(0).cast("long") if repeated.isEmpty() else F.xxhash64(text)
+    docs = df.select(F.col(id_col).cast("long").alias("doc"), sub.alias("sub"), text.cast("binary").alias("text")).where("doc IS NOT NULL")
     rows = docs.mapInArrow(_anchor_rows, "anchor long, unit long, doc long, sub long, place long, parts long")
     sorted_rows = rows.repartition("anchor").sortWithinPartitions("anchor", "unit", "doc", "sub", "place").select("anchor", "unit", "doc", "sub", "place", "parts")
     found = checkpointed(sorted_rows.mapInArrow(_spans_and_requests(max(hot_units, HELD_UNITS)), "anchor long, doc long, sub long, start long, stop long"))

@@ -69,7 +69,7 @@ def test_links_lose_no_component(spark, block):
 def test_nulls_blanks_repeats_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, None, 5), (2, " \t\n", 5), (3, "a b c d", 5), (3, "a b c d", 6), (None, "a b c d", 7), (4, "x" * 300_000, 8)], "doc_id long, text string, fp int")
     out = sorted(tuple(r) for r in simhash.near_duplicates(df).collect())
-    assert [(d, c) for d, _, c in out] == [(1, 1), (2, 1), (3, 3), (3, 3), (4, 4)]
+    assert [(d, c) for d, _, c, *_ in out] == [(1, 1), (2, 1), (3, 3), (3, 3), (4, 4)]
     assert out[0][1] == out[1][1] == 0
     assert simhash.near_duplicates(df.where(F.lit(False))).count() == 0
 
@@ -78,3 +78,11 @@ def test_components_of_chain_and_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (None, 3), (200, 199)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(50)) and got[200] == 199
+
+
+def test_one_of_each_group(spark):
+    rows = [(1, "a b c d e", "x"), (2, "a b c d e", "y"), (3, "q r s t u v", "z"), (3, "q r s t u v", "a"), (3, "other words of one id", "b"), (None, "a b c d e", "c"), (4, None, "d"), (5, "", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    got = sorted((r.doc_id, r.text or "", r.fp) for r in simhash.one_of_each(df).collect())
+    assert got == [(1, "a b c d e", "x"), (3, "other words of one id", "b"), (3, "q r s t u v", "a"), (4, "", "d")]
+    assert simhash.one_of_each(df).columns == df.columns and simhash.one_of_each(df.limit(0)).count() == 0
