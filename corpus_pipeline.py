@@ -25,12 +25,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of smallest id; rows without id go, rows that repeat an id are one document."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi")
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1)
-    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id"])
+    """Of each group of near copies the document of smallest id; rows without id go, rows that repeat an id and text are one document."""
+    return simhash.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
