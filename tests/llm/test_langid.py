@@ -1,3 +1,4 @@
+import unicodedata
 import zlib
 
 import duckdb
@@ -19,6 +20,42 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.97
 
 
+def grams_of(text):
+    """(length, n-gram) of all words' letters, a blank at each end, by slicing."""
+    out = []
+    spaced = "  " + "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text.lower()) + "  "
+    for n in langid.ORDERS:
+        out += [(n, spaced[i : i + n]) for i in range(len(spaced) - n + 1) if " " not in spaced[i + 1 : i + n - 1]]
+    return out
+
+
+def test_query_matches_brute_force(spark):
+    """Counts, rates and shares in dictionaries, membership in sets: the query differs by the filter's chance hits only."""
+    sf = "/root/testdata/sf0.001"
+    rows = duckdb.connect().execute(f"select doc_id, text, lang from '{sf}/documents.parquet'").fetchall()
+    counts = {}
+    for d, text, lang in rows:
+        if zlib.crc32(str(d).encode()) % 4 != 2 and text is not None and lang is not None:
+            for g in grams_of(text):
+                counts.setdefault(lang, {}).setdefault(g, 0)
+                counts[lang][g] += 1
+    total = {(k, n): sum(c for g, c in v.items() if g[0] == n) for k, v in counts.items() for n in langid.ORDERS}
+    rate = {k: {g: c / total[k, g[0]] for g, c in v.items()} for k, v in counts.items()}
+    held = {k: {g for g, r in v.items() if r >= langid.SHARE * max(o.get(g, 0) for o in rate.values())} for k, v in rate.items()}
+    got = {r.doc_id: r for r in op10_language_id(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for d, text, _ in rows:
+        grams = grams_of(text or "")
+        share = {k: sum(g in v for g in grams) / max(1, len(grams)) for k, v in held.items()}
+        if not any(unicodedata.category(c)[0] == "L" for c in text or ""):
+            assert got[d].lang_pred == "und" and got[d].score == 0
+            continue
+        best, second, *_ = sorted(share.values(), reverse=True)
+        assert abs(got[d].score - best) < 0.02
+        if best - second > 0.02:
+            assert share[got[d].lang_pred] == best
+
+
 def docs(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
 

@@ -1,13 +1,18 @@
 import itertools
+import math
+import unicodedata
+import zlib
 
 import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 from roadweave.llm import quality
+from roadweave.llm._common import WHITE_SPACE, held_out
 from roadweave.llm.queries import op8_quality_classifier
 
 SF = "/root/testdata/sf0.01"
+WHITE = {chr(c) for c in WHITE_SPACE}
 
 
 def test_held_out_quality(spark):
@@ -49,3 +54,69 @@ def test_nulls_repeats_empty_and_without_labels(spark):
     assert out[1] == out[2] and out[3] > out[4] and quality.score(docs, None).count() == 5
     assert quality.train(docs, labels.where("quality = 1")) is None
     assert quality.score(docs.where(F.lit(False)), None).count() == 0
+
+
+def plain_features(line, seen):
+    """The numbers of one line, character by character."""
+    n = len(line)
+    kinds = ["space" if c in WHITE else unicodedata.category(c)[0] for c in line]
+    letters = sum(k == "L" for k in kinds)
+    upper = sum(65 <= ord(c) <= 90 or 0xC0 <= ord(c) <= 0xDE and ord(c) != 0xD7 for c in line)
+    of = lambda marks: sum(c in marks for c in line)
+    begins = [k != "space" and (i == 0 or kinds[i - 1] == "space") for i, k in enumerate(kinds)]
+    words = sum(begins)
+    capitals = sum(b and (65 <= ord(c) <= 90 or 0xC0 <= ord(c) <= 0xDE and ord(c) != 0xD7) for b, c in zip(begins, line, strict=True))
+    same = sum(i > 0 and line[i] == line[i - 1] and kinds[i] != "space" for i in range(n))
+    bad = quality.MARKS + quality.SHOUT
+    after = sum(c in bad and i > 0 and kinds[i - 1] == "L" for i, c in enumerate(line))
+    odd = sum(k not in ("L", "N", "space") and c not in quality.PROSE + bad for k, c in zip(kinds, line, strict=True))
+    marks, w, m = of(quality.MARKS), max(words, 1), max(n, 1)
+    out = [
+        math.log1p(n), letters / m, upper / max(letters, 1), sum(k == "N" for k in kinds) / m, of(quality.PROSE) / m, marks / m, of(quality.SHOUT) / m, marks / w, same / m, after / w,
+        letters / w / 8, math.log1p(words), capitals / w, float(n > 0 and line[-1] in ".!?"), float(line in seen), float(n == 0), float(words <= 3), odd / m,
+        sum(k == "L" and ord(c) > 127 for k, c in zip(kinds, line, strict=True)) / m, float(marks > 0),
+    ]
+    seen.add(line)
+    return out
+
+
+def plain_score(text, model):
+    """One text, line by line: products of messages in plain numbers, then weighed marginals."""
+    lines, seen = text.split("\n"), set()
+    x = np.array([plain_features(line, seen) for line in lines], np.float32)
+    x = np.clip((x - model.mean) / model.scale, -4, 4)
+    zero = np.zeros(quality.N_FEATURES)
+    energy = [float(np.concatenate([x[i], x[i - 1] if i else zero, x[i + 1] if i + 1 < len(x) else zero, [1.0]]) @ model.weights) for i in range(len(x))]
+    emit = [[1.0, math.exp(e)] for e in energy]
+    move = np.exp(model.move)
+    forward, backward = [], [[1.0, 1.0]]
+    for i, e in enumerate(emit):
+        a = [e[k] * (sum(forward[-1][j] * move[j][k] for j in (0, 1)) if i else 1.0) for k in (0, 1)]
+        forward.append([v / sum(a) for v in a])
+    for e in reversed(emit[1:]):
+        b = [sum(move[j][k] * e[k] * backward[0][k] for k in (0, 1)) for j in (0, 1)]
+        backward.insert(0, [v / sum(b) for v in b])
+    good = [f[1] * b[1] / (f[0] * b[0] + f[1] * b[1]) for f, b in zip(forward, backward, strict=True)]
+    p = sum(g * (len(line) + 1) for g, line in zip(good, lines, strict=True)) / sum(len(line) + 1 for line in lines)
+    p = min(max(p, 1e-6), 1 - 1e-6)
+    return 1 / (1 + math.exp(-(model.slope * math.log(p / (1 - p)) + model.shift)))
+
+
+def test_query_matches_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet").where(~held_out()))
+    got = {r.doc_id: r for r in op8_quality_classifier(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        want = plain_score(r.text or "", model)
+        assert abs(got[r.doc_id].score - want) < 1e-4 and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.7)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_text_of_very_many_lines(spark):
+    df = spark.createDataFrame([(1, "a good line of words, as they go.\n" * 20_000), (2, "x\n" * 5)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, "A good line of words.\nAnd one more." if i % 2 else "$$ ## !!\n<<>>") for i in range(40)], "doc_id long, text string")
+    model = quality.train(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality"))
+    assert all(0 <= r.score <= 1 for r in quality.score(df, model).collect())
