@@ -35,6 +35,8 @@ FEATURES = (
     "path_like", "dots", "dashes", "key_before", "harmless_near", "assigned", "quoted",
 )
 TREES, DEPTH, SEED, LABELLED_ROWS = 20, 6, 7, 4000
+#: Forms of findings that ``labelled_findings`` deals out in turn.
+FORMS = 16
 THRESHOLD = 0.5
 MASK = "[SECRET]"
 
@@ -142,7 +144,7 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFra
         (0, F.concat(word(1), F.lit("-your-key-"), (n % 99).cast("string")), F.concat(key, F.lit("=")), prose("a"), F.lit("for example")),
         (0, F.concat(F.lit("www."), word(1), (n % 9).cast("string"), F.lit(".example.com/"), word(2)), F.lit("http://"), prose("a"), prose("b")),
     ]
-    pick = F.pmod(n, F.lit(len(forms)))
+    pick = F.pmod(n, F.lit(FORMS))
     one = lambda i: functools.reduce(lambda rest, kf: F.when(pick == kf[0], F.lit(kf[1][i]) if i == 0 else kf[1][i]).otherwise(rest), enumerate(forms[1:], 1), F.lit(forms[0][0]) if i == 0 else forms[0][i])
     made = spark.range(0, rows, 1, 1).select("id", one(0).cast("double").alias("label"), one(1).alias("secret"), one(2).alias("path"), one(3).alias("before"), one(4).alias("after"))
     return made.withColumn("token", F.concat("path", "secret"))
