@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LETTER, NUMBER, OTHER, SPACE, bounded_batches, codepoint_classes, codepoints, text_slices
+from ._common import CHUNK_BYTES, LETTER, NUMBER, OTHER, SPACE, bounded_batches, codepoint_classes, codepoints, text_slices
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -176,8 +176,8 @@ class Codec:
             self.cache[piece] = found
         return found
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
+    def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The ids of each text, unsigned 32-bit, and the byte at which each token starts: its piece's, and what of the piece comes before it."""
         joined = b"\0".join(texts) + b"\0"
         cp = codepoints(joined.decode("utf-8", "surrogatepass"))
         at = np.cumsum(1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000))
@@ -191,13 +191,16 @@ class Codec:
         for i in range(0, len(pieces), self.CACHE):
             get, ids = self.cache.get, self.ids  # a generation may end, but what this one has stays right
             coded += [get(p) or ids(p) for p in pieces[i : i + self.CACHE]]
-        cuts = np.searchsorted(starts, stops - 1).tolist()
-        return [b"".join(coded[a:b]) for a, b in zip([0, *(c + 1 for c in cuts[:-1])], cuts, strict=True)]
-
-    def offsets(self, ids: np.ndarray) -> np.ndarray:
-        """The byte at which each token starts."""
+        ids = np.frombuffer(b"".join(coded), "<u4")
+        upto = np.concatenate(([0], np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)) // 4)))
         size = self.size[ids]
-        return np.cumsum(size) - size
+        before = np.cumsum(size) - size
+        offsets = before + np.repeat(starts - before[upto[:-1]], np.diff(upto))
+        # Between two texts stands a piece of its own.
+        cuts = np.searchsorted(starts, stops - 1)
+        first, last = upto[np.append(0, cuts[:-1] + 1)].tolist(), upto[cuts].tolist()
+        begin = np.append(0, stops[:-1]).tolist()
+        return [(ids[a:b], (offsets[a:b] - o).astype("<u4")) for a, b, o in zip(first, last, begin, strict=True)]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
         """Lays the bytes of each token at its offset, counted from the first token's; so any run of a text's tokens can be decoded."""
@@ -223,7 +226,7 @@ def encode(df: DataFrame, text_col: str = "text", ranks_path: str | None = None,
     """All columns of ``df``, then n_tokens long, ids binary (unsigned 32-bit little-endian), offsets binary (the same, each token's first byte).
 
     Null texts are empty: no token. Repeated rows are coded again; an empty table gives none. Clashing columns named
-    n_tokens, ids or offsets are replaced. ``replace`` drops the text column. Texts are coded in slices of a few MB, and
+    n_tokens, ids or offsets are replaced. ``replace`` drops the text column. Texts are coded in slices of CHUNK_BYTES, and
     a single longer text on its own; the cache of merges is bounded.
     """
     bounded_batches(df.sparkSession)
@@ -236,8 +239,8 @@ def encode(df: DataFrame, text_col: str = "text", ranks_path: str | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks.value)
         for batch in batches:
-            ids = [x for _, texts in text_slices(batch.column(at)) for x in codec.encode(texts)]
-            arrays = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([codec.offsets(np.frombuffer(x, "<u4")).astype("<u4").tobytes() for x in ids], pa.binary())]
+            coded = [x for _, texts in text_slices(batch.column(at)) for x in codec.encode(texts)]
+            arrays = [pa.array([len(x) for x, _ in coded], pa.int64()), pa.array([x.tobytes() for x, _ in coded], pa.binary()), pa.array([o.tobytes() for _, o in coded], pa.binary())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), *arrays], names=[*(f.name for f in keep), "n_tokens", "ids", "offsets"])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in keep]
@@ -280,8 +283,7 @@ def round_trip(df: DataFrame, text_col: str = "text", ranks_path: str | None = N
         codec = _codec(ranks.value)
         for batch in batches:
             coded = [x for _, texts in text_slices(batch.column(at)) for x in codec.encode(texts)]
-            ids = [np.frombuffer(x, "<u4") for x in coded]
-            arrays = [pa.array([len(x) for x in ids], pa.int64()), pa.array(coded, pa.binary()), pa.array([codec.decode(x, codec.offsets(x)) for x in ids], pa.binary())]
+            arrays = [pa.array([len(x) for x, _ in coded], pa.int64()), pa.array([x.tobytes() for x, _ in coded], pa.binary()), pa.array([codec.decode(x, o) for x, o in coded], pa.binary())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), *arrays], names=[*(f.name for f in keep), "n_tokens", "ids", out])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in keep]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ SHINGLE, CONTAINMENT = 5, 0.8
 WINDOW, OVERLAP = 40, 4
 #: A window with similarity 0.6 to a template's collides in a band with probability 1 - (1 - 0.6**2)**16 = 0.9992, one with 0.8 with 1 - 1e-7.
 BANDS, ROWS = 16, 2
-#: Templates may have so many shingles in all: they stand in the plan as constants and in a broadcast.
-MAX_SHINGLES = 50_000
+#: Shingles of the templates that one pass over the texts looks for, as they stand in the plan as constants and in a broadcast; more take more passes.
+PASS_SHINGLES = 50_000
 
 #: Well-known public license notices.
 TEMPLATES = {
@@ -101,8 +103,20 @@ def _templates(spark: SparkSession, templates: dict[str, str]) -> dict[tuple[int
         for name, n in sized:
             if min(SHINGLE, n) == k:
                 out.setdefault((k, min(WINDOW, n)), []).append((name, got[name]))
-    if sum(len(g) for group in out.values() for _, g in group) > MAX_SHINGLES:
-        raise ValueError(f"the templates have more than {MAX_SHINGLES} shingles; scan with parts of them")
+    return out
+
+
+def _passes(groups: dict[tuple[int, int], list[tuple[str, list[int]]]]) -> list[list[str]]:
+    """The templates' names in runs of PASS_SHINGLES shingles at most; a longer template has a pass of its own."""
+    out: list[list[str]] = []
+    room = 0
+    for _, group in sorted(groups.items()):
+        for name, g in group:
+            if len(g) > room or not out:
+                out.append([])
+                room = PASS_SHINGLES
+            out[-1].append(name)
+            room -= len(g)
     return out
 
 
@@ -120,6 +134,9 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "do
     schema = f"`{id_col}` long, license string, n_shared int, n_shingles int, containment double"
     if not groups:
         return spark.createDataFrame([], schema)
+    if len(passes := _passes(groups)) > 1:
+        parts = [scan(df, {n: templates[n] for n in names}, id_col, text_col, containment) for names in passes]
+        return functools.reduce(DataFrame.union, parts)
     docs = df.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).where("id IS NOT NULL")
     sizes = sorted({k for k, _ in groups})
     held = {k: sorted({g for (kk, _), group in groups.items() if kk == k for _, gs in group for g in gs}) for k in sizes}
@@ -146,7 +163,7 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "do
         for name, gs in group:
             marks += [(name, f"{k},{size}", gs[i : i + n], sorted(set(gs))) for i in range(0, max(1, len(gs) - n + 1), max(1, stride // 2))]
     of_templates = spark.createDataFrame(marks, "license string, kind string, g array<long>, shingles array<long>").select("license", "kind", "shingles", F.explode(F.array_distinct(bands(F.col("g")))).alias("band"))
-    of_templates = of_templates.dropDuplicates(["license", "kind", "band"])  # at most MAX_SHINGLES windows of templates
+    of_templates = of_templates.dropDuplicates(["license", "kind", "band"])  # at most a pass's shingles, or one template's, as windows
     every = windows[0]
     for more in windows[1:]:
         every = every.union(more)

@@ -46,3 +46,9 @@ def test_nulls_repeats_long_and_empty(spark):
     long = spark.createDataFrame([(1, "word " * 60_000 + "released under the MIT license")], "doc_id long, text string")
     assert [r.license for r in licenses.scan(long).collect()] == ["mit-notice"]
     assert licenses.scan(df, {}).count() == 0 and licenses.scan(df, {"none": "..."}).count() == 0
+
+
+def test_many_templates_take_several_passes(spark, monkeypatch):
+    docs = [(i, f"x {t} y") for i, t in enumerate(licenses.TEMPLATES.values())]
+    monkeypatch.setattr(licenses, "PASS_SHINGLES", 40)
+    assert {tuple(r) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == oracle(docs)
