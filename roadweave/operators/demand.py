@@ -35,12 +35,13 @@ def first_candidate(candidates: DataFrame, flows: DataFrame) -> DataFrame:
     return one.join(flows.groupBy(*PAIR).agg(F.sum("flow").alias("flow")), PAIR)
 
 
-def surrogate_ids(od: DataFrame, base: int = 0, buckets: int = 64) -> DataFrame:
+def surrogate_ids(od: DataFrame, base: int = 0, buckets: int | None = None) -> DataFrame:
     """od_id = base + rank by (origin, destination) - 1, without one task for all rows.
 
     Pairs are dealt to ranges by origin, counted a range, and numbered within; rows of one origin are one range, split by destination.
     """
     keyed = od.withColumn("k", F.struct(*PAIR))
+    buckets = buckets or int(od.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parted = keyed.repartitionByRange(buckets, *PAIR).withColumn("part", F.spark_partition_id())
     from ..session import checkpointed
 
