@@ -202,10 +202,13 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Rows without id go; texts of one id that are not near copies stay; all columns are kept.
     """
-    first = near_duplicates(df.select(id_col, text_col), id_col, text_col).groupBy("group").agg(F.min(F.struct(id_col, "text_hash")).alias("k")).select(F.col(f"k.{id_col}").alias("__id"), F.col("k.text_hash").alias("__hash")).distinct()
-    rows = df.join(first, (F.col(id_col) == F.col("__id")) & (text_hash(text_col) == F.col("__hash")), "left_semi")
-    repeated = df.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1)
-    if repeated.isEmpty():
-        return rows
-    order = Window.partitionBy(id_col, text_hash(text_col)).orderBy(F.to_json(F.struct(*[c for c in df.columns if c != text_col])))
-    return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # so that no column clashes with those that follow
+    own, text = (f"c{df.columns.index(c)}" for c in (id_col, text_col))
+    groups = near_duplicates(plain.select(F.col(own).alias("doc"), F.col(text).alias("text")), "doc")
+    first = groups.groupBy("group").agg(F.min(F.struct("doc", "text_hash")).alias("k")).select("k.doc", F.col("k.text_hash").alias("hash")).distinct()
+    rows = plain.join(first, (F.col(own) == F.col("doc")) & (text_hash(text) == F.col("hash")), "left_semi")
+    repeated = plain.where(F.col(own).isNotNull()).groupBy(own).count().where("count > 1").limit(1)
+    if not repeated.isEmpty():
+        order = Window.partitionBy(own, text_hash(text)).orderBy(F.to_json(F.struct(*[c for c in plain.columns if c != text])))
+        rows = rows.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+    return rows.toDF(*df.columns)

@@ -45,3 +45,17 @@ def test_stages_keep_columns_and_bear_odd_rows(spark):
         assert last or sorted(out.columns) == sorted(docs.columns)
         ids = sorted(str(r.doc_id) for r in out.select("doc_id").collect())
         assert ids == {"language_id": ["3", "3", "4", "None"], "simhash_dedup": ["1", "3", "4", "5"]}.get(name, ["1", "2", "3", "3", "4", "5", "None"]), name
+
+
+def test_stages_bear_long_texts_ties_and_clashing_names(spark):
+    long = "the word is good and the day is long " * 20_000
+    rows = [(1, long, "en"), (2, "el dia es largo y la palabra es buena para todos", "es"), (2, "a different text of the same id, in plain words", "en"), (7, "el dia es largo y la palabra es buena para todos", "es"), (None, None, None)]
+    names = "score string, __key string, __n string, n_hit string, spans string, c0 string, ids string, decoded string"
+    docs = spark.createDataFrame([(*r, "s", 1, *"abcdefgh") for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {names}")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns[5:] == [x.split()[0] for x in names.split(", ")], name
+        assert {tuple(r)[5:] for r in docs.collect()} == {tuple("abcdefgh")}, name
+    assert sorted((r.doc_id, len(r.text)) for r in docs.collect()) == [(1, len(long)), (2, 47), (2, 48)]
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert sorted(r.doc_id for r in last.collect()) == [1, 2, 2]

@@ -80,6 +80,14 @@ def test_components_of_chain_and_star(spark):
     assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(50)) and got[200] == 199
 
 
+def test_long_text_of_many_words(spark):
+    rng = np.random.default_rng(2)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 5000, 120_000))
+    df = spark.createDataFrame([(1, text), (2, text + " more"), (3, "short")], "doc_id long, text string")
+    got = {r.doc_id: r for r in simhash.near_duplicates(df).collect()}
+    assert got[1].fp % 2**64 == brute_fp(text) and got[2].fp % 2**64 == brute_fp(text + " more") and got[2].component_id == 1
+
+
 def test_one_of_each_group(spark):
     rows = [(1, "a b c d e", "x"), (2, "a b c d e", "y"), (3, "q r s t u v", "z"), (3, "q r s t u v", "a"), (3, "other words of one id", "b"), (None, "a b c d e", "c"), (4, None, "d"), (5, "", "e")]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
