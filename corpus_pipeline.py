@@ -16,12 +16,18 @@ from roadweave.llm._common import checkpointed, held_out, table
 LEAST_SCORE = 0.1
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with columns c0, c1, ..., so that none clashes with an operator's, and the text's name among them."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), f"c{docs.columns.index('text')}"
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labels teach; null texts, texts without a letter and those in none of them go."""
     model = langid.train(docs.where(~held_out()))
-    known = langid.identify(docs.withColumnsRenamed({"lang_pred": "__lang_pred", "score": "__score"}), model)
-    kept = known.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
-    return kept.withColumnsRenamed({"__lang_pred": "lang_pred", "__score": "score"})
+    plain, text = _plain(docs)
+    known = langid.identify(plain, model, text)
+    kept = known.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    return kept.drop("lang_pred", "score").toDF(*docs.columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +37,9 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    own = {c: f"__{c}" for c in ("n_words", "n_hit", "item_ids", "spans", "contaminated") if c in docs.columns}
-    found = decontam.contamination(docs.withColumnsRenamed(own), table(spark, sf_dir, "benchmark"))
-    kept = found.where(~F.col("contaminated")).drop("n_words", "n_hit", "item_ids", "spans", "contaminated")
-    return kept.withColumnsRenamed({v: k for k, v in own.items()})
+    plain, text = _plain(docs)
+    found = decontam.contamination(plain, table(spark, sf_dir, "benchmark"), text)
+    return found.where(~F.col("contaminated")).select(*plain.columns).toDF(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
