@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, join_by_hot_key
+from ._common import HOT_ROWS, HOT_SHARE, checkpointed, join_by_hot_key
 
 
-def _stars(e: DataFrame) -> bool:
-    """Whether every edge leads from a node with no other edge to one from which no edge leads."""
+def _state(e: DataFrame) -> tuple[bool, bool]:
+    """Whether every edge leads from a node with no other edge to one from which no edge leads; and whether a node is hot."""
     ends = e.select(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(e.select("v", F.lit(0), F.lit(1)))
-    wrong = ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR (out > 0 AND into > 0)")
-    return wrong.limit(1).isEmpty()
+    nodes = ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("into").alias("into"), F.count("*").alias("edges"))
+    wrong, most, total = nodes.agg(F.count_if(F.expr("out > 1 OR (out > 0 AND into > 0)")), F.max("edges"), F.sum("edges")).first()
+    return not wrong, (most or 0) > max(HOT_ROWS, (total or 0) // HOT_SHARE)
+
+
+def _with_least(e: DataFrame, least: DataFrame, hot: bool) -> DataFrame:
+    """The edges with their first node's least neighbour; where a node is hot, its edges are scattered."""
+    return join_by_hot_key(e, checkpointed(least), "u", "n") if hot else e.join(least.drop("n"), "u")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -28,15 +34,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     nodes = e = checkpointed(e.distinct())
     e = e.where("u <> v")
-    while not _stars(e):
+    while not (state := _state(e))[0]:
         # Large-star: every neighbour above a node is linked to the smallest node of that node's neighbourhood.
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
-        large = join_by_hot_key(both.where("v > u"), least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both.where("v > u"), least, state[1]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small-star: a node and its smaller neighbours are linked to the smallest of these.
-        large = checkpointed(large)
-        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        small = join_by_hot_key(large, least, "u", "n").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        large = checkpointed(large) if state[1] else large
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, least, state[1]).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         e = checkpointed(small)
     roots = nodes.select(F.col("u").alias("node")).union(nodes.select("v")).distinct()
     return roots.join(e.select(F.col("u").alias("node"), F.col("v").alias("least")), "node", "left").select("node", F.coalesce("least", "node").alias("component"))

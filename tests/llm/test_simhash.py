@@ -94,3 +94,13 @@ def test_one_of_each_group(spark):
     got = sorted((r.doc_id, r.text or "", r.fp) for r in simhash.one_of_each(df).collect())
     assert got == [(1, "a b c d e", "x"), (3, "other words of one id", "b"), (3, "q r s t u v", "a"), (4, "", "d")]
     assert simhash.one_of_each(df).columns == df.columns and simhash.one_of_each(df.limit(0)).count() == 0
+
+
+def test_components_with_a_hot_node(spark, monkeypatch):
+    from roadweave.llm import components
+
+    monkeypatch.setattr(components, "HOT_ROWS", 5)
+    monkeypatch.setattr("roadweave.llm._common.HOT_ROWS", 5)
+    edges = [(i, 500) for i in range(100, 160)] + [(i, i + 1) for i in range(20)] + [(20, 159)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert len(got) == 82 and set(got.values()) == {0}
