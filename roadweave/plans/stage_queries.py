@@ -58,7 +58,7 @@ def _intensity(hazard, scale, threshold, key):
     @query(
         f"{hazard}_disruption",
         f"WITH x AS (SELECT e_id, road_class, intensity * {scale} AS v FROM sg JOIN lk USING (e_id) WHERE segment_id % 50 <> 49), y AS (SELECT e_id, v, {_level_sql(hazard, 'v')} AS l FROM x), m AS (SELECT e_id, max(v) AS v, max({_NUMBER}) AS n FROM y GROUP BY 1) "
-        f"SELECT e_id, round(coalesce(v, 0), 6) AS intensity, round(coalesce(v, 0) * {to_depth}, 9) AS depth, {_NAME} AS level, round({cap}, 6) AS max_speed FROM lk LEFT JOIN m USING (e_id)",
+        f"SELECT e_id, round(coalesce(v, 0), 6) AS intensity, round(coalesce(v, 0) * {to_depth}, 9) AS depth, {_NAME} AS level, round({cap}, 6)::DOUBLE AS max_speed FROM lk LEFT JOIN m USING (e_id)",
         "sg lk",
     )
     def run(s, d):
@@ -141,7 +141,7 @@ def event_damage_table(s, d):
     return out.select("event_id", "segments", "links", r("damage", -1).alias("damage"), r("damage_high", -1).alias("damage_high"), r("means", 3).alias("means"))
 
 
-@query("curve_tools", "SELECT x::DOUBLE AS x, round(y, 6) AS y FROM (VALUES (0.0, 0.0), (1.0, 0.07), (2.0, 0.16), (3.0, 0.265), (6.0, 0.64), (12.0, 1.0)) t(x, y)")
+@query("curve_tools", "SELECT x::DOUBLE AS x, round(y, 6)::DOUBLE AS y FROM (VALUES (0.0, 0.0), (1.0, 0.07), (2.0, 0.16), (3.0, 0.265), (6.0, 0.64), (12.0, 1.0)) t(x, y)")
 def curve_tools(s, d):
     return s.createDataFrame([(x, round(y, 6)) for x, y in curves.mixed(CURVE, curves.scaled(CURVE, 2.0), 0.4)], "x double, y double")
 
@@ -331,7 +331,7 @@ def disrupted_pairs(s, d):
     return inc.disrupted_by_pair(lost).withColumn("disrupted", r("disrupted"))
 
 
-@query("scenario_summary", DAMAGE_SQL.rstrip() + f", m AS (SELECT e_id, v, n FROM ({_DEPTHS}, y AS (SELECT e_id, v, CASE WHEN hazard = 'surface' THEN {_level_sql('surface', '(v * 100.0)')} ELSE {_level_sql('river', '(v * 100.0)')} END AS l FROM x) SELECT e_id, max(v) AS v, max({_NUMBER}) AS n FROM y GROUP BY 1)), dd AS (SELECT sum((s + r) * 1e6) AS usd FROM f) SELECT '7' AS event_id, (SELECT count(*) FROM lk) AS links, count_if(v > 0) AS met, count_if(v * 100 >= 30) AS closed, count_if(n > 0) AS damaged, round(max(v), 6) AS deepest, round(any_value(usd), -1) AS direct_damage, round(any_value(usd) + 12.5, -1) AS combined, '' AS problems FROM m, dd", "sg lk")
+@query("scenario_summary", DAMAGE_SQL.rstrip() + f", m AS (SELECT e_id, v, n FROM ({_DEPTHS}, y AS (SELECT e_id, v, CASE WHEN hazard = 'surface' THEN {_level_sql('surface', '(v * 100.0)')} ELSE {_level_sql('river', '(v * 100.0)')} END AS l FROM x) SELECT e_id, max(v) AS v, max({_NUMBER}) AS n FROM y GROUP BY 1)), dd AS (SELECT sum((s + r) * 1e6) AS usd FROM f) SELECT '7' AS event_id, (SELECT count(*) FROM lk) AS links, count_if(v > 0)::BIGINT AS met, count_if(v * 100 >= 30)::BIGINT AS closed, count_if(n > 0)::BIGINT AS damaged, round(max(v), 6) AS deepest, round(any_value(usd), -1) AS direct_damage, round(any_value(usd) + 12.5, -1) AS combined, '' AS problems FROM m, dd", "sg lk")
 def scenario_summary(s, d):
     links = flood_links(s, d)
     cost_of = damages.event_summary(_priced(s, d).withColumn("event_id", F.lit("7")))
@@ -373,7 +373,7 @@ def _coded(s, d):
     f"WITH a AS (SELECT s_suppkey AS k, ({_CODES})[s_suppkey % 14 + 1] AS c, s_acctbal FROM supplier), b AS (SELECT *, CASE WHEN c IN (1, 11) THEN 'motorway' WHEN c = 2 THEN 'trunk' WHEN c IN (3, 14) THEN 'primary' WHEN c = 5 THEN 'secondary' WHEN c = 6 THEN 'tertiary' WHEN c = 8 THEN 'motorway_link' WHEN c IN (9, 16, 41) THEN 'service' ELSE 'unclassified' END AS road, "
     "CASE c WHEN 1 THEN 'Interstate' WHEN 2 THEN 'Principal Arterial - Freeways and Expressways' WHEN 3 THEN 'Principal Arterial - Other' WHEN 5 THEN 'Major Collector' WHEN 6 THEN 'Minor Collector' WHEN 7 THEN 'Local' WHEN 8 THEN 'Ramp' WHEN 9 THEN 'Service/Frontage Road' WHEN 11 THEN 'Interstate Highway' WHEN 14 THEN 'Arterial or Major Collector' WHEN 16 THEN 'Frontage/Service Road' WHEN 41 THEN 'Ferry' END AS label, "
     "coalesce(greatest(CASE WHEN k % 3 <> 0 THEN k % 6 + 1 END, CASE WHEN k % 4 <> 0 THEN k % 5 + 1 END), 2) AS n FROM a WHERE c <> 50 AND k % 3 = 0) "
-    "SELECT k::VARCHAR AS e_id, concat((k % 10)::DOUBLE, '_', (k % 7)::DOUBLE) AS from_id, concat((k % 10 + 1)::DOUBLE, '_', (k % 7 + 1)::DOUBLE) AS to_id, round((s_acctbal / 100 + 100) * 1609.34, 2) AS length, road AS road_class, CASE WHEN k % 5 = 0 THEN 'Own name' ELSE coalesce(label, road) END AS road_class_detail, n::INTEGER AS lanes, (k % 2)::INTEGER AS urban, n * 3.5 AS width FROM b",
+    "SELECT k::VARCHAR AS e_id, concat((k % 10)::DOUBLE, '_', (k % 7)::DOUBLE) AS from_id, concat((k % 10 + 1)::DOUBLE, '_', (k % 7 + 1)::DOUBLE) AS to_id, round((s_acctbal / 100 + 100) * 1609.34, 2) AS length, road AS road_class, CASE WHEN k % 5 = 0 THEN 'Own name' ELSE coalesce(label, road) END AS road_class_detail, n::INTEGER AS lanes, (k % 2)::INTEGER AS urban, (n * 3.5)::DOUBLE AS width FROM b",
 )
 def converted_links(s, d):
     out = network.convert_links(_coded(s, d), "VA")
@@ -397,12 +397,12 @@ def normalised_links(s, d):
     return network.normalise_links(T.links(s, d)).select("e_id", "network_source", "road_class", "damage_profile")
 
 
-@query("speed_override", "SELECT e_id, CASE WHEN cap < 10 THEN 0.0 WHEN cap < 60 THEN cap ELSE 60.0 END AS speed FROM (SELECT e_id, suppkey % 80 AS cap FROM lk)", "lk")
+@query("speed_override", "SELECT e_id, (CASE WHEN cap < 10 THEN 0.0 WHEN cap < 60 THEN cap ELSE 60.0 END)::DOUBLE AS speed FROM (SELECT e_id, suppkey % 80 AS cap FROM lk)", "lk")
 def speed_override(s, d):
     return T.links(s, d).select("e_id", cost.speed_override(F.lit(60.0), F.lit(10.0), (F.col("suppkey") % 80).cast("double")).alias("speed"))
 
 
-@query("waiting_costs", "SELECT vehicle, round(cost, 4) AS cost FROM (VALUES ('psv', 4.625), ('rail', 3.435), ('car', 0.0)) t(vehicle, cost)")
+@query("waiting_costs", "SELECT vehicle, round(cost, 4)::DOUBLE AS cost FROM (VALUES ('psv', 4.625), ('rail', 3.435), ('car', 0.0)) t(vehicle, cost)")
 def waiting_costs(s, d):
     return s.createDataFrame([(v, round(cost.waiting_cost(v), 4)) for v in ("psv", "rail", "car")], "vehicle string, cost double")
 
