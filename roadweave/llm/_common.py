@@ -35,7 +35,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 #: Rows of one key from which it counts as hot, and the share of all rows: so no more than 10,000 keys are hot.
-HOT_ROWS, HOT_SHARE = 1000, 10_000
+HOT_ROWS, HOT_SHARE = 250, 10_000
 
 
 def join_by_hot_key(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
