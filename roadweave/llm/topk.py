@@ -17,7 +17,7 @@ from ._common import bounded_batches, checkpointed
 
 #: Rows of one block of queries and of candidates: one task holds one of each.
 QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 8192
-#: Cells at most, and the candidates (by their ids' hash) from which the cells' centres are picked.
+#: Cells at most, and about how many candidates (by their ids' hash) the cells' centres are picked from.
 CELLS, SAMPLE = 1024, 8192
 #: Points of a leaf and children of a node. A node's centres are its farthest-first net: they are apart by no less than
 #: what the net leaves uncovered, and the first is the node's own centre.
@@ -162,9 +162,13 @@ def _one_vector(df: DataFrame) -> DataFrame:
 
 def _centres(candidates: DataFrame, sizes: dict[int, int], block: int) -> dict[int, np.ndarray]:
     """Each length's centres: a farthest-first net of a sample, one for about every block of candidates."""
-    rows = candidates.withColumn("r", F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id"))).where(F.col("r") <= SAMPLE)
+    if not sizes:
+        return {}
+    # A share by the ids' hash needs no order of all candidates.
+    share = F.create_map(*[F.lit(v) for d, n in sizes.items() for v in (d, int(min(1.0, SAMPLE / n) * 2**40))])
+    rows = candidates.where(F.pmod(F.xxhash64("id"), F.lit(2**40)) < share[F.col("dim")]).select("id", "dim", "x").collect()
     by_dim: dict[int, list[list[int]]] = {}
-    for r in rows.select("dim", "x").toLocalIterator():
+    for r in sorted(rows, key=lambda r: r["id"]):
         by_dim.setdefault(r["dim"], []).append(r["x"])
     return {d: (x := np.array(v, float))[net(x, min(CELLS, -(-sizes[d] // block)))[0]] for d, v in by_dim.items()}
 
