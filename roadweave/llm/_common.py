@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, stored  # noqa: F401
+from ..session import checkpointed, discard, stored  # noqa: F401
 
 #: Bytes of text that one Arrow batch carries, and that one numpy pass handles at a time.
 BATCH_BYTES = 1 << 20
