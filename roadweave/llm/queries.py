@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, dominance, langid, licenses, paradedup, quality, secrets, simhash, suffixdedup, topk
+from . import bpe, decontam, dominance, langid, licenses, mixing, paradedup, quality, secrets, simhash, suffixdedup, topk
 from ._common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents")).documents
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def op13_dominance_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dominance.counts_above(dominance.sale_rows(table(spark, sf_dir, "sales")), "sale_id", weight="weight")
     return out.select(F.col("id").alias("sale_id"), "slot", "level", F.col("n_above").alias("n_sales"), F.col("w_above").alias("n_rows"))
@@ -80,6 +85,7 @@ def queries() -> dict[str, Query]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_exact_top_k": op9_exact_top_k,
         "op10_language_id": op10_language_id,
+        "op12_source_mixing": op12_source_mixing,
         "op13_dominance_counting": op13_dominance_counting,
     }
 
@@ -91,5 +97,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontamination": decontam.SQL,
         "op6_suffix_array_dedup": suffixdedup.SQL,
         "op9_exact_top_k": topk.SQL,
+        "op12_source_mixing": mixing.sql(),
         "op13_dominance_counting": dominance.SQL,
     }
