@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, dominance, langid, licenses, mixing, paradedup, quality, secrets, simhash, suffixdedup, topk
+from . import bpe, collocations, decontam, dominance, langid, licenses, mixing, paradedup, quality, secrets, simhash, suffixdedup, topk
 from ._common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents")).documents
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -85,6 +89,7 @@ def queries() -> dict[str, Query]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_exact_top_k": op9_exact_top_k,
         "op10_language_id": op10_language_id,
+        "op11_phrase_collocations": op11_phrase_collocations,
         "op12_source_mixing": op12_source_mixing,
         "op13_dominance_counting": op13_dominance_counting,
     }
@@ -97,6 +102,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontamination": decontam.SQL,
         "op6_suffix_array_dedup": suffixdedup.SQL,
         "op9_exact_top_k": topk.SQL,
+        "op11_phrase_collocations": collocations.SQL,
         "op12_source_mixing": mixing.sql(),
         "op13_dominance_counting": dominance.SQL,
     }
