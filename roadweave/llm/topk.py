@@ -83,17 +83,21 @@ def upper_bound(product: float, a_norm: float, b_norm: float, a: tuple[float, fl
 
 
 def block_top_k(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, point_ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], int]:
-    """(query id, point id, score) of each query's k best points, its own id left out, ties to the smaller id; and the products worked out.
+    """(query's place, point id, score) of each query's k best points, ties to the smaller id; and the products worked out.
 
+    A query is itself one of the points with its id and vector, where there is one: that one is left out, and no other.
     ``floor`` is a score that each query has k points of elsewhere: lower ones are not looked for. Scores must fit a long.
-    Equal points are one point of the tree with a list of ids; of these a query can need its k + 1 smallest at most.
+    Equal points are one point of the tree with a list of ids; of these a query can need its k + 1 smallest at most, and
+    its own.
     Pairs of nodes are visited by their bound. A pair is pruned if that is below the worst k-th score of the group's
     queries; equal bounds are visited, as ties count.
     """
     points, which = np.unique(points, axis=0, return_inverse=True)
     order = np.lexsort((point_ids, which.ravel()))
     cuts = np.searchsorted(which.ravel()[order], np.arange(len(points) + 1))
-    ids = [point_ids[order[a:b]][: k + 1] for a, b in itertools.pairwise(cuts.tolist())]
+    ids = [point_ids[order[a:b]] for a, b in itertools.pairwise(cuts.tolist())]
+    place = {tuple(v): i for i, v in enumerate(points.tolist())}
+    own = [place.get(tuple(v), -1) for v in queries.tolist()]
     # Products of doubles are exact below 2**53; larger ones are worked out in Python's integers.
     exact = float(np.abs(queries).max(initial=0)) * float(np.abs(points).max(initial=0)) * max(1, points.shape[1]) < 2.0**52
     q, p = queries.astype(float), points.astype(float)
@@ -115,9 +119,11 @@ def block_top_k(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray,
         if exact and width < len(b.rows):
             hit &= scores >= np.partition(scores, len(b.rows) - width, axis=1)[:, len(b.rows) - width, None]
         for i, j in np.argwhere(hit.astype(bool)).tolist():
-            row, score, heap = int(a.rows[i]), int(scores[i, j]), best[a.rows[i]]
-            for other in ids[b.rows[j]].tolist():
-                if other == query_ids[row]:
+            row, point, score, heap = int(a.rows[i]), int(b.rows[j]), int(scores[i, j]), best[a.rows[i]]
+            itself = point == own[row]
+            for other in ids[point][: k + 1].tolist():
+                if itself and other == query_ids[row]:
+                    itself = False
                     continue
                 if len(heap) < k:
                     heapq.heappush(heap, (score, -other))
@@ -143,7 +149,7 @@ def block_top_k(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray,
             for x, y in [(c, b) for c in a.children] if split_a else [(a, c) for c in b.children]:
                 if (up := bound(x, y)) >= worst[x.rows].min():
                     heapq.heappush(queue, (-up, next(tick), x, y))
-    found = [(query_ids[i], -m, s) for i, heap in enumerate(best) for s, m in heap]
+    found = [(i, -m, s) for i, heap in enumerate(best) for s, m in heap]
     return (tuple(np.array(c, np.int64) for c in zip(*found, strict=True)) if found else tuple(np.empty(0, np.int64) for _ in range(3))), products
 
 
@@ -155,9 +161,9 @@ def integers(df: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> D
     return rows.select(F.col(id_col).cast("long").alias("id"), F.size(vector_col).alias("dim"), F.transform(d, lambda v: F.floor(v * scale)).alias("x"))
 
 
-def _one_vector(df: DataFrame) -> DataFrame:
-    one = df.groupBy("id").agg(F.min(F.struct("dim", "x")).alias("v"))
-    return one.select("id", "v.dim", "v.x")
+def _with_times(df: DataFrame) -> DataFrame:
+    """Equal rows as one, with their number; a partial aggregate, so an id with very many rows is no hot task."""
+    return df.groupBy("id", "dim", "x").agg(F.count("*").alias("times"))
 
 
 def _centres(candidates: DataFrame, sizes: dict[int, int], block: int) -> dict[int, np.ndarray]:
@@ -174,7 +180,7 @@ def _centres(candidates: DataFrame, sizes: dict[int, int], block: int) -> dict[i
 
 
 def _in_cells(df: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
-    """id, dim, x, cell (the nearest centre, ties to the first), and the distance and angle to it."""
+    """The rows (id, dim, x, times) with cell (the nearest centre, ties to the first), and the distance and angle to it."""
     shared = df.sparkSession.sparkContext.broadcast(centres)  # CELLS vectors a length at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,9 +198,9 @@ def _in_cells(df: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
                     mine = cell[at] == i
                     far[at[mine]] = np.sqrt(((x[mine] - c[i]) ** 2).sum(axis=1))
                     angle[at[mine]] = _angles(x[mine], c[i])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far), pa.array(angle)], names=["id", "dim", "x", "cell", "far", "angle"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far), pa.array(angle)], names=["id", "dim", "x", "times", "cell", "far", "angle"])
 
-    return df.select("id", "dim", "x").mapInArrow(run, "id long, dim int, x array<long>, cell int, far double, angle double")
+    return df.select("id", "dim", "x", "times").mapInArrow(run, "id long, dim int, x array<long>, times long, cell int, far double, angle double")
 
 
 def _blocks(rows: DataFrame, block: int, name: str) -> tuple[DataFrame, DataFrame]:
@@ -203,7 +209,7 @@ def _blocks(rows: DataFrame, block: int, name: str) -> tuple[DataFrame, DataFram
     rows = rows.join(F.broadcast(sizes), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda t, v: t + v * v))
     stats = rows.groupBy("dim", "cell", "part").agg(F.max("far"), F.max("angle"), F.max(norm)).toDF("dim", f"{name}_cell", f"{name}_part", f"{name}_radius", f"{name}_angle", f"{name}_norm")
-    return rows.select("id", "dim", "x", F.col("cell").alias(f"{name}_cell"), F.col("part").alias(f"{name}_part")), stats
+    return rows.drop("parts", "far", "angle").withColumnsRenamed({"cell": f"{name}_cell", "part": f"{name}_part"}), stats
 
 
 def _bounds(pairs: DataFrame, centres: dict[int, np.ndarray]) -> Column:
@@ -219,67 +225,80 @@ def _bounds(pairs: DataFrame, centres: dict[int, np.ndarray]) -> Column:
 
 
 def _searched(q: DataFrame, c: DataFrame, key: list[str], k: int) -> DataFrame:
-    """query_id, vec_id, score: the k best of each key's candidates for each of its queries (with ``low``, a floor)."""
+    """row, query_id, times, vec_id, score: the k best of each key's candidates for each of its queries (with ``low``, a floor)."""
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+            return pd.DataFrame({"row": [], "query_id": [], "times": [], "vec_id": [], "score": []}).astype("int64")
         low = np.array([-np.inf if v is None or v != v else v for v in a["low"]])
-        found, _ = block_top_k(np.stack(a["x"]), a["id"].to_numpy(), np.stack(b["x"]), b["id"].to_numpy(), k, low)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
+        # Of equal candidates k and the query's own can be needed.
+        copies = np.repeat(np.arange(len(b)), np.minimum(b["times"], k + 1))
+        found, _ = block_top_k(np.stack(a["x"]), a["id"].to_numpy(), np.stack(b["x"])[copies], b["id"].to_numpy()[copies], k, low)
+        mine = a[["row", "id", "times"]].iloc[found[0]].reset_index(drop=True).rename(columns={"id": "query_id"})
+        return mine.assign(vec_id=found[1], score=found[2])
 
     q, c = q.toDF(*q.columns), c.toDF(*c.columns)  # both may come from one table, whose columns would be ambiguous
-    return q.groupBy(*key).cogroup(c.groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score long")
+    return q.groupBy(*key).cogroup(c.groupBy(*key)).applyInPandas(search, "row long, query_id long, times long, vec_id long, score long")
 
 
 def surviving_pairs(q_stats: DataFrame, c_stats: DataFrame, low: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
-    """Of the pairs of a block of queries and one of candidates those whose bound reaches the worst k-th score of the queries so far."""
-    pairs = q_stats.join(c_stats, "dim").join(low, ["dim", "q_cell", "q_part"], "left")
-    return pairs.withColumn("bound", _bounds(pairs, centres)).where(F.col("low").isNull() | (F.col("bound") >= F.col("low"))).select("dim", "q_cell", "q_part", "c_cell", "c_part")
+    """Of the pairs of a block of queries and one of candidates those whose bound reaches the worst k-th score of the queries so far.
+
+    Cells are paired first, CELLS times CELLS a length at most, with what covers all their blocks; then the blocks of the pairs that are left.
+    """
+    reached = lambda pairs: pairs.withColumn("bound", _bounds(pairs, centres)).where(F.col("low").isNull() | (F.col("bound") >= F.col("low")))
+    q_stats = q_stats.join(low, ["dim", "q_cell", "q_part"], "left")
+    worst = lambda name: [F.max(f"{name}_{c}").alias(f"{name}_{c}") for c in ("radius", "angle", "norm")]
+    least = F.when(F.count("*") == F.count("low"), F.min("low")).alias("low")
+    cells = reached(q_stats.groupBy("dim", "q_cell").agg(least, *worst("q")).join(c_stats.groupBy("dim", "c_cell").agg(*worst("c")), "dim"))
+    blocks = cells.select("dim", "q_cell", "c_cell").join(q_stats, ["dim", "q_cell"]).join(c_stats, ["dim", "c_cell"])
+    return reached(blocks).select("dim", "q_cell", "q_part", "c_cell", "c_part")
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: each query's k highest integer products over all candidates but its own id.
+    """query_id, rank (from 1), vec_id, score: each query's k highest integer products over all candidates but itself.
 
-    Both sides have id, dim and x, as ``integers`` gives them; vectors of different lengths never meet. Ties go to the
-    smaller id; fewer candidates give fewer rows; of an id with several vectors the smallest counts.
+    Both sides have id, dim and x, as ``integers`` gives them; vectors of different lengths never meet. Every row is a query
+    or candidate of its own, rows of one id and equal rows too: a query is left out of its own candidates as one row of
+    its id and vector, where they have one, and each query row gets its ranks. Ties go to the smaller id; fewer candidates
+    give fewer rows. Ids are whole numbers.
 
     Queries and candidates are dealt to the same cells, the top level of both trees; a cell of more than a block is
-    parted. A query first searches a block of its own cell, which gives it a k-th score; then pairs of blocks whose bound
-    is below the worst k-th score of the block's queries are dropped before anything is sent, and the rest are searched by
+    parted. A query first searches a block of its own cell, which gives it a k-th score; then the other pairs of blocks whose
+    bound is below the worst k-th score of the block's queries are dropped before anything is sent, and the rest are searched by
     a dual tree, a task a pair, which holds those two blocks only. The last step ranks k rows a query and block.
     """
     bounded_batches(queries.sparkSession)
-    q, c = _one_vector(queries), _one_vector(candidates)
+    q, c = _with_times(queries), _with_times(candidates)
     sizes = {r["dim"]: r["count"] for r in c.groupBy("dim").count().collect()}
     centres = _centres(c, sizes, candidate_block)
-    q, q_stats = _blocks(checkpointed(_in_cells(q, centres)), query_block, "q")
+    q, q_stats = _blocks(checkpointed(_in_cells(q, centres).withColumn("row", F.monotonically_increasing_id())), query_block, "q")
     c, c_stats = _blocks(checkpointed(_in_cells(c, centres)), candidate_block, "c")
     parts = c_stats.groupBy("dim", F.col("c_cell").alias("q_cell")).agg(F.max("c_part").alias("last"))
-    own = ["dim", "c_cell", "c_part", "q_part"]
     near = q.join(F.broadcast(parts), ["dim", "q_cell"]).withColumn("c_part", F.pmod("q_part", F.col("last") + 1)).withColumn("c_cell", F.col("q_cell")).withColumn("low", F.lit(None).cast("double"))
     # Each block of candidates meets the blocks of its own cell's queries that chose it.
-    met = near.select(*own).distinct()
-    first = checkpointed(_searched(near, c.join(met, ["dim", "c_cell", "c_part"]), own, k))
-    kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("low"))
-    q = checkpointed(q.join(kth, q["id"] == kth["query_id"], "left").drop("query_id"))
-    low = q.groupBy("dim", "q_cell", "q_part").agg(F.when(F.count("*") == F.count("low"), F.min("low")).alias("low"))
-    pairs = checkpointed(surviving_pairs(q_stats, c_stats, low, centres))
     key = ["dim", "q_cell", "q_part", "c_cell", "c_part"]
-    rest = _searched(q.join(pairs, key[:3]), c.join(pairs, ["dim", "c_cell", "c_part"]), key, k)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return first.union(rest).distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    met = checkpointed(near.select(*key).distinct())
+    first = checkpointed(_searched(near, c.join(met, ["dim", "c_cell", "c_part"]), key, k))
+    kth = first.groupBy("row").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("low"))
+    q = checkpointed(q.join(kth, "row", "left"))
+    low = q.groupBy("dim", "q_cell", "q_part").agg(F.when(F.count("*") == F.count("low"), F.min("low")).alias("low"))
+    pairs = checkpointed(surviving_pairs(q_stats, c_stats, low, centres).join(met, key, "left_anti"))
+    found = first if pairs.isEmpty() else first.union(_searched(q.join(pairs, key[:3]), c.join(pairs, ["dim", "c_cell", "c_part"]), key, k))
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
+    ranked = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return ranked.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("query_id", "rank", "vec_id", "score")
 
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+  SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c::DOUBLE))) = 0
 ),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x::DOUBLE[], c.x::DOUBLE[])::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0
+  SELECT q.i, q.vec_id AS query_id, c.vec_id, list_inner_product(q.x::DOUBLE[], c.x::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.i <> c.i AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0
 ),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -26,6 +26,7 @@ def test_block_matches_brute_force(seed, spread):
     ids = rng.permutation(480)
     got, products = topk.block_top_k(p[::3], ids[::3], p, ids, 4)
     assert 0 < products <= 160 * 480
+    got = (ids[::3][got[0]], *got[1:])
     assert set(zip(*(x.tolist() for x in got), strict=True)) == brute(p[::3], ids[::3], p, ids, 4)
 
 
@@ -44,7 +45,7 @@ def test_tree_prunes_clusters():
     scores = x[::20] @ x.T
     scores[np.arange(900), ids[::20]] = -(10**9)
     best = np.argsort(-scores, axis=1, kind="stable")[:, :5]
-    want = {(20 * i, int(j), int(scores[i, j])) for i in range(900) for j in best[i]}
+    want = {(i, int(j), int(scores[i, j])) for i in range(900) for j in best[i]}
     assert set(zip(*(c.tolist() for c in got), strict=True)) == want
     assert products < 0.1 * scores.size
     again, fewer = topk.block_top_k(x[::20], ids[::20], x, ids, 5, scores[np.arange(900), best[:, 4]])
@@ -88,7 +89,7 @@ def test_query_matches_sql(spark):
 
 def test_blocks_nulls_ties_and_empty(spark):
     inf, nan = float("inf"), float("nan")
-    rows = [(i, [float(i % 3), 1.0], i) for i in range(40)] + [(50, None, 0), (51, [1.0, None], 0), (52, [nan, 1.0], 0), (53, [inf, 0.0], 0), (54, [2.0], 0), (None, [1.0, 1.0], 0), (55, [], 0)] + [(0, [0.0, 1.0], 7), (30, [9.0, 9.0], 0)]
+    rows = [(i, [float(i % 3), 1.0], i) for i in range(40)] + [(50, None, 0), (51, [1.0, None], 0), (52, [nan, 1.0], 0), (53, [inf, 0.0], 0), (54, [2.0], 0), (None, [1.0, 1.0], 0), (55, [], 0)]
     df = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int"), "vec_id", "embedding")
     got = topk.top_k(df.where("id % 10 = 0"), df, 5, query_block=2, candidate_block=7).collect()
     pts = [(i, [(i % 3) * 256, 256]) for i in range(40)]
@@ -96,3 +97,17 @@ def test_blocks_nulls_ties_and_empty(spark):
     assert {(r.query_id, r.vec_id, r.score) for r in got} == want
     assert sorted(r["rank"] for r in got) == sorted([1, 2, 3, 4, 5] * 4)
     assert topk.top_k(df.where(F.lit(False)), df).count() == 0
+
+
+def test_repeated_ids_and_rows(spark):
+    """Every row is a candidate, and every row with a query's id a query; only the query's own row is left out."""
+    rows = [(0, [2.0, 1.0]), (1, [0.5, 0.0]), (1, [3.0, 3.0]), (1, [3.0, 3.0]), (0, [1.0, -2.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (7, [1.0, 1.0]), (8, [1.0, 1.0])]
+    rows += [(100, [1.0, 0.0])] * 9 + [(None, [5.0, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    con = duckdb.connect()
+    con.register("embeddings", df.toArrow())
+    want = con.execute(topk.SQL).fetchall()
+    v = topk.integers(df, "vec_id", "embedding")
+    for blocks in ((4096, 8192), (2, 3)):
+        got = topk.top_k(v.where("id % 50 = 0"), v, 5, *blocks).collect()
+        assert sorted(map(tuple, got)) == sorted(want) and len(got) == 5 * 13
