@@ -41,23 +41,20 @@ HOT_ROWS, HOT_SHARE = 250, 10_000
 def join_by_hot_key(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
     """``rows`` inner-joined with ``table`` (best a checkpoint), whose ``key`` is unique and whose ``count`` tells how many rows have it.
 
-    Keys with over HOT_ROWS rows and over one in HOT_SHARE of all are 10,000 at most, so they are broadcast, and their rows
-    are scattered in the join that all others take: no task gets all rows of one key.
+    Keys with over HOT_ROWS rows and over one in HOT_SHARE of all are 10,000 at most. Only they and their numbers of parts
+    are broadcast; their rows are parted by a hash of all their columns, so a rerun parts them alike, and their row of ``table``,
+    whatever its size, is shuffled to each part: no task gets all rows of one key.
     """
     total, most = table.agg(F.sum(count), F.max(count)).first()
     limit = max(HOT_ROWS, (total or 0) // HOT_SHARE)
     if (most or 0) <= limit:
         return rows.join(table.drop(count), key)
-    names = [c for c in table.columns if c not in (key, count)]
-    both = table.select(F.col(key).alias("__k"), F.struct(*names).alias("__v"), F.col(count).alias("__n"))
-    hot = both.where(F.col("__n") > limit).select(F.col("__k").alias("__hk"), F.col("__v").alias("__h"))
-    cold = both.where(F.col("__n") <= limit).select("__k", F.lit(-1).alias("__s"), F.col("__v").alias("__c"))
-    seen = rows.join(F.broadcast(hot), F.col(key) == F.col("__hk"), "left")
-    # A hot row's second key is never -1, so it meets nothing and lies anywhere.
-    seen = seen.withColumn("__r", F.when(F.col("__h").isNull(), -1).otherwise(F.floor(F.rand(1) * (1 << 20)).cast("int")))
-    met = seen.join(cold, (F.col(key) == F.col("__k")) & (F.col("__r") == F.col("__s")), "left")
-    value = F.coalesce("__h", "__c")
-    return met.where(value.isNotNull()).select(*rows.columns, *[value[c].alias(c) for c in names])
+    parts = F.when(F.col(count) > limit, F.ceil(F.col(count) / limit)).otherwise(1).cast("int")
+    hot = table.where(F.col(count) > limit).select(F.col(key).alias("__k"), parts.alias("__parts"))
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("__k"), "left")
+    dealt = dealt.withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("__parts")).cast("int"), F.lit(0))).drop("__k", "__parts")
+    copies = table.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop(count)
+    return dealt.join(copies, [key, "__part"]).select(*rows.columns, *[c for c in table.columns if c not in (key, count)])
 
 
 def held_out(id_col: str = "doc_id"):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -205,11 +206,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             texts = [t.decode("utf-8", "replace") for _, part in text_slices(batch.column(1)) for t in part]
             for i, text in enumerate(texts):
                 x, size, _ = line_features([text])
-                lo = hash(batch.column(0)[i].as_py()) * 7919 % max(1, len(x) - max_lines + 1)
+                own = batch.column(0)[i].as_py()
+                lo = (own if isinstance(own, int) else zlib.crc32(str(own).encode())) * 7919 % max(1, len(x) - max_lines + 1)
                 part = slice(lo, lo + max_lines)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(2).slice(i, 1), pa.array([x[part].tobytes()]), pa.array([size[part].tolist()])], names=["id", "label", "x", "size"])
 
-    got = rows.select("id", "text", "label").mapInArrow(features, "id long, label int, x binary, size array<long>").toPandas()
+    got = rows.select("id", "text", "label").mapInArrow(features, f"id {rows.schema['id'].dataType.simpleString()}, label int, x binary, size array<long>").toPandas()
     if got["label"].nunique() < 2:
         return None
     got = got.sort_values("id")
