@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,11 +41,11 @@ def word_ids(text: bytes) -> tuple[np.ndarray, list[bytes]]:
 
 
 def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """shard, lang, n_words, ids (32-bit integers), words (space-joined): all texts, some megabytes of one language a row; stored."""
+    """shard, lang, n_words, ids (32-bit integers) and words (space-joined), both compressed: all texts, some megabytes of one language a row; stored."""
 
     def row(lang: str, parts: list[bytes]) -> tuple:
         ids, words = word_ids(b".".join(parts))
-        return lang, int(np.count_nonzero(ids)), ids.tobytes(), b" ".join(words)
+        return lang, int(np.count_nonzero(ids)), zstandard.compress(ids.tobytes()), zstandard.compress(b" ".join(words))
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["lang", "n_words", "ids", "words"])
@@ -73,6 +74,10 @@ def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shar
     return stored(out.withColumn("shard", F.monotonically_increasing_id()), **{"parquet.block.size": str(4 * shard_bytes)})
 
 
+def _opened(ids: bytes, words: bytes) -> tuple[np.ndarray, list[bytes]]:
+    return np.frombuffer(zstandard.decompress(ids), np.int32), zstandard.decompress(words).split(b" ")
+
+
 def suffix_array(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes of ``ids`` in the order of their first ``depth`` words (a power of two), and each one's LCP with the one before, at most that.
 
@@ -114,7 +119,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class _Keys:
-    """128-bit keys of pairs of a shard's words, equal in all shards of a language."""
+    """96-bit keys, of a low half and 32 high bits, of pairs of a shard's words, equal in all shards of a language."""
 
     LANES = ("roadweave:lane:0", "roadweave:lane:1")
 
@@ -124,14 +129,15 @@ class _Keys:
         self.lanes = [_mixed(h + _mixed(h[:1])) for h in lanes]  # word id i at i
 
     def of(self, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
-        return [_mixed(h[a] * np.uint64(0x9E3779B97F4A7C15) + h[b]) for h in self.lanes]
+        low, high = (_mixed(h[a] * np.uint64(0x9E3779B97F4A7C15) + h[b]) for h in self.lanes)
+        return [low, high.astype(np.uint32)]
 
 
 def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for r in b.to_pylist():
-            words = r["words"].split(b" ")
-            n = np.bincount(np.frombuffer(r["ids"], np.int32), minlength=len(words) + 1)[1:]
+            ids, words = _opened(r["ids"], r["words"])
+            n = np.bincount(ids, minlength=len(words) + 1)[1:]
             yield pa.RecordBatch.from_arrays([pa.array([r["lang"]] * len(words), pa.string()), pa.array(words, pa.binary()), pa.array(n)], names=["lang", "phrase", "f"])
 
 
@@ -139,9 +145,9 @@ def _pairs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
     """shard, bucket, low, high, n: the keys of a shard's pairs of words and how often they stand, by the keys' bucket."""
     for b in batches:
         for r in b.to_pylist():
-            ids = np.frombuffer(r["ids"], np.int32)
+            ids, words = _opened(r["ids"], r["words"])
             at, n = ngrams(ids, *suffix_array(ids, 2), 2)
-            low, high = _Keys(r["lang"], r["words"].split(b" ")).of(ids[at], ids[at + 1])
+            low, high = _Keys(r["lang"], words).of(ids[at], ids[at + 1])
             order = np.argsort(low)
             low, high, n = low[order], high[order], n[order].astype(np.uint32)
             bucket = (low >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
@@ -154,7 +160,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
 def _merged(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
     """For each shard of a bucket's rows those of its pairs that stand ``least`` times in all: keys, counts, and whether it is the first shard with the pair."""
     pdf = pdf.sort_values("shard")
-    low, high, n = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("low", np.uint64), ("high", np.uint64), ("n", np.uint32)))
+    low, high, n = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("low", np.uint64), ("high", np.uint32), ("n", np.uint32)))
     shard = np.repeat(np.arange(len(pdf)), [len(x) // 8 for x in pdf["low"]])
     order = np.argsort(low, kind="stable")
     if ((low[order][1:] == low[order][:-1]) & (high[order][1:] != high[order][:-1])).any():
@@ -184,9 +190,9 @@ def _longer(shard: pd.DataFrame, frequent: pd.DataFrame) -> pd.DataFrame:
     out: list[tuple[np.ndarray, np.ndarray]] = []
     if len(shard) and len(frequent):
         r = shard.iloc[0]
-        ids, words = np.frombuffer(r["ids"], np.int32), r["words"].split(b" ")
+        ids, words = _opened(r["ids"], r["words"])
         keys, words = _Keys(r["lang"], words), np.array(words, object)
-        low, high, n, first = (np.frombuffer(b"".join(frequent[c]), t) for c, t in (("low", np.uint64), ("high", np.uint64), ("n", np.int64), ("first", bool)))
+        low, high, n, first = (np.frombuffer(b"".join(frequent[c]), t) for c, t in (("low", np.uint64), ("high", np.uint32), ("n", np.int64), ("first", bool)))
         order = np.lexsort((high, low))
         low, high, n, first = low[order], high[order], n[order], first[order]
         pair, of = np.unique(ids[:-1].astype(np.int64) << 32 | ids[1:], return_inverse=True)
@@ -221,7 +227,7 @@ def phrase_counts(sharded: DataFrame, least: int = 30) -> DataFrame:
 
     Pairs of words are counted first. Each shard's suffix array gives its pairs' keys and counts, which meet by buckets of
     keys; each shard hears which of its pairs are frequent, and its suffix array over the runs of these gives the
-    longer phrases, as a frequent phrase has only frequent pairs. So only pairs are sent from all texts, a key of 128 bits
+    longer phrases, as a frequent phrase has only frequent pairs. So only pairs are sent from all texts, a key of 96 bits
     once a shard, and a pair that is everywhere costs its bucket a key a shard. Counts are exact but for chance collisions of keys.
     """
     spark = sharded.sparkSession

@@ -4,7 +4,10 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
+import zstandard
 
 from roadweave.llm import collocations as col
 from roadweave.llm.queries import op11_phrase_collocations
@@ -71,9 +74,7 @@ def test_halves_of_keys_may_collide(monkeypatch, spark):
     of = col._Keys.of
     monkeypatch.setattr(col._Keys, "of", lambda self, a, b: [of(self, a, b)[0] >> np.uint64(61) << np.uint64(61), of(self, a, b)[1]])
     ids, words = col.word_ids(b"a b c d a b c d a c b d. a b. c d. b a d c")
-    shard = {"shard": 5, "lang": "en", "ids": ids.tobytes(), "words": b" ".join(words)}
-    import pandas as pd
-    import pyarrow as pa
+    shard = {"shard": 5, "lang": "en", "ids": zstandard.compress(ids.tobytes()), "words": zstandard.compress(b" ".join(words))}
 
     batch = pa.RecordBatch.from_pylist([shard])
     (pairs,) = col._pairs(iter([batch]), 1)
