@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 from collections.abc import Iterator
@@ -56,6 +57,7 @@ class Network:
     head: np.ndarray
     edge: np.ndarray
     weight: np.ndarray
+    directed: bool = False
 
     @classmethod
     def of(cls, edge: list[str], tail: list[str], head: list[str], weight: list[float] | np.ndarray, directed: bool = False) -> Network:
@@ -67,14 +69,28 @@ class Network:
         if not directed:
             a, b, e, w = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([e, e]), np.concatenate([w, w])
         order = np.lexsort((b, e, a))
-        return cls(nodes, edges, np.searchsorted(a[order], np.arange(len(nodes) + 1)), b[order].astype(np.int32), e[order].astype(np.int32), w[order])
+        return cls(nodes, edges, np.searchsorted(a[order], np.arange(len(nodes) + 1)), b[order].astype(np.int32), e[order].astype(np.int32), w[order], directed)
 
     def node(self, name: str) -> int | None:
         at = int(np.searchsorted(self.nodes, name))
         return at if at < len(self.nodes) and self.nodes[at] == name else None
 
-    def tree(self, origin: str, wanted: set[str]) -> dict[str, tuple[float, list[str]]]:
-        """Cost and edges to each wanted node that can be reached; of equal costs the path found first by edge id."""
+    @functools.cached_property
+    def into(self) -> Network:
+        """The same links by the node that they lead to."""
+        if not self.directed:
+            return self
+        order = np.argsort(self.head, kind="stable")
+        tail = np.repeat(np.arange(len(self.nodes), dtype=np.int32), np.diff(self.start))
+        return Network(self.nodes, self.edges, np.searchsorted(self.head[order], np.arange(len(self.nodes) + 1)), tail[order], self.edge[order], self.weight[order], True)
+
+    def tree(self, origin: str, wanted: set[str], needs: bool = False) -> dict[str, tuple[float, list[str], list[str]]]:
+        """Cost and edges to each wanted node that can be reached, and with ``needs`` the edges on which both depend.
+
+        Of equal costs that holds whose node before is nearer, or else was itself reached by the smaller edge, or has the
+        smaller name. A path stays what it is while the edges that it needs stay, whatever others are lost: its own and, where
+        another node before would cost as much and lie as near, those that this node was reached by.
+        """
         source = self.node(origin)
         ends = {n: w for w in wanted if w != origin and (n := self.node(w)) is not None}
         if source is None or not ends:
@@ -98,12 +114,26 @@ class Network:
             while at != source:
                 at, e = before[at]
                 path.append(str(self.edges[e]))
-            out[ends[node]] = cost_of[node], path[::-1]
+            out[ends[node]] = cost_of[node], path[::-1], self._needs(node, source, cost_of, before, done) if needs else []
         return out
 
+    def _needs(self, node: int, source: int, cost_of: dict[int, float], before: dict[int, tuple[int, int]], done: set[int]) -> list[str]:
+        back, seen, todo, out = self.into, {source}, [node], set()
+        while todo:
+            at = todo.pop()
+            if at in seen:
+                continue
+            seen.add(at)
+            first, e = before[at]
+            out.add(e)
+            todo.append(first)
+            row = slice(back.start[at], back.start[at + 1])
+            todo += [u for u, w in zip(back.head[row].tolist(), back.weight[row].tolist(), strict=True) if u in done and cost_of[u] == cost_of[first] and cost_of[u] + w == cost_of[at]]
+        return [str(self.edges[e]) for e in sorted(out)]
+
 
-def least_cost_paths(od: DataFrame, edges: DataFrame, directed: bool = False) -> DataFrame:
-    """od with cost double and path array<e_id>; unreachable and self pairs have a null cost and an empty path.
+def least_cost_paths(od: DataFrame, edges: DataFrame, directed: bool = False, needs: bool = False) -> DataFrame:
+    """od with cost double and path array<e_id>, and with ``needs`` the edges that decide it; unreachable and self pairs have a null cost and an empty path.
 
     edges: e_id, from_id, to_id, weight. The network goes to every worker as arrays, some 60 bytes a link and its names; demand
     is dealt by origin, so an origin's tree is grown once. The result is a checkpoint, after which the network is let go.
@@ -119,12 +149,13 @@ def least_cost_paths(od: DataFrame, edges: DataFrame, directed: bool = False) ->
                 wanted = set(mine["destination"].dropna())
                 # Rows come sorted by origin: its tree is kept while it lasts, and grown again only for further ends.
                 if last[0] != origin or not wanted <= last[1]:
-                    last = origin, wanted, net.value.tree(origin, wanted) if isinstance(origin, str) else {}
-                found = [last[2].get(d, (None, [])) for d in mine["destination"]]
-                yield mine.assign(cost=[c for c, _ in found], path=[p for _, p in found])
+                    last = origin, wanted, net.value.tree(origin, wanted, needs) if isinstance(origin, str) else {}
+                found = [last[2].get(d, (None, [], [])) for d in mine["destination"]]
+                more = {"needs": [n for *_, n in found]} if needs else {}
+                yield mine.assign(cost=[c for c, *_ in found], path=[p for _, p, _ in found], **more)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in od.schema.fields)
-    out = checkpointed(od.repartition("origin").sortWithinPartitions("origin").mapInPandas(run, f"{kinds}, cost double, path array<string>"))
+    out = checkpointed(od.repartition("origin").sortWithinPartitions("origin").mapInPandas(run, f"{kinds}, cost double, path array<string>{', needs array<string>' if needs else ''}"))
     net.destroy()
     return out
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def split_line(points: list[tuple[float, float]], x0: float, y0: float, dx: float, dy: float) -> list[tuple[int, int, float]]:
     """(column, row, length) of each piece of a line between the borders of grid cells, in the line's order."""
@@ -58,30 +60,102 @@ def in_polygon(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
 
 
 def sides(polygons: DataFrame) -> DataFrame:
-    """polygon, ax, ay, bx, by: the sides of each ring (polygon, ring array<struct<x, y>>), closed if it is not."""
+    """polygon, ax, ay, bx, by: the sides of each ring (polygon, ring array<struct<x, y>>), closed if it is not; null and empty rings have none."""
+    polygons = polygons.where(F.size("ring") > 0)
     ring = F.concat("ring", F.slice("ring", 1, 1))
     pairs = F.explode(F.arrays_zip(F.slice(ring, 1, F.size("ring")).alias("a"), F.slice(ring, 2, F.size("ring")).alias("b")))
     return polygons.select("polygon", pairs.alias("s")).select("polygon", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
 
 
+def _box(polygons: DataFrame) -> DataFrame:
+    x, y = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    return polygons.where(F.size("ring") > 0).select("polygon", F.array_min(x).alias("x0"), F.array_max(x).alias("x1"), F.array_min(y).alias("y0"), F.array_max(y).alias("y1"))
+
+
+def _covered(low: str, high: str, cell: float) -> Column:
+    return F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
+
+
 def within(points: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataFrame:
     """id, polygon: each point (id, x, y) with every polygon (polygon, ring) that it lies in; points on a left or lower side count as inside.
 
-    A side meets the points of the rows of cells that it crosses, so what is compared grows with what lies side by side.
+    A point meets the polygons whose boxes cover its cell of a grid in both directions, and of these only the sides in its
+    row of cells, so what is compared grows with what lies side by side.
     """
-    s = sides(polygons).where("ay <> by")
-    rows = F.explode(F.sequence(F.floor(F.least("ay", "by") / cell), F.floor(F.greatest("ay", "by") / cell))).alias("row")
-    met = points.select("id", "x", "y", F.floor(F.col("y") / cell).alias("row")).join(s.select("*", rows), "row")
+    boxes = _box(polygons).select("*", _covered("x0", "x1", cell).alias("column")).select("*", _covered("y0", "y1", cell).alias("row"))
+    at = points.select("id", "x", "y", F.floor(F.col("x") / cell).alias("column"), F.floor(F.col("y") / cell).alias("row"))
+    near = at.join(boxes, ["column", "row"]).where("x >= x0 AND x <= x1 AND y >= y0 AND y <= y1").select("id", "x", "y", "row", "polygon")
+    s = sides(polygons).where("ay <> by").withColumns({"low": F.least("ay", "by"), "high": F.greatest("ay", "by")})
+    met = near.join(s.select("polygon", "ax", "ay", "bx", "by", _covered("low", "high", cell).alias("row")), ["polygon", "row"])
     crosses = ((F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))) & (F.col("x") < (F.col("bx") - F.col("ax")) * (F.col("y") - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax"))
     return met.where(crosses).groupBy("id", "polygon").agg(F.count("*").alias("n")).where("n % 2 = 1").select("id", "polygon")
 
 
+def to_side(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """The distance from a point to a side."""
+    dx, dy = bx - ax, by - ay
+    t = F.coalesce(F.try_divide((x - ax) * dx + (y - ay) * dy, dx * dx + dy * dy), F.lit(0.0))
+    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+    return F.hypot(x - ax - t * dx, y - ay - t * dy)
+
+
+def nearest_polygon(points: DataFrame, polygons: DataFrame, cell: float = 1.0, digits: int = 9) -> DataFrame:
+    """id, polygon, distance: the polygon with the nearest side, ties (to ``digits`` places) to the first by name.
+
+    Points meet the sides in their cell and the eight around it. One that found a side no farther than a cell's width is
+    settled; the others go on with cells of twice the width, until a cell is wider than all that there is.
+    """
+    s = checkpointed(sides(polygons).where("ax IS NOT NULL AND bx IS NOT NULL").withColumns({"x0": F.least("ax", "bx"), "x1": F.greatest("ax", "bx"), "y0": F.least("ay", "by"), "y1": F.greatest("ay", "by")}))
+    todo = checkpointed(points.select("id", "x", "y").where("x IS NOT NULL AND y IS NOT NULL"))
+    reach = todo.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).union(s.agg(F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")))
+    x0, x1, y0, y1 = reach.agg(F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")).first()
+    around = lambda c, width: F.explode(F.sequence(F.floor(F.col(c) / width) - 1, F.floor(F.col(c) / width) + 1))
+    found, width = None, cell
+    last = x0 is None or s.isEmpty()
+    while not last and not todo.isEmpty():
+        last = width > max(x1 - x0, y1 - y0)
+        probes = todo.select("*", around("x", width).alias("column")).select("*", around("y", width).alias("row"))
+        in_cells = s.select("*", _covered("x0", "x1", width).alias("column")).select("*", _covered("y0", "y1", width).alias("row")).drop("x0", "x1", "y0", "y1")
+        far = F.round(to_side(*[F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")]), digits)
+        best = probes.join(in_cells, ["column", "row"]).groupBy("id").agg(F.min(F.struct(far.alias("distance"), "polygon")).alias("m")).select("id", "m.polygon", "m.distance")
+        best = checkpointed(best if last else best.where(F.col("distance") <= width))
+        found = best if found is None else found.union(best)
+        todo = checkpointed(todo.join(best, "id", "left_anti"))
+        width *= 2
+    return found if found is not None else points.join(polygons, F.lit(False)).select("id", "polygon", F.lit(0.0).alias("distance"))
+
+
 def within_or_nearest(points: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataFrame:
-    """id, polygon: the first polygon by name that a point lies in, else the one with the nearest corner (few points, as each meets all corners)."""
-    inside = within(points, polygons, cell).groupBy("id").agg(F.min("polygon").alias("polygon"))
-    corners = polygons.select("polygon", F.explode("ring").alias("c")).select("polygon", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))
-    rest = points.join(inside, "id", "left_anti").join(corners, F.lit(True)).groupBy("id").agg(F.min(F.struct(F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")).alias("d"), "polygon")).alias("m"))
-    return inside.union(rest.select("id", "m.polygon"))
+    """id, polygon: the first polygon by name that a point lies in, else the one with the nearest side (ties to nine places: the first by name)."""
+    inside = checkpointed(within(points, polygons, cell).groupBy("id").agg(F.min("polygon").alias("polygon")))
+    rest = points.join(inside, "id", "left_anti")
+    return inside.union(nearest_polygon(rest, polygons, cell).select("id", "polygon"))
+
+
+def clip_lines(lines: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataFrame:
+    """e_id, polygon, length: how much of each line (e_id, vertices) lies in each polygon (polygon, ring).
+
+    A segment of a line is cut where it crosses the sides of the polygons whose boxes its own box meets, cell by cell of a grid, and a
+    piece is inside if its middle is. Only what crosses or lies in a polygon is compared with it.
+    """
+    ends = F.posexplode(F.arrays_zip(F.slice("vertices", 1, F.size("vertices") - 1).alias("p"), F.slice("vertices", 2, F.size("vertices") - 1).alias("q"))).alias("k", "s")
+    parts = lines.where(F.size("vertices") > 1).select("e_id", ends).select("e_id", "k", *[F.col(f"s.{v}.{c}").alias(f"{v}{c}") for v in "pq" for c in "xy"])
+    parts = checkpointed(parts.withColumns({"sx0": F.least("px", "qx"), "sx1": F.greatest("px", "qx"), "sy0": F.least("py", "qy"), "sy1": F.greatest("py", "qy")}))
+    boxes = _box(polygons).select("*", _covered("x0", "x1", cell).alias("column")).select("*", _covered("y0", "y1", cell).alias("row"))
+    at = parts.select("*", _covered("sx0", "sx1", cell).alias("column")).select("*", _covered("sy0", "sy1", cell).alias("row"))
+    near = at.join(boxes, ["column", "row"]).where("sx1 >= x0 AND sx0 <= x1 AND sy1 >= y0 AND sy0 <= y1").select("e_id", "k", "px", "py", "qx", "qy", "polygon").distinct()
+    dx, dy, ux, uy = F.col("qx") - F.col("px"), F.col("qy") - F.col("py"), F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    across = dx * uy - dy * ux
+    t = F.try_divide((F.col("ax") - F.col("px")) * uy - (F.col("ay") - F.col("py")) * ux, across)
+    u = F.try_divide((F.col("ax") - F.col("px")) * dy - (F.col("ay") - F.col("py")) * dx, across)
+    key = ["e_id", "k", "polygon", "px", "py", "qx", "qy"]
+    cuts = near.join(sides(polygons), "polygon").groupBy(*key).agg(F.array_sort(F.collect_set(F.when((t > 0) & (t < 1) & (u >= 0) & (u <= 1), t))).alias("t"))
+    cuts = cuts.withColumn("t", F.array_distinct(F.concat(F.array(F.lit(0.0)), "t", F.array(F.lit(1.0)))))
+    pieces = cuts.select(*key, F.explode(F.arrays_zip(F.slice("t", 1, F.size("t") - 1).alias("a"), F.slice("t", 2, F.size("t") - 1).alias("b"))).alias("z"))
+    middle = (F.col("z.a") + F.col("z.b")) / 2
+    pieces = checkpointed(pieces.select("e_id", "polygon", (F.col("px") + middle * dx).alias("x"), (F.col("py") + middle * dy).alias("y"), ((F.col("z.b") - F.col("z.a")) * F.hypot(dx, dy)).alias("length")).withColumn("id", F.monotonically_increasing_id()))
+    inside = within(pieces.select("id", "x", "y"), polygons, cell)
+    return pieces.join(inside, ["id", "polygon"]).groupBy("e_id", "polygon").agg(F.sum("length").alias("length"))
 
 
 def label_inside(features: DataFrame, polygons: DataFrame, column: str = "urban") -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators import incidence as inc
 from ..session import checkpointed
 from . import assignment
 
-RESULT = "mode string, scenario int, day int, disrupted double, pairs long, before double, after double, rerouting double, isolated double"
+RESULT = "mode string, scenario int, day int, disrupted double, pairs long, before double, after double, rerouting double, isolated double, time double, operate double, toll double"
 
 
 def _speeds(links: DataFrame) -> DataFrame:
@@ -24,7 +24,9 @@ def _speeds(links: DataFrame) -> DataFrame:
 def _usable(links: DataFrame, vehicle: str) -> DataFrame:
     """What ``capacity_loop`` takes of the links that have capacity and speed."""
     weight = cost.link_cost(F.col("metres"), F.col("acc_speed"), F.col("toll"), vehicle)
-    return links.where("acc_capacity > 0 AND acc_speed > 0").select("e_id", "from_id", "to_id", weight.alias("weight"), F.col("acc_capacity").alias("capacity"))
+    miles = F.col("metres") * F.lit(cost.METRE_TO_MILE)
+    time, operate = cost.operating_cost(miles, F.try_divide(miles, F.col("acc_speed")), vehicle)
+    return links.where("acc_capacity > 0 AND acc_speed > 0").select("e_id", "from_id", "to_id", weight.alias("weight"), F.col("acc_capacity").alias("capacity"), time.alias("time"), operate.alias("fuel"), "toll")
 
 
 def day_links(links: DataFrame, rates: DataFrame, position: int) -> DataFrame:
@@ -57,24 +59,29 @@ def recovery(links: DataFrame, candidates: dict[str, DataFrame], rates: DataFram
     links: e_id, from_id, to_id, metres, toll, initial_speed, min_speed, breakpoint, congestion, current_flow,
     current_capacity, max_speed, level, asset, depth. rates: asset, level, day (the place in the table, from 1), rate.
     The disrupted flow is assigned anew, to the links as the day leaves them and to the undisrupted ones; the difference
-    of both costs is that of rerouting. Flow that finds no way is isolated. A mode without candidates gives no row.
+    of both costs is that of rerouting, of which time, operate and toll are the parts. Flow that finds no way is isolated. A
+    mode without candidates gives no row. The undisrupted links are the same every day, so a day searches them only for
+    pairs that no day before had.
     """
     for mode, paths in candidates.items():
         vehicle = (vehicles or {}).get(mode, "car")
         if paths.isEmpty():
             continue
+        plain = checkpointed(_usable(_speeds(links.withColumns({"acc_capacity": F.rint("current_capacity"), "acc_flow": F.rint("current_flow")})), vehicle))
+        ways = None
         for position, (scenario, day) in enumerate(days, 1):
             of_day = day_links(links, rates, position)
             lost = checkpointed(day_disruption(paths, of_day))
             pairs = lost.groupBy("origin", "destination").agg(F.sum("disrupted").alias("flow"))
             state = _speeds(give_back(of_day, lost))
             state = state.withColumn("acc_speed", exposure.day_gate(day, F.col("acc_speed"), F.col("max_speed"), F.col("depth")))
-            plain = _speeds(links.withColumns({"acc_capacity": F.rint("current_capacity"), "acc_flow": F.rint("current_flow")}))
             after = assignment.capacity_loop(pairs, _usable(state, vehicle))
-            before = assignment.capacity_loop(pairs, _usable(plain, vehicle))
+            before = assignment.capacity_loop(pairs, plain, known=ways)
+            if before.ways is not None:
+                ways = before.ways if ways is None else checkpointed(ways.join(before.ways, assignment.PAIR, "left_anti").unionByName(before.ways))
             total = pairs.agg(F.coalesce(F.sum("flow"), F.lit(0.0)).alias("f"), F.count("*").alias("n")).first()
             isolated = inc.isolation(after.isolated).agg(F.coalesce(F.sum("flow"), F.lit(0.0))).first()[0] if after.isolated is not None else 0.0
-            yield mode, scenario, day, float(total["f"]), total["n"], float(before.cost), float(after.cost), float(after.cost - before.cost), float(isolated)
+            yield mode, scenario, day, float(total["f"]), total["n"], float(before.cost), float(after.cost), float(after.cost - before.cost), float(isolated), *(float(after.costs[c] - before.costs[c]) for c in assignment.PARTS)
 
 
 def recovery_table(links: DataFrame, candidates: dict[str, DataFrame], rates: DataFrame, days: list[tuple[int, int]], vehicles: dict[str, str] | None = None) -> DataFrame:

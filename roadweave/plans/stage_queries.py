@@ -415,7 +415,7 @@ def points_in_polygons(s, d):
     return spatial.within(points, T.points(s, d, "nation").select(F.col("id").alias("polygon"), box.alias("ring")))
 
 
-@query("polygon_or_nearest", "WITH i AS (SELECT c.id, min(n.id) AS polygon FROM cp c JOIN np n ON c.lon >= n.lon AND c.lon < n.lon + 3 AND c.lat >= n.lat AND c.lat < n.lat + 2 GROUP BY 1), k AS (SELECT id, lon + x AS x, lat + y AS y FROM np, (VALUES (0, 0), (3, 0), (3, 2), (0, 2)) t(x, y)), q AS (SELECT c.id, k.id AS polygon, sqrt(pow(c.lon - k.x, 2) + pow(c.lat - k.y, 2)) AS m FROM cp c, k WHERE c.id NOT IN (SELECT id FROM i)) SELECT * FROM i UNION ALL SELECT id, arg_min(polygon, (round(m, 9), polygon)) FROM q GROUP BY 1", "cp np")
+@query("polygon_or_nearest", "WITH i AS (SELECT c.id, min(n.id) AS polygon FROM cp c JOIN np n ON c.lon >= n.lon AND c.lon < n.lon + 3 AND c.lat >= n.lat AND c.lat < n.lat + 2 GROUP BY 1), q AS (SELECT c.id, n.id AS polygon, sqrt(pow(greatest(n.lon - c.lon, c.lon - n.lon - 3, 0), 2) + pow(greatest(n.lat - c.lat, c.lat - n.lat - 2, 0), 2)) AS m FROM cp c, np n WHERE c.id NOT IN (SELECT id FROM i)) SELECT * FROM i UNION ALL SELECT id, arg_min(polygon, (round(m, 9), polygon)) FROM q GROUP BY 1", "cp np")
 def polygon_or_nearest(s, d):
     box = F.array(*[F.struct((F.col("lon") + x).alias("x"), (F.col("lat") + y).alias("y")) for x, y in ((0, 0), (3, 0), (3, 2), (0, 2))])
     points = T.points(s, d, "customer").select("id", F.col("lon").alias("x"), F.col("lat").alias("y"))

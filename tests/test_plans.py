@@ -44,11 +44,88 @@ def test_JN5_isolated_ends_and_self_pairs(spark):
     assert assignment.capacity_loop(od(spark, []), net(spark, PARALLEL)).iterations == 0
 
 
-def test_GR7_equilibrium_has_equal_times():
-    links = [{"e_id": "a", "from_id": "1", "to_id": "2", "t0": 10.0, "capacity": 10.0}, {"e_id": "b", "from_id": "1", "to_id": "2", "t0": 15.0, "capacity": 30.0}]
-    flow, gaps = assignment.user_equilibrium([("1", "2", 40.0)], links, iterations=3000)
-    time = {e["e_id"]: e["t0"] * (1 + 0.15 * (flow[e["e_id"]] / e["capacity"]) ** 4) for e in links}
-    assert gaps[-1] < 1e-3 and time["a"] == pytest.approx(time["b"], rel=0.02) and sum(flow.values()) == pytest.approx(40)
+def plain_equilibrium(od, links, iterations):
+    """The rule on lists: link flows and gaps after so many iterations."""
+    flow, gaps = dict.fromkeys((e[0] for e in links), 0.0), []
+    time = lambda: {e: t0 if c <= 0 or flow[e] <= 0 else t0 * (1 + 0.15 * (flow[e] / c) ** 4) for e, _, _, t0, c in links}
+    for k in range(1, iterations + 2):
+        t = time()
+        net = network.Network.of([e[0] for e in links], [e[1] for e in links], [e[2] for e in links], [t[e[0]] for e in links], directed=True)
+        load, least = dict.fromkeys(flow, 0.0), 0.0
+        for o, d, f in od:
+            if found := net.tree(o, {d}).get(d):
+                least += f * found[0]
+                for e in found[1]:
+                    load[e] += f
+        if k > 1:
+            gaps.append(max(0.0, 1 - least / sum(flow[e] * t[e] for e in flow)))
+        if k <= iterations:
+            step = 1.0 if k == 1 else 2 / (k + 2)
+            flow = {e: flow[e] + step * (load[e] - flow[e]) for e in flow}
+    return flow, gaps
+
+
+UE = "e_id string, from_id string, to_id string, t0 double, capacity double"
+
+
+def test_GR7_equilibrium_has_equal_times(spark):
+    links = spark.createDataFrame([("a", "1", "2", 10.0, 10.0), ("b", "1", "2", 15.0, 30.0)], UE)
+    got = assignment.user_equilibrium(od(spark, [("1", "2", 30.0), ("1", "2", 10.0), ("2", "1", 5.0), ("1", "1", 7.0)]), links, 40, 1e-3, search=True)
+    row = {r.e_id: r for r in got.links.collect()}
+    assert got.converged and got.history[-1] <= 1e-3 and got.iterations == len(got.history) < 40
+    assert row["a"].time == pytest.approx(row["b"].time, rel=0.02) and row["a"].flow + row["b"].flow == pytest.approx(40)
+    none = assignment.user_equilibrium(od(spark, []), links)
+    assert none.history == [0.0] and none.links.agg(F.sum("flow")).first()[0] == 0
+
+
+def test_GR7_flows_and_gaps_by_the_rule(spark):
+    """A ring of 12 places with chords; every iteration's gap and the flows at the end are those of the rule on lists."""
+    n = 12
+    rows = [(f"{k}{a:02d}_{b:02d}", f"p{a:02d}", f"p{b:02d}", 2.0 + (7 * a + 3 * b) % 5 + 0.37 * k, 20.0 + (a * b) % 7) for a in range(n) for k, b in enumerate(((a + 1) % n, (a - 1) % n, (a + 5) % n))]
+    trips = [(f"p{a:02d}", f"p{b:02d}", 1.0 + (a * 5 + b) % 4) for a in range(0, n, 3) for b in range(n) if a != b]
+    got = assignment.user_equilibrium(od(spark, trips), spark.createDataFrame(rows, UE), 5, 0.0)
+    flow, gaps = plain_equilibrium(trips, rows, 5)
+    assert got.history == pytest.approx(gaps, abs=1e-9) and not got.converged
+    assert {r.e_id: r.flow for r in got.links.collect()} == pytest.approx(flow, abs=1e-9)
+    best = assignment.user_equilibrium(od(spark, trips), spark.createDataFrame(rows, UE), 5, 0.0, search=True)
+    assert best.history[-1] < gaps[-1]
+
+
+def test_CP21_GR4_only_trees_that_lost_a_link_are_grown_again(spark, monkeypatch):
+    """A net with local demand: the same assignment and the same recovery table, with under a third of the trees."""
+    from roadweave.plans import recovery
+
+    w, h = 20, 12
+    name = lambda x, y: f"{x:02d}_{y:02d}"
+    links = [(f"{x:02d}_{y:02d}{k}", name(x, y), name(a, b), 400.0 + (x * 37 + y * 91 + 13 * k) % 700, 30.0 + (x * 5 + y * 3) % 40) for x in range(w) for y in range(h) for k, (a, b) in enumerate(((x + 1, y), (x, y + 1))) if a < w and b < h]
+    trips = [(name(x, y), name(min(x + 1 + (x + y) % 3, w - 1), min(y + 1 + (x * y) % 2, h - 1)), 40.0 + (x * y) % 60) for x in range(0, w - 1, 2) for y in range(0, h - 1, 2)]
+    plain = spark.createDataFrame(links, "e_id string, from_id string, to_id string, metres double, capacity double")
+    base = plain.withColumn("weight", F.col("metres")).drop("metres")
+    kept = assignment.capacity_loop(od(spark, trips), base, 4)
+    with monkeypatch.context() as m:
+        m.setattr(assignment, "still_good", lambda ways, gone: ways.limit(0))
+        whole = assignment.capacity_loop(od(spark, trips), base, 4)
+    flows = lambda a: {r.e_id: round(r.acc_flow, 6) for r in a.links.collect()}
+    assert flows(kept) == flows(whole) and kept.cost == pytest.approx(whole.cost) and kept.iterations == whole.iterations == 4
+    assert kept.trees[0] == whole.trees[0] and 3 * sum(kept.trees[1:]) < sum(whole.trees[1:]), (kept.trees, whole.trees)
+
+    paths = kept.paths.where("iteration = 0").select(F.lit("v").alias("event"), "od_id", "origin", "destination", "flow", F.slice("path", 1, 1).alias("hits"), "path")
+    state = plain.select("e_id", "from_id", "to_id", "metres", F.lit(0.0).alias("toll"), F.lit(50.0).alias("initial_speed"), F.lit(5.0).alias("min_speed"), F.lit(1e9).alias("breakpoint"), F.lit(0.03).alias("congestion"), F.lit(0.0).alias("current_flow"),
+        (F.col("capacity") * 40).alias("current_capacity"), F.lit(None).cast("double").alias("max_speed"), F.when(F.substring("e_id", 1, 2) < "03", "severe").otherwise("no").alias("level"), F.lit("road").alias("asset"), F.lit(0.0).alias("depth"))
+    rates = spark.createDataFrame([("road", "severe", 1, 0.0), ("road", "severe", 2, 0.0)], "asset string, level string, day int, rate double")
+    counted = []
+    loop = assignment.capacity_loop
+    monkeypatch.setattr(assignment, "capacity_loop", lambda *a, **k: counted.append(out := loop(*a, **k)) or out)
+    table = [tuple(r) for r in recovery.recovery_table(state, {"m": paths}, rates, [(1, 1), (1, 2)]).collect()]
+    grown, counted[:] = sum(sum(a.trees) for a in counted), []
+    monkeypatch.setattr(assignment, "still_good", lambda ways, gone: ways.limit(0))
+    monkeypatch.setattr(assignment, "capacity_loop", lambda od, links, known=None: counted.append(out := loop(od, links)) or out)
+    again = [tuple(r) for r in recovery.recovery_table(state, {"m": paths}, rates, [(1, 1), (1, 2)]).collect()]
+    assert [r[:3] for r in table] == [r[:3] for r in again] and [x for r in table for x in r[3:]] == pytest.approx([x for r in again for x in r[3:]])
+    assert all(r[7] == pytest.approx(sum(r[9:])) for r in table)
+    all_trees = sum(sum(a.trees) for a in counted)
+    assert grown < all_trees, (grown, all_trees)
+    print("trees", kept.trees, whole.trees, grown, all_trees)
 
 
 def test_JN30_pieces_add_up(spark):
