@@ -28,7 +28,7 @@ def cell_paths(s, d):
     k = F.col("c_custkey").cast("long")
     c = s.read.parquet(f"{d}/customer.parquet").select(k.alias("k"), F.col("c_nationkey").alias("n"), (1 + F.abs("c_acctbal")).alias("w"))
     name = lambda col: F.lpad(col.cast("string"), 12, "0")
-    ends = F.explode(F.array(F.struct(F.lit("v").alias("kind"), (F.col("k") + ROW).alias("to")), F.struct(F.lit("h"), (F.col("k") + 1)))).alias("e")
+    ends = F.explode(F.array(F.struct(F.lit("v").alias("kind"), (F.col("k") + ROW).alias("to")), F.struct(F.lit("h").alias("kind"), (F.col("k") + 1).alias("to")))).alias("e")
     links = c.select("k", "w", ends).where(f"e.kind = 'v' OR e.to % {ROW} <> 0").join(c.select(F.col("k").alias("there")), F.col("e.to") == F.col("there"))
     links = links.select(F.concat("e.kind", name(F.col("k"))).alias("e_id"), name(F.col("k")).alias("from_id"), name(F.col("e.to")).alias("to_id"), F.col("w").alias("weight"))
     od = c.groupBy("n").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a < b").select(name(F.col("a")).alias("origin"), name(F.col("b")).alias("destination"))
