@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import cost
 from ..operators import incidence as inc
-from ..operators import network, paths
+from ..operators import network, path_index, paths
+from ..session import shared_folder
 from ..sources import tables as T
 from . import assignment
-from .queries import SPEED, query, r
+from .queries import SPEED, SQL, _damaged, query, r
 
 #: Places in a row of the customers' grid.
 ROW = 40
@@ -83,3 +86,12 @@ def user_equilibrium(s, d):
     trips = pairs.select(F.concat(F.lit("from "), "origin").alias("origin"), F.concat(F.lit("to "), "destination").alias("destination"), "flow")
     out = assignment.user_equilibrium(trips, links, 6, 0.0)
     return out.links.select("e_id", r("flow", 3).alias("flow"), r("time", 3).alias("minutes"))
+
+
+@query("stored_index_candidates", SQL["path_index_candidates"])
+def stored_index_candidates(s, d):
+    """The candidates of ``path_index_candidates`` from an index written to the shared folder."""
+    folder = f"{shared_folder(s)}/path-index-{uuid.uuid4().hex}"
+    path_index.write_path_index(T.od_paths(s, d), folder, 32)
+    out = path_index.stored_candidates(s, folder, _damaged(s, d))
+    return out.select("event", F.array_join("path", ",").alias("path"), F.array_join("hits", ",").alias("hits"), "n", r("flow", 6).alias("flow"))

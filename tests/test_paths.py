@@ -70,3 +70,25 @@ def test_GR4_paths_outlive_what_they_do_not_need(weights, directed):
             lost += 1
         assert before is None or set(before[1]) <= set(before[2])
     assert kept > 3 and lost > 3
+
+
+def test_CP4_CP5_stored_index(spark, tmp_path):
+    """Only the damaged links' buckets are read, no path is exploded, and the candidates are those of the index in memory."""
+    from roadweave.operators import incidence as inc
+    from roadweave.operators import path_index
+
+    rng = random.Random(6)
+    rows = [(i, float(i % 5), [f"e{rng.randrange(40)}" for _ in range(rng.randint(0, 6))]) for i in range(200)] + [(900 + i, 1.0, ["hot", "e1", "hot"]) for i in range(60)]
+    df = spark.createDataFrame(rows, "od_id long, flow double, path array<string>")
+    damaged = spark.createDataFrame([("a", "e1"), ("a", "e1"), ("a", "hot"), ("b", "e7"), ("b", None), ("c", "nowhere")], "event string, e_id string")
+    folder = f"file://{tmp_path}/index"
+    for _ in range(2):  # an index is replaced
+        path_index.write_path_index(df, folder, 16)
+    got = path_index.stored_candidates(spark, folder, damaged)
+    key = lambda r: (r.event, r.path_id)
+    want = sorted(inc.index_candidates(inc.path_index(df), damaged.distinct()).collect(), key=key)
+    assert sorted(got.collect(), key=key) == want and len(want) > 5
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "PartitionFilters: [bucket" in plan
+    path_index.write_path_index(df.limit(0), folder, 16)
+    assert path_index.stored_candidates(spark, folder, damaged).count() == 0
