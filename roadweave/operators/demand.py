@@ -47,7 +47,9 @@ def surrogate_ids(od: DataFrame, base: int = 0, buckets: int | None = None) -> D
 
     parted = checkpointed(parted)
     counts = parted.groupBy("part").count()
-    before = counts.alias("a").join(counts.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("before")).select("part", "before")
+    # A row a range, so one task adds them up.
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
     w = Window.partitionBy("part").orderBy("k")
     return parted.join(F.broadcast(before), "part").withColumn("od_id", (F.lit(base) + F.col("before") + F.row_number().over(w) - 1).cast("long")).drop("k", "part", "before")
 

@@ -53,7 +53,8 @@ def capacity_loop(od: DataFrame, links: DataFrame, max_iterations: int = 50, eno
     ``stagnant`` rounds without progress; what is left is isolated. Every round is a checkpoint and one small action.
 
     As links only go, a pair keeps its path while the links that it needs are there: a round grows anew only the trees of
-    pairs that lost one, and the network is not sent out where there are none. ``known`` has ways (``Assignment.ways``) of an
+    pairs that lost one, and the network is not sent out where there are none. (Most pairs that are left over have lost their
+    tightest link, so that saves little within one assignment, and most of the work between several.) ``known`` has ways (``Assignment.ways``) of an
     earlier assignment to the same links, weights and capacities, which are not searched again.
     """
     od = od.groupBy(*PAIR).agg(F.sum("flow").alias("flow"))

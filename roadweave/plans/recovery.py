@@ -53,6 +53,17 @@ def give_back(links: DataFrame, lost: DataFrame) -> DataFrame:
     return out.withColumns({"acc_capacity": whole(F.col("acc_capacity")) + whole(F.col("lost")), "acc_flow": whole(F.col("current_flow")) - whole(F.col("lost"))}).drop("lost")
 
 
+def _unchanged(ways: DataFrame | None, plain: DataFrame, now: DataFrame) -> DataFrame | None:
+    """The ways over the plain links that hold over the links as they are now: none if any link is better than it was."""
+    if ways is None:
+        return None
+    was, is_now = (x.where("capacity >= 1").select("e_id", F.col("weight").alias(name)) for x, name in ((plain, "was"), (now, "now")))
+    both = checkpointed(was.join(is_now, "e_id", "full"))
+    if not both.where("now IS NOT NULL AND (was IS NULL OR now < was)").isEmpty():
+        return None
+    return checkpointed(assignment.still_good(ways, both.where("now IS NULL OR now > was").select("e_id")))
+
+
 def recovery(links: DataFrame, candidates: dict[str, DataFrame], rates: DataFrame, days: list[tuple[int, int]], vehicles: dict[str, str] | None = None) -> Iterator[tuple]:
     """A row (RESULT) for each mode of ``candidates`` and each (scenario, day) of recovery.
 
@@ -61,7 +72,7 @@ def recovery(links: DataFrame, candidates: dict[str, DataFrame], rates: DataFram
     The disrupted flow is assigned anew, to the links as the day leaves them and to the undisrupted ones; the difference
     of both costs is that of rerouting, of which time, operate and toll are the parts. Flow that finds no way is isolated. A
     mode without candidates gives no row. The undisrupted links are the same every day, so a day searches them only for
-    pairs that no day before had.
+    pairs that no day before had; and the day's own links only for pairs that need a link which is closed or slower that day.
     """
     for mode, paths in candidates.items():
         vehicle = (vehicles or {}).get(mode, "car")
@@ -75,10 +86,11 @@ def recovery(links: DataFrame, candidates: dict[str, DataFrame], rates: DataFram
             pairs = lost.groupBy("origin", "destination").agg(F.sum("disrupted").alias("flow"))
             state = _speeds(give_back(of_day, lost))
             state = state.withColumn("acc_speed", exposure.day_gate(day, F.col("acc_speed"), F.col("max_speed"), F.col("depth")))
-            after = assignment.capacity_loop(pairs, _usable(state, vehicle))
             before = assignment.capacity_loop(pairs, plain, known=ways)
             if before.ways is not None:
                 ways = before.ways if ways is None else checkpointed(ways.join(before.ways, assignment.PAIR, "left_anti").unionByName(before.ways))
+            now = checkpointed(_usable(state, vehicle))
+            after = assignment.capacity_loop(pairs, now, known=_unchanged(ways, plain, now))
             total = pairs.agg(F.coalesce(F.sum("flow"), F.lit(0.0)).alias("f"), F.count("*").alias("n")).first()
             isolated = inc.isolation(after.isolated).agg(F.coalesce(F.sum("flow"), F.lit(0.0))).first()[0] if after.isolated is not None else 0.0
             yield mode, scenario, day, float(total["f"]), total["n"], float(before.cost), float(after.cost), float(after.cost - before.cost), float(isolated), *(float(after.costs[c] - before.costs[c]) for c in assignment.PARTS)

@@ -141,9 +141,16 @@ def event_damage_table(s, d):
     return out.select("event_id", "segments", "links", r("damage", -1).alias("damage"), r("damage_high", -1).alias("damage_high"), r("means", 3).alias("means"))
 
 
-@query("curve_tools", "SELECT x::DOUBLE AS x, round(y, 6)::DOUBLE AS y FROM (VALUES (0.0, 0.0), (1.0, 0.07), (2.0, 0.16), (3.0, 0.265), (6.0, 0.64), (12.0, 1.0)) t(x, y)")
+# The mix of 0.4 of CURVE and 0.6 of the same stretched to twice the depth.
+_MIXED = [(0.0, 0.0), (1.0, 0.07), (2.0, 0.16), (3.0, 0.265), (6.0, 0.64), (12.0, 1.0)]
+_ON_MIXED = " ".join(f"WHEN intensity <= {x1} THEN {y0} + (intensity - {x0}) * {(y1 - y0) / (x1 - x0)!r}" for (x0, y0), (x1, y1) in zip(_MIXED, _MIXED[1:]))
+
+
+@query("curve_tools", f"SELECT segment_id, round(CASE WHEN intensity <= 0 THEN 0 {_ON_MIXED} ELSE 1.0 END, 6)::DOUBLE AS fraction FROM sg", "sg")
 def curve_tools(s, d):
-    return s.createDataFrame([(x, round(y, 6)) for x, y in curves.mixed(CURVE, curves.scaled(CURVE, 2.0), 0.4)], "x double, y double")
+    """Damage fractions of all segments on a mix of a curve and the same stretched."""
+    mixed = curves.mixed(CURVE, curves.scaled(CURVE, 2.0), 0.4)
+    return T.segments(s, d).select("segment_id", r(damage.fraction(F.col("intensity"), mixed), 6).alias("fraction"))
 
 
 @query("speed_by_depth", "SELECT segment_id, round(greatest(0, least(50.0, 50.0 * (1 - intensity / 4.0))), 6) AS speed FROM sg", "sg")
@@ -402,9 +409,11 @@ def speed_override(s, d):
     return T.links(s, d).select("e_id", cost.speed_override(F.lit(60.0), F.lit(10.0), (F.col("suppkey") % 80).cast("double")).alias("speed"))
 
 
-@query("waiting_costs", "SELECT vehicle, round(cost, 4)::DOUBLE AS cost FROM (VALUES ('psv', 4.625), ('rail', 3.435), ('car', 0.0)) t(vehicle, cost)")
+@query("waiting_costs", "SELECT e_id, round(4.625 + least(2 + 0.15 * metres / 1000, 4.5), 6)::DOUBLE AS bus, round(3.435 + least(3 + 0.2 * metres / 1000, 250), 6)::DOUBLE AS rail FROM lk", "lk")
 def waiting_costs(s, d):
-    return s.createDataFrame([(v, round(cost.waiting_cost(v), 4)) for v in ("psv", "rail", "car")], "vehicle string, cost double")
+    """What a trip over each link costs in waiting and fare."""
+    bus, rail = cost.fares(F.col("metres") / 1000)
+    return T.links(s, d).select("e_id", r(bus + cost.waiting_cost("psv"), 6).alias("bus"), r(rail + cost.waiting_cost("rail"), 6).alias("rail"))
 
 
 @query("points_in_polygons", "SELECT c.id, n.id AS polygon FROM cp c JOIN np n ON c.lon >= n.lon AND c.lon < n.lon + 3 AND c.lat >= n.lat AND c.lat < n.lat + 2", "cp np")
