@@ -146,11 +146,11 @@ _MIXED = [(0.0, 0.0), (1.0, 0.07), (2.0, 0.16), (3.0, 0.265), (6.0, 0.64), (12.0
 _ON_MIXED = " ".join(f"WHEN intensity <= {x1} THEN {y0} + (intensity - {x0}) * {(y1 - y0) / (x1 - x0)!r}" for (x0, y0), (x1, y1) in zip(_MIXED, _MIXED[1:]))
 
 
-@query("curve_tools", f"SELECT segment_id, round(CASE WHEN intensity <= 0 THEN 0 {_ON_MIXED} ELSE 1.0 END, 6)::DOUBLE AS fraction FROM sg", "sg")
+@query("curve_tools", f"SELECT segment_id, round(CASE WHEN intensity <= 0 THEN 0 {_ON_MIXED} ELSE 1.0 END, 9)::DOUBLE AS fraction FROM sg", "sg")
 def curve_tools(s, d):
     """Damage fractions of all segments on a mix of a curve and the same stretched."""
     mixed = curves.mixed(CURVE, curves.scaled(CURVE, 2.0), 0.4)
-    return T.segments(s, d).select("segment_id", r(damage.fraction(F.col("intensity"), mixed), 6).alias("fraction"))
+    return T.segments(s, d).select("segment_id", r(damage.fraction(F.col("intensity"), mixed), 9).alias("fraction"))
 
 
 @query("speed_by_depth", "SELECT segment_id, round(greatest(0, least(50.0, 50.0 * (1 - intensity / 4.0))), 6) AS speed FROM sg", "sg")
