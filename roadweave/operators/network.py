@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cost
-from .spatial import line_length
+from .spatial import line_length, snap, split_lines
 from ..session import checkpointed
 
 
@@ -181,6 +181,21 @@ def with_topology(links: DataFrame) -> DataFrame:
     return links.withColumns({"from_id": node_id(a["x"], a["y"]), "to_id": node_id(b["x"], b["y"])})
 
 
+def network_of_parts(lines: DataFrame, points: DataFrame, reach: float | None = None, digits: int = 6) -> tuple[DataFrame, DataFrame]:
+    """(links, nodes) of lines (e_id, vertices) that are cut where points (id, x, y) lie nearest to them, within ``reach``.
+
+    links: e_id (with _ and its number where a line was cut), line, piece, vertices, from_id, to_id; nodes: ``nodes_of`` them.
+    A line's piece has the next one's from_id as its to_id, so a point has links on both sides.
+    """
+    pieces = split_lines(lines, snap(points, lines, reach).select("e_id", "place"))
+    several = pieces.where("piece = 1").select("e_id", F.lit(True).alias("several"))
+    own = F.when(F.col("several"), F.concat_ws("_", "line", "piece")).otherwise(F.col("line"))
+    links = pieces.join(several, "e_id", "left").withColumnRenamed("e_id", "line").withColumn("e_id", own).select("e_id", "line", "piece", "vertices")
+    a, b = F.col("vertices")[0], F.element_at("vertices", -1)
+    links = checkpointed(links.withColumns({"from_id": node_id(a["x"], a["y"], digits), "to_id": node_id(b["x"], b["y"], digits)}))
+    return links, nodes_of(links, digits)
+
+
 def select_links(links: DataFrame, nodes: DataFrame, column: str, values: list[str]) -> tuple[DataFrame, DataFrame]:
     """Links of some kinds as e_id, from_id, to_id and the rest, and the nodes that they touch."""
     kept = links.where(F.col(column).isin(values)).withColumnsRenamed({"id": "e_id", "start_node": "from_id", "end_node": "to_id"})

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
@@ -99,30 +99,37 @@ def to_side(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column
     return F.hypot(x - ax - t * dx, y - ay - t * dy)
 
 
-def nearest_polygon(points: DataFrame, polygons: DataFrame, cell: float = 1.0, digits: int = 9) -> DataFrame:
-    """id, polygon, distance: the polygon with the nearest side, ties (to ``digits`` places) to the first by name.
+def nearest_side(points: DataFrame, sides: DataFrame, names: list[str], cell: float = 1.0, digits: int = 9, reach: float | None = None) -> DataFrame:
+    """id, the ``names`` of the nearest side (ax, ay, bx, by and the names) and the distance, ties (to ``digits`` places) to the first by name.
 
     Points meet the sides in their cell and the eight around it. One that found a side no farther than a cell's width is
-    settled; the others go on with cells of twice the width, until a cell is wider than all that there is.
+    settled; the others go on with cells of twice the width, until a cell is wider than all that there is. Points with
+    nothing within ``reach`` give no row.
     """
-    s = checkpointed(sides(polygons).where("ax IS NOT NULL AND bx IS NOT NULL").withColumns({"x0": F.least("ax", "bx"), "x1": F.greatest("ax", "bx"), "y0": F.least("ay", "by"), "y1": F.greatest("ay", "by")}))
+    s = checkpointed(sides.where("ax IS NOT NULL AND bx IS NOT NULL").withColumns({"x0": F.least("ax", "bx"), "x1": F.greatest("ax", "bx"), "y0": F.least("ay", "by"), "y1": F.greatest("ay", "by")}))
     todo = checkpointed(points.select("id", "x", "y").where("x IS NOT NULL AND y IS NOT NULL"))
-    reach = todo.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).union(s.agg(F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")))
-    x0, x1, y0, y1 = reach.agg(F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")).first()
+    extent = todo.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).union(s.agg(F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")))
+    x0, x1, y0, y1 = extent.agg(F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")).first()
     around = lambda c, width: F.explode(F.sequence(F.floor(F.col(c) / width) - 1, F.floor(F.col(c) / width) + 1))
-    found, width = None, cell
+    none = todo.where(F.lit(False)).join(s, F.col("x") == F.col("ax")).select("id", *names, F.lit(0.0).alias("distance"))
+    found, width = none, cell
     last = x0 is None or s.isEmpty()
     while not last and not todo.isEmpty():
-        last = width > max(x1 - x0, y1 - y0)
+        last = width > max(x1 - x0, y1 - y0) or (reach is not None and width >= reach)
         probes = todo.select("*", around("x", width).alias("column")).select("*", around("y", width).alias("row"))
         in_cells = s.select("*", _covered("x0", "x1", width).alias("column")).select("*", _covered("y0", "y1", width).alias("row")).drop("x0", "x1", "y0", "y1")
         far = F.round(to_side(*[F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")]), digits)
-        best = probes.join(in_cells, ["column", "row"]).groupBy("id").agg(F.min(F.struct(far.alias("distance"), "polygon")).alias("m")).select("id", "m.polygon", "m.distance")
+        best = probes.join(in_cells, ["column", "row"]).groupBy("id").agg(F.min(F.struct(far.alias("distance"), *names)).alias("m")).select("id", *[F.col("m")[c].alias(c) for c in names], "m.distance")
         best = checkpointed(best if last else best.where(F.col("distance") <= width))
-        found = best if found is None else found.union(best)
+        found = found.union(best)
         todo = checkpointed(todo.join(best, "id", "left_anti"))
         width *= 2
-    return found if found is not None else points.join(polygons, F.lit(False)).select("id", "polygon", F.lit(0.0).alias("distance"))
+    return found if reach is None else found.where(F.col("distance") <= reach)
+
+
+def nearest_polygon(points: DataFrame, polygons: DataFrame, cell: float = 1.0, digits: int = 9) -> DataFrame:
+    """id, polygon, distance: the polygon with the nearest side, by ``nearest_side``."""
+    return nearest_side(points, sides(polygons), ["polygon"], cell, digits)
 
 
 def within_or_nearest(points: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataFrame:
@@ -132,14 +139,54 @@ def within_or_nearest(points: DataFrame, polygons: DataFrame, cell: float = 1.0)
     return inside.union(nearest_polygon(rest, polygons, cell).select("id", "polygon"))
 
 
+def segments_of(lines: DataFrame) -> DataFrame:
+    """e_id, k, ax, ay, bx, by: the segments between the vertices of lines (e_id, vertices), in order from 0; shorter lines have none."""
+    ends = F.posexplode(F.arrays_zip(F.slice("vertices", 1, F.size("vertices") - 1).alias("a"), F.slice("vertices", 2, F.size("vertices") - 1).alias("b"))).alias("k", "s")
+    return lines.where(F.size("vertices") > 1).select("e_id", ends).select("e_id", "k", *[F.col(f"s.{v}.{c}").alias(f"{v}{c}") for v in "ab" for c in "xy"])
+
+
+def snap(points: DataFrame, lines: DataFrame, reach: float | None = None, cell: float = 1.0) -> DataFrame:
+    """id, e_id, place, x, y, distance: each point's nearest place on a line, if any within ``reach``; ties to the first line, then segment.
+
+    ``place`` is the segment's number and how far along it the place is, from 0 to 1, added up.
+    """
+    parts = checkpointed(segments_of(lines))
+    near = nearest_side(points, parts, ["e_id", "k"], cell, reach=reach)
+    at = near.join(points.select("id", F.col("x").alias("px"), F.col("y").alias("py")), "id").join(parts, ["e_id", "k"])
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    t = F.coalesce(F.try_divide((F.col("px") - F.col("ax")) * dx + (F.col("py") - F.col("ay")) * dy, dx * dx + dy * dy), F.lit(0.0))
+    at = at.withColumn("t", F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0)))
+    return at.select("id", "e_id", (F.col("k") + F.col("t")).alias("place"), (F.col("ax") + F.col("t") * dx).alias("x"), (F.col("ay") + F.col("t") * dy).alias("y"), "distance")
+
+
+def split_lines(lines: DataFrame, cuts: DataFrame) -> DataFrame:
+    """e_id, piece, vertices: each line (e_id, vertices) cut at its places of ``cuts`` (e_id, place), as ``snap`` gives them; pieces in order from 0.
+
+    Cuts at a line's ends and repeated ones cut nothing; lines without cuts are one piece. Windows span one line.
+    """
+    corners = lines.select("e_id", F.size("vertices").alias("n"), F.posexplode("vertices").alias("k", "p")).select("e_id", "n", F.col("k").cast("double").alias("place"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    parts = segments_of(lines).select("e_id", "k", "ax", "ay", "bx", "by")
+    at = cuts.select("e_id", "place", F.floor("place").cast("int").alias("k")).distinct().join(parts, ["e_id", "k"])
+    t = F.col("place") - F.col("k")
+    new = at.select("e_id", F.lit(None).cast("int").alias("n"), "place", (F.col("ax") + t * (F.col("bx") - F.col("ax"))).alias("x"), (F.col("ay") + t * (F.col("by") - F.col("ay"))).alias("y"))
+    # A cut at a corner is that corner, marked.
+    both = corners.withColumn("cut", F.lit(0)).union(new.withColumn("cut", F.lit(1))).groupBy("e_id", "place").agg(F.max("n").alias("n"), F.min_by(F.struct("x", "y"), "cut").alias("p"), F.max("cut").alias("cut"))
+    whole = Window.partitionBy("e_id")
+    both = both.withColumn("last", F.max("n").over(whole) - 1).withColumn("cut", F.when((F.col("place") > 0) & (F.col("place") < F.col("last")), F.col("cut")).otherwise(0))
+    both = both.withColumn("piece", F.coalesce(F.sum("cut").over(whole.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
+    # A cut ends one piece and begins the next.
+    ends = both.select("e_id", "place", "p", F.explode(F.when(F.col("cut") == 1, F.array("piece", F.col("piece") + 1)).otherwise(F.array("piece"))).alias("piece"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "p"))), lambda v: v["p"])
+    return ends.groupBy("e_id", "piece").agg(ordered.alias("vertices"))
+
+
 def clip_lines(lines: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataFrame:
     """e_id, polygon, length: how much of each line (e_id, vertices) lies in each polygon (polygon, ring).
 
     A segment of a line is cut where it crosses the sides of the polygons whose boxes its own box meets, cell by cell of a grid, and a
     piece is inside if its middle is. Only what crosses or lies in a polygon is compared with it.
     """
-    ends = F.posexplode(F.arrays_zip(F.slice("vertices", 1, F.size("vertices") - 1).alias("p"), F.slice("vertices", 2, F.size("vertices") - 1).alias("q"))).alias("k", "s")
-    parts = lines.where(F.size("vertices") > 1).select("e_id", ends).select("e_id", "k", *[F.col(f"s.{v}.{c}").alias(f"{v}{c}") for v in "pq" for c in "xy"])
+    parts = segments_of(lines).withColumnsRenamed({"ax": "px", "ay": "py", "bx": "qx", "by": "qy"})
     parts = checkpointed(parts.withColumns({"sx0": F.least("px", "qx"), "sx1": F.greatest("px", "qx"), "sy0": F.least("py", "qy"), "sy1": F.greatest("py", "qy")}))
     boxes = _box(polygons).select("*", _covered("x0", "x1", cell).alias("column")).select("*", _covered("y0", "y1", cell).alias("row"))
     at = parts.select("*", _covered("sx0", "sx1", cell).alias("column")).select("*", _covered("sy0", "sy1", cell).alias("row"))

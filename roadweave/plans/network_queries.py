@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import cost
 from ..operators import incidence as inc
 from ..operators import network, path_index, paths
+from ..operators.spatial import line_length
 from ..session import shared_folder
 from ..sources import tables as T
 from . import assignment
@@ -95,3 +96,20 @@ def stored_index_candidates(s, d):
     path_index.write_path_index(T.od_paths(s, d), folder, 32)
     out = path_index.stored_candidates(s, folder, _damaged(s, d))
     return out.select("event", F.array_join("path", ",").alias("path"), F.array_join("hits", ",").alias("hits"), "n", r("flow", 6).alias("flow"))
+
+
+@query(
+    "split_network",
+    "WITH q AS (SELECT c.id, n.id AS line, c.lon AS x, round(sqrt(pow(greatest(n.lon - c.lon, c.lon - n.lon - 10, 0), 2) + pow(n.lat - c.lat, 2)), 9) AS m, n.lon FROM cp c, np n), "
+    "s AS (SELECT id, arg_min(line, (m, line)) AS line, min(m) AS m FROM q GROUP BY id HAVING min(m) <= 0.4), "
+    "c AS (SELECT DISTINCT s.line, cp.lon - np.lon AS t FROM s JOIN cp ON cp.id = s.id JOIN np ON np.id = s.line WHERE cp.lon > np.lon AND cp.lon < np.lon + 10), "
+    "e AS (SELECT line, t FROM c UNION ALL SELECT id, 0.0 FROM np UNION ALL SELECT id, 10.0 FROM np) "
+    "SELECT line, (row_number() OVER w - 1)::INTEGER AS piece, round(length, 6) AS length FROM (SELECT line, t, lead(t) OVER (PARTITION BY line ORDER BY t) - t AS length FROM e) WHERE length IS NOT NULL WINDOW w AS (PARTITION BY line ORDER BY t)",
+    "cp np",
+)
+def split_network(s, d):
+    """A line east of each nation's place, cut where customers lie near it."""
+    lines = T.points(s, d, "nation").select(F.lpad(F.col("id").cast("string"), 3, "0").alias("e_id"), F.array(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y")), F.struct((F.col("lon") + 10).alias("x"), F.col("lat").alias("y"))).alias("vertices"))
+    points = T.points(s, d, "customer").select("id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    links, _ = network.network_of_parts(lines, points, 0.4)
+    return links.select(F.col("line").cast("long").alias("line"), "piece", r(line_length(F.col("vertices")), 6).alias("length"))

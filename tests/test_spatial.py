@@ -82,3 +82,24 @@ def test_JN28_clips_add_up(spark):
     whole = {r.e_id: r.n for r in df.select("e_id", spatial.line_length(F.col("vertices")).alias("n")).collect()}
     got = {r.e_id: r.n for r in spatial.clip_lines(df, spark.createDataFrame(tiles, RING), 0.7).groupBy("e_id").agg(F.sum("length").alias("n")).collect()}
     assert got == pytest.approx(whole)
+
+
+def test_GR10_links_are_split_at_points(spark):
+    """Lengths add up, a point has links on both sides, cuts at ends and repeated ones cut nothing."""
+    from roadweave.operators import network
+
+    lines = spark.createDataFrame([("a", ring((0, 0), (4, 0), (4, 3))), ("b", ring((0, 10), (10, 10))), ("c", ring((20, 20), (21, 21)))], LINE)
+    points = spark.createDataFrame([(1, 1.0, 0.3), (2, 4.2, 2.0), (3, 4.0, 0.0), (4, 5.0, 10.5), (5, 5.0, 9.9), (6, -1.0, 10.0), (7, 15.0, 15.0), (8, 1.0, -0.2)], POINT)
+    links, nodes = network.network_of_parts(lines, points, 1.0)
+    got = {r.e_id: [(round(p.x, 9), round(p.y, 9)) for p in r.vertices] for r in links.collect()}
+    assert got == {
+        "a_0": [(0, 0), (1, 0)], "a_1": [(1, 0), (4, 0)], "a_2": [(4, 0), (4, 2)], "a_3": [(4, 2), (4, 3)], "b_0": [(0, 10), (5, 10)], "b_1": [(5, 10), (10, 10)], "c": [(20, 20), (21, 21)],
+    }
+    rows = links.collect()
+    degree = {}
+    for row in rows:
+        for n in (row.from_id, row.to_id):
+            degree[n] = degree.get(n, 0) + 1
+    assert degree[next(r.to_id for r in rows if r.e_id == "a_0")] == 2 and nodes.count() == len(degree) == 10
+    snapped = {r.id: (r.e_id, round(r.place, 9)) for r in spatial.snap(points, lines, 1.0).collect()}
+    assert snapped == {1: ("a", 0.25), 2: ("a", round(1 + 2 / 3, 9)), 3: ("a", 1.0), 4: ("b", 0.5), 5: ("b", 0.5), 6: ("b", 0.0), 8: ("a", 0.25)}
