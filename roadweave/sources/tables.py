@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import geometry
 
 
 def read_table(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """Parquet (a file, folder or glob), CSV or text of JSON rows, by suffix; other suffixes raise ValueError."""
+    """Parquet (a file, folder or glob), CSV, text of JSON rows or geometries, by suffix; other suffixes raise ValueError."""
     low = path.lower().rstrip("/")
-    if low.endswith((".parquet", ".pq", ".geoparquet")) or "." not in low.rsplit("/", 1)[-1]:
+    if low.endswith((".geoparquet", ".gpq")):
+        return with_geometry(spark.read.options(**options).parquet(path))
+    if low.endswith((".geojson", ".geojsonl")):
+        return read_geojson(spark, path)
+    if low.endswith((".parquet", ".pq")) or "." not in low.rsplit("/", 1)[-1]:
         return spark.read.options(**options).parquet(path)
     if low.endswith((".csv", ".csv.gz")):
         return read_csv_strings(spark, path, **options)
@@ -20,6 +27,29 @@ def read_table(spark: SparkSession, path: str, **options: str) -> DataFrame:
     raise ValueError(f"no reader for {path}")
 
 
+def with_geometry(df: DataFrame, column: str = "geometry") -> DataFrame:
+    """A column of well-known binary as ``geometry.GEOMETRY``; a table without such a column of bytes stays as it is."""
+    if column in df.columns and df.schema[column].dataType.typeName() == "binary":
+        return geometry.from_wkb(df, column)
+    return df
+
+
+def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+    """properties (map of texts), geometry (``geometry.GEOMETRY``): a row a feature.
+
+    A .geojsonl file has a feature a line and is split among tasks; a .geojson file is one collection, read by one task.
+    Features without geometry have a null one.
+    """
+    shape = T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())])
+    feature = T.StructType([T.StructField("properties", T.MapType(T.StringType(), T.StringType())), T.StructField("geometry", shape)])
+    if path.lower().rstrip("/").endswith(".geojsonl"):
+        rows = spark.read.schema(feature).json(path)
+    else:
+        whole = spark.read.schema(T.StructType([T.StructField("features", T.ArrayType(feature))])).json(path, multiLine=True)
+        rows = whole.select(F.explode("features").alias("f")).select("f.*")
+    return rows.select("properties", geometry.from_geojson(F.col("geometry.type"), F.col("geometry.coordinates")).alias("geometry"))
+
+
 def read_csv_strings(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """All columns as text, so codes keep their zeros; header names trimmed."""
     df = spark.read.options(header="true", inferSchema="false", **options).csv(path)
