@@ -80,7 +80,8 @@ def all_means(costs: DataFrame) -> Column:
     return sum(means[1:], means[0])
 
 
-def event_summary(costs: DataFrame, key: str = "event_id") -> DataFrame:
-    """A row an event: segments, links, damage, and its least and largest, which are the mean too."""
-    out = costs.groupBy(key).agg(F.count("*").alias("segments"), F.countDistinct("e_id").alias("links"), F.sum("direct_damage_usd").alias("damage"))
+def event_summary(costs: DataFrame, key: str = "event_id", **more: Column) -> DataFrame:
+    """A row an event: segments, links, damage, and its least and largest, which are the mean too; ``more`` aggregates by name."""
+    named = [c.alias(n) for n, c in more.items()]
+    out = costs.groupBy(key).agg(F.count("*").alias("segments"), F.countDistinct("e_id").alias("links"), F.sum("direct_damage_usd").alias("damage"), *named)
     return out.withColumns({"damage_low": F.col("damage"), "damage_high": F.col("damage")})

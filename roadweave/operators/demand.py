@@ -285,8 +285,8 @@ def weighted_mean(df: DataFrame, keys_: list[str], value: str, weight: str) -> D
     return sums.withColumn(value, F.try_divide("__s", weight)).drop("__s")
 
 
-def commuter_od(blocks: DataFrame, lookup: DataFrame) -> DataFrame:
-    """origin, destination (counties), jobs: home and work blocks looked up, summed, positive rows only.
+def commuter_od(blocks: DataFrame, lookup: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """origin, destination (counties), jobs: home and work blocks looked up, summed (for each value of the columns ``by``), positive rows only.
 
     A block that the lookup lists twice would count its jobs twice, so that raises an error.
     """
@@ -295,7 +295,7 @@ def commuter_od(blocks: DataFrame, lookup: DataFrame) -> DataFrame:
         raise ValueError("the lookup lists a block twice")
     home = lookup.select(F.col("block").alias("home"), F.col("county").alias("origin"))
     work = lookup.select(F.col("block").alias("work"), F.col("county").alias("destination"))
-    return blocks.join(home, "home").join(work, "work").groupBy(*PAIR).agg(F.sum("jobs").alias("jobs")).where("jobs > 0")
+    return blocks.join(home, "home").join(work, "work").groupBy(*PAIR, *(by or [])).agg(F.sum("jobs").alias("jobs")).where("jobs > 0")
 
 
 def to_nodes(od: DataFrame, mapping: DataFrame, measures: list[str]) -> DataFrame:

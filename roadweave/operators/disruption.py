@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,74 @@ HAZARDS = {
 }
 #: Hazards whose closure is a matter of depth; the others' speeds fall by level.
 BY_DEPTH = ("flood", "snow", "winter_storm")
+
+
+@dataclass(frozen=True)
+class Hazard:
+    """What a hazard does to roads, in column expressions.
+
+    ``depth`` makes of (a part's value, the part's name, road class, an embankment given or None) what levels and caps are
+    read from; ``level`` makes a number from 0 to 4 of (depth, part's name, road class); ``cap`` makes the speed that is
+    left of (free-flow speed, worst depth, level's name, closure threshold).
+    """
+
+    unit: str
+    column: str
+    to_depth: float
+    level: Callable[[Column, str, Column], Column]
+    cap: Callable[[Column, Column, Column, Column], Column]
+    depth: Callable[[Column, str, Column, float | None], Column] = lambda value, part, road, offset: value
+
+
+def _by_depth(scale: float) -> Callable[[Column, Column, Column, Column], Column]:
+    return lambda free, x, level, threshold: damage.speed_cap_quadratic(free, x * scale, threshold)
+
+
+def by_level(free: Column, x: Column, level: Column, threshold: Column) -> Column:
+    """The share of the free-flow speed that a level leaves."""
+    return damage.speed_cap_step(free, level)
+
+
+def _built_in(name: str) -> Hazard:
+    unit, column, to_depth = HAZARDS[name]
+    cap = _by_depth(100.0 if name == "flood" else 1.0) if name in BY_DEPTH else by_level
+    if name == "flood":
+        return Hazard(unit, column, to_depth, damage.class_ordinal, cap, damage.embanked)
+    return Hazard(unit, column, to_depth, lambda x, part, road: damage.class_ordinal(x, name, road), cap)
+
+
+_REGISTRY: dict[str, Hazard] = {}
+
+
+def register_hazard(name: str, hazard: Hazard) -> None:
+    """Makes a hazard known to ``run_disruption`` and ``link_disruption``; a name that is taken, a built-in one too, raises ValueError."""
+    if name in HAZARDS or _REGISTRY.get(name, hazard) != hazard:
+        raise ValueError(f"there is a hazard {name}")
+    _REGISTRY[name] = hazard
+
+
+def hazard_of(name: str) -> Hazard:
+    """The registered or built-in hazard of a name; others raise KeyError."""
+    if name in HAZARDS:
+        return _built_in(name)
+    if name not in _REGISTRY:
+        raise KeyError(f"no hazard {name}; there are {', '.join([*HAZARDS, *_REGISTRY])}")
+    return _REGISTRY[name]
+
+
+def stepped(limits: Iterable[float]) -> Callable[[Column, str, Column], Column]:
+    """Levels 1, 2, ... from these intensities up; missing intensities are level 0."""
+    limits = list(limits)
+
+    def level(x: Column, part: str, road: Column) -> Column:
+        out = F.lit(0)
+        for n, limit in enumerate(limits, 1):
+            out = F.when(F.coalesce(x, F.lit(0.0)) >= limit, n).otherwise(out)
+        return out
+
+    return level
+
+
 #: Columns of an assignment's state, which links take from the baseline.
 STATE = ("acc_flow", "acc_capacity", "acc_speed", "current_flow", "current_capacity", "current_speed", "free_flow_speeds", "initial_speed", "min_speed", "breakpoint")
 SEGMENT = ["e_id", "split_id", "i", "j"]
@@ -80,19 +149,18 @@ def link_disruption(links: DataFrame, segments: DataFrame, baseline: DataFrame,
     ``segments`` have e_id, depth and level, as ``flood_levels`` and ``intensity_levels`` give them. Links that the hazard
     does not meet have depth 0 and level no; a free-flow speed that is not known counts as 50.
     """
-    unit, column, to_depth = HAZARDS[hazard]
+    kind = hazard_of(hazard)
     worst = segments.groupBy("e_id").agg(F.max("depth").alias("__x"), F.max("level").alias("__n"))
-    out = with_state(links.drop(column, "damage_level_max", "max_speed"), baseline).join(worst, "e_id", "left")
+    out = with_state(links.drop(kind.column, "damage_level_max", "max_speed"), baseline).join(worst, "e_id", "left")
     free = F.coalesce(F.col("free_flow_speeds") if "free_flow_speeds" in out.columns else F.lit(None).cast("double"), F.lit(50.0))
     x, level = F.coalesce("__x", F.lit(0.0)), damage.level_name(F.coalesce("__n", F.lit(0)))
-    scale = 100.0 if hazard == "flood" else 1.0
-    cap = damage.speed_cap_quadratic(free, x * scale, F.lit(float(threshold))) if hazard in BY_DEPTH else damage.speed_cap_step(free, level)
+    cap = kind.cap(free, x, level, F.lit(float(threshold)))
     more = {
-        "free_flow_speeds": free, column: x, "damage_level_max": level, "max_speed": cap, "hazard_type": F.lit(hazard), "event_id": F.lit(str(event_id)),
-        "scenario_param": F.lit(int(key)), "intensity_primary": x, "intensity_unit": F.lit(unit),
+        "free_flow_speeds": free, kind.column: x, "damage_level_max": level, "max_speed": cap, "hazard_type": F.lit(hazard), "event_id": F.lit(str(event_id)),
+        "scenario_param": F.lit(int(key)), "intensity_primary": x, "intensity_unit": F.lit(kind.unit),
     }
     if hazard != "flood":
-        more["flood_depth_max"] = x * to_depth
+        more["flood_depth_max"] = x * kind.to_depth
     return out.withColumns(more).drop("__x", "__n")
 
 
@@ -111,11 +179,11 @@ def run_disruption(links: DataFrame, parts: dict[str, DataFrame], baseline: Data
     the links' classes; a segment takes the worst of its parts; links take the worst of their segments."""
     road = links.select("e_id", F.col("road_class"))
     names = list(parts)
+    kind = hazard_of(hazard)
     merged = only_cells(merge_exposures([parts[n] for n in names], names)).join(road, "e_id")
     for n in names:
-        one = merged.withColumn("value", F.col(n))
-        one = flood_levels(one, n, offset) if hazard == "flood" else intensity_levels(one, hazard)
-        merged = one.withColumnsRenamed({"depth": f"{n}_depth", "level": f"{n}_level"}).drop("value")
+        merged = merged.withColumn(f"{n}_depth", kind.depth(F.col(n), n, F.col("road_class"), offset))
+        merged = merged.withColumn(f"{n}_level", kind.level(F.col(f"{n}_depth"), n, F.col("road_class")))
     worst = merged.select("e_id", worst_of([F.col(f"{n}_depth") for n in names]).alias("depth"), worst_of([F.col(f"{n}_level") for n in names]).alias("level"))
     return link_disruption(links, worst, baseline, hazard, threshold, event_id, key)
 

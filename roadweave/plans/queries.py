@@ -494,4 +494,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-from . import network_queries, stage_queries  # noqa: E402, F401
+from . import geo_queries, network_queries, stage_queries  # noqa: E402, F401

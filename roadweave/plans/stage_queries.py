@@ -137,7 +137,7 @@ def damage_ladder(s, d):
 @query("event_damage_table", DAMAGE_SQL + "SELECT '9' AS event_id, count(*) AS segments, count(DISTINCT e_id) AS links, round(sum((s + r) * 1e6), -1) AS damage, round(sum((s + r) * 1e6), -1) AS damage_high, round(sum(2 * (s + r)), 3) AS means FROM f", "sg lk")
 def event_damage_table(s, d):
     p = _priced(s, d).withColumn("event_id", F.lit("9"))
-    out = damages.event_summary(p).join(p.groupBy("event_id").agg(F.sum(damages.all_means(p)).alias("means")), "event_id")
+    out = damages.event_summary(p, means=F.sum(damages.all_means(p)))
     return out.select("event_id", "segments", "links", r("damage", -1).alias("damage"), r("damage_high", -1).alias("damage_high"), r("means", 3).alias("means"))
 
 
