@@ -100,5 +100,5 @@ def resumed_commuting(s, d):
     out = None
     for part, rows in (("main", blocks.where(same)), ("aux", blocks.where(~same))):
         rows.write.csv(f"{folder}/in/all_od_{part}_JT00_2022.csv", header=True)
-        out = builds.build_counties(s, f"{folder}/in/*/part-*", lookup, f"{folder}/out", f"{folder}/state", 2)
+        out = builds.build_counties(s, f"{folder}/in/*/part-*", lookup, f"{folder}/out", f"{folder}/state")
     return out

@@ -13,7 +13,7 @@ from ..operators import demand
 FILE = r"([^/]+?)_od_(main|aux)_([A-Za-z0-9]+)_([0-9]{4})\.csv[^/]*(?:/part-[^/]*)?$"
 
 
-def build_counties(spark: SparkSession, files: str, lookup: DataFrame, out: str, state: str, files_a_batch: int = 16, done: Callable[[int], None] | None = None) -> DataFrame:
+def build_counties(spark: SparkSession, files: str, lookup: DataFrame, out: str, state: str, files_a_batch: int = 256, done: Callable[[int], None] | None = None) -> DataFrame:
     """origin, destination, year, job_type, jobs of all files of commuters (a folder or glob) that were ever seen.
 
     ``out`` takes a folder a file and ``state`` what the stream remembers, both on shared storage. A run takes the files
