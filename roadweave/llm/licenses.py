@@ -6,6 +6,7 @@ import functools
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import checkpointed
 
@@ -126,12 +127,14 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "do
     A license is retrieved if a window of a document and one of the template collide in a MinHash band, and reported if
     the document holds at least ``containment`` of the template's shingles, counted exactly. Windows are as long as the
     template, 40 words at most, and overlap to a quarter of their shingles; a window without any template's shingle
-    cannot be similar to one and is not formed. Null and empty texts have no license; repeated rows count once; rows
-    without id are left out; an empty table, or no template, gives none; other columns play no part.
+    cannot be similar to one and is not formed. Rows of one id are one document: its shingles are those of all of them, each
+    counted once, and a license is retrieved if a window of any of them collides. Null and empty texts have no license; rows
+    without id are left out; an empty table, or no template, gives none; ids are of any type; other columns play no part.
     """
     spark = df.sparkSession
     groups = _templates(spark, templates)
-    schema = f"`{id_col}` long, license string, n_shared int, n_shingles int, containment double"
+    kinds = {"license": T.StringType(), "n_shared": T.IntegerType(), "n_shingles": T.IntegerType(), "containment": T.DoubleType()}
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *[T.StructField(n, t) for n, t in kinds.items()]])
     if not groups:
         return spark.createDataFrame([], schema)
     if len(passes := _passes(groups)) > 1:
@@ -149,7 +152,7 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "do
     for k in sizes:
         some_held |= F.size(f"held{k}") > 0
     docs = checkpointed(docs.where(some_held & (F.col("row") >= 0)))
-    windows, marks = [], []
+    windows, marks, of_shingles = [], [], []
     for (k, size), group in groups.items():
         n, stride = size - k + 1, _stride(k, size)
         own = sorted({g for _, gs in group for g in gs})
@@ -157,20 +160,23 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "do
         at = F.filter(F.sequence(F.lit(0), F.size(g) - 1), _at_one_of(g, own))
         # Starts on the stride's grid of the windows that hold a shingle of the template, within the document.
         starts = F.array_distinct(F.flatten(F.transform(at, _starts(n, stride))))
-        some = docs.where(F.size(g) > 0).select("id", F.col(f"held{k}").alias("held"), g.alias("g"), F.explode(starts).alias("start"))
-        some = some.select("id", "held", F.slice("g", (F.col("start") + 1).cast("int"), F.lit(n)).alias("g")).where("size(g) > 0")
-        windows.append(some.select("id", "held", F.lit(f"{k},{size}").alias("kind"), F.explode(F.array_distinct(bands(F.col("g")))).alias("band")))
+        some = docs.where(F.size(g) > 0).select("id", g.alias("g"), F.explode(starts).alias("start"))
+        some = some.select("id", F.slice("g", (F.col("start") + 1).cast("int"), F.lit(n)).alias("g")).where("size(g) > 0")
+        windows.append(some.select("id", F.lit(f"{k},{size}").alias("kind"), F.explode(F.array_distinct(bands(F.col("g")))).alias("band")))
         for name, gs in group:
-            marks += [(name, f"{k},{size}", gs[i : i + n], sorted(set(gs))) for i in range(0, max(1, len(gs) - n + 1), max(1, stride // 2))]
-    of_templates = spark.createDataFrame(marks, "license string, kind string, g array<long>, shingles array<long>").select("license", "kind", "shingles", F.explode(F.array_distinct(bands(F.col("g")))).alias("band"))
-    of_templates = of_templates.dropDuplicates(["license", "kind", "band"])  # at most a pass's shingles, or one template's, as windows
-    every = windows[0]
-    for more in windows[1:]:
-        every = every.union(more)
-    met = every.join(F.broadcast(of_templates), ["kind", "band"])
-    shared = met.select("id", "license", F.size(F.array_intersect("held", "shingles")).alias("n_shared"), F.size("shingles").alias("n_shingles"))
-    best = shared.groupBy("id", "license").agg(F.max("n_shared").alias("n_shared"), F.max("n_shingles").alias("n_shingles"))
-    return best.where(F.col("n_shared") >= F.col("n_shingles") * containment).select(F.col("id").alias(id_col), "license", "n_shared", "n_shingles", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
+            marks += [(name, f"{k},{size}", gs[i : i + n]) for i in range(0, max(1, len(gs) - n + 1), max(1, stride // 2))]
+            of_shingles += [(name, k, x, len(set(gs))) for x in sorted(set(gs))]
+    # At most a pass's shingles, or one template's, as windows and one by one.
+    of_templates = spark.createDataFrame(marks, "license string, kind string, g array<long>").select("license", "kind", F.explode(F.array_distinct(bands(F.col("g")))).alias("band"))
+    of_templates = of_templates.dropDuplicates(["license", "kind", "band"])
+    retrieved = functools.reduce(DataFrame.union, windows).join(F.broadcast(of_templates), ["kind", "band"]).select("id", "license").distinct()
+    # An id has no more rows after the partial distinct than the templates have shingles, however many rows it had.
+    rows = functools.reduce(DataFrame.union, [docs.select("id", F.lit(k).alias("k"), F.explode(f"held{k}").alias("g")) for k in sizes])
+    shingles = spark.createDataFrame(of_shingles, "license string, k int, g long, n_shingles int")
+    shared = rows.join(F.broadcast(shingles), ["k", "g"]).select("id", "license", "n_shingles", "g").distinct()
+    best = shared.groupBy("id", "license", "n_shingles").agg(F.count("*").cast("int").alias("n_shared"))
+    best = best.where(F.col("n_shared") >= F.col("n_shingles") * containment).join(retrieved, ["id", "license"], "left_semi")
+    return best.select(F.col("id").alias(id_col), "license", "n_shared", "n_shingles", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 
 def sql(templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> str:

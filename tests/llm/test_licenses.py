@@ -52,3 +52,15 @@ def test_many_templates_take_several_passes(spark, monkeypatch):
     docs = [(i, f"x {t} y") for i, t in enumerate(licenses.TEMPLATES.values())]
     monkeypatch.setattr(licenses, "PASS_SHINGLES", 40)
     assert {tuple(r) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == oracle(docs)
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    """As in the SQL: halves of a license in two rows are the license; ids may be texts."""
+    w = licenses.TEMPLATES["mit"].split()
+    docs = [(1, " ".join(w[:55])), (1, " ".join(w[45:])), (2, " ".join(w[:55])), (3, "All rights reserved"), (3, None), (3, "all rights reserved, " * 3)]
+    got = {tuple(r) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == oracle(docs) and {r[:2] for r in got} == {(1, "mit"), (3, "all-rights-reserved")}
+    named = licenses.scan(spark.createDataFrame([(f"d{i}", t) for i, t in docs], "doc_id string, text string"))
+    assert {(int(r.doc_id[1:]), *r[1:]) for r in named.collect()} == got
+    empty = licenses.scan(spark.createDataFrame([], "doc_id string, text string"), {})
+    assert empty.schema["doc_id"].dataType.typeName() == "string" and empty.count() == 0
