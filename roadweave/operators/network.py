@@ -32,19 +32,11 @@ def edge_init(links: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component: the smallest node that links lead to, in either direction.
 
-    Smallest labels spread and jump: a node takes its neighbours' smallest label, then that label's own; every round is
-    a checkpoint, and labels that are settled stop the loop.
+    The rounds grow with the logarithm of the longest path, whatever the nodes' names (``connected_components``).
     """
-    both = checkpointed(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(b, a)).where("u IS NOT NULL AND v IS NOT NULL").distinct())
-    labels = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "node", "left").select("node", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("old"))
-        up = step.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        new = checkpointed(step.join(up, "component", "left").select("node", F.least("component", F.coalesce("up", "component")).alias("component"), "old"))
-        labels = new.select("node", "component")
-        if new.where("component <> old").limit(1).isEmpty():
-            return labels
+    from ..llm.components import connected_components  # here, as the network must load without the corpus operators
+
+    return connected_components(edges.select(F.col(a).alias("u"), F.col(b).alias("v")))
 
 
 @dataclass

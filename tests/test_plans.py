@@ -158,6 +158,18 @@ def test_GR8_components_of_chains_and_nulls(spark):
     assert {got[str(i)] for i in range(10, 41)} == {"10"} and got["b"] == "a" and got["c"] == "c"
 
 
+def test_components_of_a_falling_chain_take_few_jobs(spark):
+    """The smallest node lies beyond the chain's largest name: its label moved on by one link a round, which took two jobs or more."""
+    names = ["000", *[f"{k:03d}" for k in range(120, 0, -1)]]
+    edges = spark.createDataFrame(list(zip(names, names[1:])), "a string, b string")
+    spark.sparkContext.setJobGroup("chain", "chain")
+    got = {r.node: r.component for r in network.components(edges).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext._jsc.sc().clearJobGroup()
+    assert got == dict.fromkeys(names, "000")
+    assert jobs < 200
+
+
 def test_PRJ_keys(spark):
     df = spark.createDataFrame([("7.0", "Truck", "3"), (" 00123 ", "1", "sctg2033"), ("1234567", "2", "34")], "k string, m string, c string")
     out = df.select(keys.fips(F.col("k")).alias("f"), keys.zone(F.col("k")).alias("z"), keys.last_five_digits(F.col("k")).alias("l"), keys.mode_is(F.col("m"), "truck").alias("t"), keys.commodity_group(F.col("c")).alias("g"), keys.safe_event_id(F.lit(" a-b ")).alias("e"), keys.number("k", 0.0).alias("n")).collect()
