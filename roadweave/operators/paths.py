@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..session import checkpointed, discard, stored
 from .network import Network, least_cost_paths
 
-#: Links up to which a network goes whole to every worker (some 60 bytes each and its names), nodes of a cell, origins of a task.
-WHOLE_LINKS, CELL_NODES, ORIGINS = 2_000_000, 20_000, 64
+#: Links up to which a network goes whole to every worker (some 60 bytes each and its names), nodes of a cell, nodes of the cells of a task, its origins.
+WHOLE_LINKS, CELL_NODES, BLOCK_NODES, ORIGINS = 2_000_000, 20_000, 200_000, 64
 
 
 def find_paths(od: DataFrame, edges: DataFrame, directed: bool = False, needs: bool = False, whole_links: int = WHOLE_LINKS) -> DataFrame:
@@ -35,12 +35,16 @@ def cells_in_order(nodes: DataFrame, size: int = CELL_NODES) -> DataFrame:
 
 
 def cells_by_place(nodes: DataFrame, size: int = CELL_NODES) -> DataFrame:
-    """node, cell of nodes (node, x, y): runs of about ``size`` nodes along a Z-curve, so that a cell's nodes lie together."""
+    """node, cell of nodes (node, x, y): runs of about ``size`` nodes along a Z-curve, so that a cell's nodes lie together.
+
+    The curve's steps are as long in y as in x: cells of a long and narrow network follow one another, and no path zigzags between two.
+    """
     n, x0, x1, y0, y1 = nodes.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if not n:
         return cells_in_order(nodes, size)
-    step = lambda c, lo, hi: F.floor((F.col(c) - lo) / max(hi - lo, 1e-300) * 65535).cast("long")
-    x, y = step("x", x0, x1), step("y", y0, y1)
+    side = max(x1 - x0, y1 - y0, 1e-300)
+    step = lambda c, lo: F.floor((F.col(c) - lo) / side * 65535).cast("long")
+    x, y = step("x", x0), step("y", y0)
     code = F.lit(0).cast("long")
     for bit in range(16):
         for c, up in ((x, 0), (y, 1)):
@@ -49,6 +53,12 @@ def cells_by_place(nodes: DataFrame, size: int = CELL_NODES) -> DataFrame:
     return stored(ranged.select("node", F.spark_partition_id().alias("cell")))
 
 
+def _blocks(cells: DataFrame, size: int) -> DataFrame:
+    """node, cell: runs of cells in the order of their numbers, of about ``size`` nodes, as one."""
+    count = cells.count()
+    return stored(cells.repartitionByRange(max(1, -(-count // size)), "cell").select("node", F.spark_partition_id().alias("cell")))
+
+
 @dataclass
 class Cell:
     """The links that leave a cell's nodes; ``beyond`` has the cells of the heads that lie in others."""
@@ -169,31 +179,34 @@ def _back(rows: pa.Table, cell: pa.Table) -> pa.Table:
 
 
 def _in_cells(rows: DataFrame, cells: DataFrame, parts: int, run, schema: str) -> DataFrame:
-    """``run`` over each cell's rows, ``parts`` tasks a cell, all rows of an origin in one."""
+    """``run`` over each cell's rows, ``parts`` tasks a cell, all rows of an origin in one; cells without rows are not sent."""
     part = F.pmod(F.xxhash64("origin"), F.lit(parts)).cast("int")
-    copies = cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    copies = cells.join(rows.select("cell").distinct(), "cell", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     return rows.withColumn("part", part).groupBy("cell", "part").cogroup(copies.groupBy("cell", "part")).applyInArrow(run, schema)
 
 
-def cell_paths(od: DataFrame, edges: DataFrame, cells: DataFrame | None = None, directed: bool = False) -> DataFrame:
+def cell_paths(od: DataFrame, edges: DataFrame, cells: DataFrame | None = None, directed: bool = False, block_nodes: int = BLOCK_NODES) -> DataFrame:
     """``least_cost_paths`` over a network that no worker holds: the same costs, to the last bit, and the same choice among equal ones.
 
     edges: e_id, from_id, to_id, weight above 0. cells: node, cell (``cells_by_place``, or else ``cells_in_order``); any cells give the
-    same paths, cells of neighbours fewer rounds. A task holds one cell, and of up to about ORIGINS origins the labels of its border.
+    same paths, cells of neighbours fewer rounds. Cells whose numbers follow one another are joined while they have about ``block_nodes``
+    nodes at most, which cuts the rounds. A task holds one such block, and of up to about ORIGINS origins the labels of its border.
 
     Each round spreads the labels of the cells that got a better one, by a search within the cell, and sends labels to the
     nodes beyond its border. A label has the cost of a node, and of the node before it the cost and link, which decide ties. What a
     cell sends replaces what it sent before; a node's label is the least that any cell sends. Costs beyond the largest
     of an origin's destinations, once all are known, are not spread. When no label changes, paths are walked back cell by
-    cell. A round is a checkpoint and an action; the rounds are about as many as cells on the longest path.
+    cell. A round is five checkpoints; the rounds are about as many as blocks on the longest path.
     """
     nodes = edges.select(F.col("from_id").cast("string").alias("node")).union(edges.select(F.col("to_id").cast("string")))
-    own_cells = cells is None
-    cells = cells_in_order(nodes) if own_cells else cells
+    own = [cells_in_order(nodes)] if cells is None else []
+    cells = _blocks(own[0] if own else cells, block_nodes)
+    own.append(cells)
     data = _cell_rows(edges, cells, directed)
     pairs = od.select(F.col("origin").cast("string").alias("origin"), F.col("destination").cast("string").alias("destination")).where("origin <> destination").distinct()
     ends = checkpointed(pairs.join(cells.withColumnsRenamed({"node": "destination"}), "destination"))
-    parts = max(1, -(-ends.select("origin").distinct().count() // ORIGINS))
+    origins = ends.select("origin").distinct().count()
+    parts = max(1, -(-origins // ORIGINS), min(origins, od.sparkSession.sparkContext.defaultParallelism))
     infinite = F.lit(math.inf)
 
     def best(sent: DataFrame) -> DataFrame:
@@ -202,9 +215,9 @@ def cell_paths(od: DataFrame, edges: DataFrame, cells: DataFrame | None = None,
 
     start = ends.select("origin").distinct().join(cells.select(F.col("node").alias("origin"), F.col("cell").alias("to")), "origin")
     none = F.lit(None).cast("string")
-    own = start.select("origin", F.col("origin").alias("node"), F.lit(None).cast("int").alias("source"), "to", F.lit(0.0).alias("cost"), F.lit(-1.0).alias("p_cost"), F.lit("").alias("p_edge"), none.alias("p_node"), F.lit("").alias("edge"))
-    sent = own = checkpointed(own)
-    labels = checkpointed(best(own))
+    first = start.select("origin", F.col("origin").alias("node"), F.lit(None).cast("int").alias("source"), "to", F.lit(0.0).alias("cost"), F.lit(-1.0).alias("p_cost"), F.lit("").alias("p_edge"), none.alias("p_node"), F.lit("").alias("edge"))
+    sent = checkpointed(first)
+    labels = checkpointed(best(sent))
     changed = labels.select("origin", "cell").distinct()
     found = None
     while True:
@@ -213,7 +226,6 @@ def cell_paths(od: DataFrame, edges: DataFrame, cells: DataFrame | None = None,
         else:
             costs = found.select("origin", F.col("node").alias("destination"), "cost")
             bounds = ends.join(costs, ["origin", "destination"], "left").groupBy("origin").agg(F.max(F.coalesce("cost", infinite)).alias("bound"))
-        bounds = checkpointed(bounds)
         wanted = ends.select("origin", F.col("destination").alias("node"), "cell", *[F.lit(None).cast(t).alias(c) for c, t in zip(_LABEL, ("double", "double", "string", "string", "string"), strict=True)], F.lit(True).alias("wanted"))
         rows = labels.select("origin", "node", "cell", *_LABEL, F.lit(False).alias("wanted")).union(wanted)
         out = checkpointed(_in_cells(rows.join(changed, ["origin", "cell"], "left_semi").join(bounds, "origin"), data, parts, _spread, f"origin string, node string, source int, to int, cost double, {HOW}"))
@@ -245,7 +257,7 @@ def cell_paths(od: DataFrame, edges: DataFrame, cells: DataFrame | None = None,
         depth += 1
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "piece"))), lambda p: p["piece"])
     found = costs.withColumn("path", F.array().cast("array<string>")) if pieces is None else costs.join(pieces.groupBy("origin", "destination").agg(F.flatten(ordered).alias("path")), ["origin", "destination"])
-    discard(data, *([cells] if own_cells else []))
+    discard(data, *own)
     found = found.select(F.col("origin").alias("__o"), F.col("destination").alias("__d"), "cost", "path")
     met = od.drop("cost", "path").join(found, (F.col("origin").cast("string") == F.col("__o")) & (F.col("destination").cast("string") == F.col("__d")), "left")
     return met.withColumn("path", F.coalesce("path", F.array().cast("array<string>"))).drop("__o", "__d")

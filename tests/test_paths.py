@@ -45,6 +45,27 @@ def test_GR2_cells_equal_whole(spark, weight, directed, by_place):
     assert got == want and sum(c is not None for c, _ in got.values()) >= 45
 
 
+@pytest.mark.parametrize("directed,block_nodes", [(False, 40), (True, 100)])
+def test_blocks_of_cells_equal_whole(spark, directed, block_nodes):
+    """Blocks of a cell and of several cells, so that paths cross their borders."""
+    rng = random.Random(9)
+    rows, name = grid(17, 13, lambda r: float(r.randint(1, 3)) if directed else r.random() + 0.1, 5)
+    edges = spark.createDataFrame([*rows, *[(f"r{e}", b, a, w + 1) for e, a, b, w in rows if directed]], LINK)
+    pairs = {(name(rng.randrange(17), rng.randrange(13)), name(rng.randrange(17), rng.randrange(13))) for _ in range(30)}
+    od = spark.createDataFrame(sorted(p for p in pairs if p[0] != p[1]), "origin string, destination string")
+    cells = paths.cells_in_order(edges.select(F.col("from_id").alias("node")).union(edges.select("to_id")), 40)
+    assert paths._blocks(cells, block_nodes).select("cell").distinct().count() > 1
+    key = lambda df: sorted((r.origin, r.destination, r.cost, r.path) for r in df.collect())
+    assert key(paths.cell_paths(od, edges, cells, directed, block_nodes)) == key(network.least_cost_paths(od, edges, directed))
+
+
+def test_cells_of_a_strip_follow_one_another(spark):
+    """Steps as long in y as in x: a strip's cells are whole rows, where the sides' own scales cut it along its length."""
+    nodes = spark.range(4 * 400).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("node"), (F.col("id") % 4).cast("double").alias("x"), F.floor(F.col("id") / 4).cast("double").alias("y"))
+    spans = paths.cells_by_place(nodes, 100).join(nodes, "node").groupBy("cell").agg((F.max("y") - F.min("y") + 1).alias("rows")).agg(F.count("*").alias("cells"), F.sum("rows").alias("rows")).first()
+    assert 12 <= spans.cells <= 20 and spans.rows < 400 + 10 * spans.cells
+
+
 def test_find_paths_goes_by_size(spark):
     rows, name = grid(6, 6, lambda r: float(r.randint(1, 3)))
     edges = spark.createDataFrame(rows, LINK)
