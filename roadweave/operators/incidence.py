@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed, whole
 
 #: Columns of costs of a path.
 COSTS = ("cost", "fuel", "time", "toll", "fare", "metres", "length")
@@ -110,13 +111,29 @@ def disrupted(candidates: DataFrame, capacity: DataFrame) -> DataFrame:
     return least.select("event", "od_id", out.alias("disrupted")).where("disrupted > 0")
 
 
+def disrupted_paths(paths: DataFrame, damaged: DataFrame, capacity: DataFrame, columns: list[str]) -> DataFrame:
+    """``disrupted`` of the paths' ``event_candidates``, with the paths' ``columns``; an od_id is one path.
+
+    The damaged links carry their capacity to the steps, and where they are few enough for every executor, no step is shuffled if the paths are parted by od_id.
+    """
+    hits = checkpointed(damaged.join(capacity, "e_id").groupBy("event", "e_id").agg(F.min("capacity").alias("capacity")).where("capacity IS NOT NULL"))
+    steps = paths.select("od_id", "flow", *columns, F.explode("path").alias("e_id")).join(whole(hits), "e_id")
+    least = steps.groupBy("event", "od_id", *columns).agg((F.first("flow") - F.min("capacity")).alias("disrupted"))
+    return least.select("event", "od_id", *columns, "disrupted").where("disrupted > 0")
+
+
 def path_index(paths: DataFrame) -> DataFrame:
     """A path written once: path_id (128 bits of its links' hash), path, and the number of trips on it."""
     return paths.groupBy(F.md5(F.to_json(F.struct("path"))).alias("path_id"), "path").agg(F.count("*").alias("n"), F.sum("flow").alias("flow"))
 
 
 def index_candidates(index: DataFrame, damaged: DataFrame) -> DataFrame:
-    """event, path_id, hits, path, n, flow: paths of the index that hold an event's damaged links, with those in the path's order, once each."""
-    links = index.select("path_id", F.posexplode(F.array_distinct("path")).alias("pos", "e_id"))
-    met = links.join(damaged, "e_id").groupBy("event", "path_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "e_id"))), lambda s: s["e_id"]).alias("hits"))
-    return met.join(index, "path_id").select("event", "path_id", "hits", "path", "n", "flow")
+    """event, path_id, hits, path, n, flow: paths of the index that hold an event's damaged links, with those in the path's order, once each.
+
+    A path goes along with its steps, which are shuffled only if the damaged links are too many for every executor.
+    """
+    damaged = checkpointed(damaged)
+    links = index.select("path_id", "path", "n", "flow", F.posexplode(F.array_distinct("path")).alias("pos", "e_id"))
+    hits = F.transform(F.array_sort(F.collect_list(F.struct("pos", "e_id"))), lambda s: s["e_id"])
+    met = links.join(whole(damaged), "e_id").groupBy("event", "path_id", "path").agg(hits.alias("hits"), F.first("n").alias("n"), F.first("flow").alias("flow"))
+    return met.select("event", "path_id", "hits", "path", "n", "flow")

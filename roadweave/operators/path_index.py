@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed, whole
 from . import incidence as inc
 
 #: Folders of the index, and tasks that write one: a link on very many paths is no task of its own.
@@ -40,9 +41,9 @@ def stored_candidates(spark: SparkSession, folder: str, damaged: DataFrame) -> D
     path is taken apart. Repeated and null links hit once or never.
     """
     meta = spark.read.schema("paths long, links long, buckets int").json(f"{folder}/meta").first()
-    asked = damaged.where("e_id IS NOT NULL").select("event", "e_id").distinct().withColumn("bucket", _bucket(F.col("e_id"), meta["buckets"]))
+    asked = checkpointed(damaged.where("e_id IS NOT NULL").select("event", "e_id").distinct().withColumn("bucket", _bucket(F.col("e_id"), meta["buckets"])))
     wanted = sorted(r["bucket"] for r in asked.select("bucket").distinct().collect())
     links = spark.read.schema("e_id string, path_id string, pos int, bucket int").parquet(f"{folder}/links").where(F.col("bucket").isin(wanted)) if meta["links"] else spark.createDataFrame([], "e_id string, path_id string, pos int, bucket int")
-    met = links.join(asked, ["bucket", "e_id"]).groupBy("event", "path_id").agg(F.array_sort(F.collect_list(F.struct("pos", "e_id"))).alias("x"))
+    met = links.join(whole(asked), ["bucket", "e_id"]).groupBy("event", "path_id").agg(F.array_sort(F.collect_list(F.struct("pos", "e_id"))).alias("x"))
     met = met.select("event", "path_id", F.transform("x", lambda s: s["e_id"]).alias("hits"))
     return met.join(spark.read.parquet(f"{folder}/paths"), "path_id").select("event", "path_id", "hits", "path", "n", "flow")

@@ -443,8 +443,8 @@ def path_index_candidates(s, d):
 def disrupted_edge_flow(s, d):
     paths = T.od_paths(s, d)
     cap = T.links(s, d).select("e_id", (F.col("capacity") / 1000).alias("capacity"))
-    lost = inc.disrupted(inc.event_candidates(paths, _damaged(s, d)), cap)
-    return lost.join(paths.select("od_id", "path"), "od_id").select("event", "disrupted", F.explode("path").alias("e_id")).groupBy("event", "e_id").agg(r(F.sum("disrupted"), 1).alias("edge_flow"))
+    lost = inc.disrupted_paths(paths, _damaged(s, d), cap, ["path"])
+    return lost.select("event", "disrupted", F.explode("path").alias("e_id")).groupBy("event", "e_id").agg(r(F.sum("disrupted"), 1).alias("edge_flow"))
 
 
 @query("commuter_county", "SELECT sn.n_regionkey AS origin, cn.n_regionkey AS destination, count(*)::BIGINT AS jobs FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey GROUP BY 1, 2")

@@ -334,7 +334,7 @@ def edge_totals_without_caps(s, d):
 def disrupted_pairs(s, d):
     paths = T.od_paths(s, d)
     cap = T.links(s, d).select("e_id", (F.col("capacity") / 1000).alias("capacity"))
-    lost = inc.disrupted(inc.event_candidates(paths, _damaged(s, d)), cap).join(paths.select("od_id", "origin", "destination"), "od_id")
+    lost = inc.disrupted_paths(paths, _damaged(s, d), cap, ["origin", "destination"])
     return inc.disrupted_by_pair(lost).withColumn("disrupted", r("disrupted"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry
+from ..session import whole
 
 
 def read_table(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -125,13 +126,18 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def od_paths(spark: SparkSession, d: str) -> DataFrame:
-    """od_id, origin, destination, flow, path: an order is a trip, its lines' suppliers are its links in order."""
+    """od_id, origin, destination, flow, path: an order is a trip, its lines' suppliers are its links in order.
+
+    Lines are shuffled once and as they are, before they become lists; where the links are few enough for every executor, the
+    paths stay parted by od_id.
+    """
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    lists = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("od_id")).agg(F.array_sort(F.collect_list(line)).alias("x"))
+    lines = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").repartition("l_orderkey")
+    lists = lines.groupBy(F.col("l_orderkey").alias("od_id")).agg(F.array_sort(F.collect_list(line)).alias("x"))
     paths = lists.select("od_id", F.transform("x", lambda s: F.concat(F.lit("e"), s["l_suppkey"])).alias("path"), F.element_at("x", -1)["l_suppkey"].alias("last"))
     orders = _t(spark, d, "orders").select(F.col("o_orderkey").alias("od_id"), F.concat(F.lit("n"), "o_custkey").alias("origin"), (F.col("o_totalprice") / 1000).alias("flow"))
     ends = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("last"), F.concat(F.lit("z"), "s_nationkey").alias("destination"))
-    return orders.join(paths, "od_id").join(ends, "last").select("od_id", "origin", "destination", "flow", "path")
+    return orders.join(paths, "od_id").join(whole(ends), "last").select("od_id", "origin", "destination", "flow", "path")
 
 
 def links(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadweave.functions import cost, damage, keys
 from roadweave.operators import demand, exposure, network, report, spatial
+from roadweave.operators import incidence as inc
 from roadweave.plans import assignment
 from roadweave.sources import tables
 
@@ -215,3 +216,31 @@ def test_report_and_exposure_small(spark):
     assert [r.c for r in df.orderBy("k").select(report.shown_cost(F.col("v")).alias("c")).collect()] == ["$1.0K", "$2.5M", "$12.0"]
     one = df.select(exposure.closed(F.col("v"), F.lit(0.0)).alias("a"), exposure.closed(F.col("v"), F.lit(None)).alias("b"), exposure.damaged([], F.lit(0.1)).alias("c"), demand.half_even(F.lit(2.5)).alias("d")).first()
     assert (one.a, one.b, one.c, one.d) == (0.0, 1e3, True, 2)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+@pytest.mark.parametrize("name,most", [("disrupted_pairs", 4), ("disrupted_edge_flow", 3), ("path_index_candidates", 3), ("stored_index_candidates", 3)])
+def test_steps_are_not_shuffled(spark, name, most):
+    """What meets the steps of paths goes to them, where it is a table of links; Spark knows no sizes here, as of large tables."""
+    from roadweave.plans.queries import QUERIES
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert exchanges(QUERIES[name](spark, "/root/testdata/sf0.001")) <= most
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("rows", [0, 1000])
+def test_disrupted_paths_are_the_candidates(spark, monkeypatch, rows):
+    from roadweave import session
+
+    monkeypatch.setattr(session, "WHOLE_ROWS", rows)
+    paths = spark.createDataFrame([(i, float(i % 9), f"o{i % 3}", [f"e{(i * k) % 11}" for k in range(i % 5)]) for i in range(200)], "od_id long, flow double, origin string, path array<string>")
+    damaged = spark.createDataFrame([("a", "e1"), ("a", "e1"), ("a", "e4"), ("b", "e4"), ("b", "e0"), ("b", None), ("c", "e9"), ("d", "e77")], "event string, e_id string")
+    cap = spark.createDataFrame([("e1", 2.0), ("e4", 5.0), ("e4", 3.0), ("e9", None)], "e_id string, capacity double")
+    want = sorted(map(tuple, inc.disrupted(inc.event_candidates(paths, damaged), cap).join(paths.select("od_id", "origin"), "od_id").select("event", "od_id", "origin", "disrupted").collect()))
+    assert sorted(map(tuple, inc.disrupted_paths(paths, damaged, cap, ["origin"]).collect())) == want and len(want) > 10
