@@ -30,15 +30,46 @@ def split_line(points: list[tuple[float, float]], x0: float, y0: float, dx: floa
     return out
 
 
+def split_segments(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, x0: float, y0: float, dx: float, dy: float) -> tuple[np.ndarray, ...]:
+    """(segment, column, row, length) of each piece of many segments, by ``split_line``'s sums, in the order of segments and along each."""
+    seg, at = [np.arange(len(ax))] * 2, [np.zeros(len(ax)), np.ones(len(ax))]
+    for a, b, o, d in ((ax, bx, x0, dx), (ay, by, y0, dy)):
+        own = np.flatnonzero(a != b)
+        ends = np.sort(np.stack([(a[own] - o) / d, (b[own] - o) / d]), axis=0)
+        low = np.ceil(ends[0]).astype(np.int64)
+        n = np.maximum(np.floor(ends[1]).astype(np.int64) + 1 - low, 0)
+        s = np.repeat(own, n)
+        k = np.repeat(low, n) + np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
+        seg.append(s)
+        at.append(((o + k * d) - a[s]) / (b[s] - a[s]))
+    s, t = np.concatenate(seg), np.clip(np.concatenate(at), 0, 1)
+    order = np.lexsort((t, s))
+    s, t = s[order], t[order]
+    own = np.flatnonzero((s[1:] == s[:-1]) & (t[1:] != t[:-1]))
+    s, m, part = s[own], (t[own + 1] + t[own]) / 2, t[own + 1] - t[own]
+    n = np.hypot(bx[s] - ax[s], by[s] - ay[s]) * part
+    col, row = np.floor((ax[s] + m * (bx[s] - ax[s]) - x0) / dx), np.floor((ay[s] + m * (by[s] - ay[s]) - y0) / dy)
+    kept = n > 0
+    return s[kept], col[kept].astype(np.int64), row[kept].astype(np.int64), n[kept]
+
+
 def intersect_grid(links: DataFrame, cells: DataFrame, x0: float, y0: float, dx: float, dy: float) -> DataFrame:
     """e_id, split_id, col, row, length, value: each link's pieces with their cells' values (null beyond the grid)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(e, i, c, r, n) for e, v in zip(pdf["e_id"], pdf["vertices"], strict=True) for i, (c, r, n) in enumerate(split_line([(p["x"], p["y"]) for p in v], x0, y0, dx, dy))]
-            yield pd.DataFrame(rows, columns=["e_id", "split_id", "col", "row", "length"])
-
-    pieces = links.select("e_id", "vertices").mapInPandas(run, "e_id string, split_id int, col int, row int, length double")
+            xs, ys = ([np.asarray(v, float) for v in pdf[c]] for c in ("xs", "ys"))
+            if not xs:
+                continue
+            line = np.repeat(np.arange(len(xs)), [max(len(v) - 1, 0) for v in xs])
+            cut = lambda vs, part: np.concatenate([v[part] for v in vs])
+            first, last = slice(None, -1), slice(1, None)
+            s, col, row, n = split_segments(cut(xs, first), cut(ys, first), cut(xs, last), cut(ys, last), x0, y0, dx, dy)
+            own = line[s]
+            yield pd.DataFrame({"e_id": pdf["e_id"].to_numpy()[own], "split_id": np.arange(len(own)) - np.searchsorted(own, own), "col": col, "row": row, "length": n})
+
+    of = lambda c: F.transform("vertices", lambda p: p[c].cast("double")).alias(c + "s")
+    pieces = links.select("e_id", of("x"), of("y")).mapInPandas(run, "e_id string, split_id int, col int, row int, length double")
     return pieces.join(cells.select("col", "row", "value"), ["col", "row"], "left")
 
 
