@@ -114,14 +114,27 @@ def path_costs(paths: DataFrame, links: DataFrame, vehicle: str) -> DataFrame:
     links: e_id, metres, speed, toll. Buses and trains pay their waiting once a trip, in ``time``, and a fare by the path's
     length; other vehicles pay for fuel and operation. An empty path costs nothing; links without a speed count nothing.
     """
+    of = {c: f"{c}_{vehicle}" for c in COST_PARTS}
+    return paths_costs(paths, links, [vehicle]).withColumnsRenamed({v: k for k, v in of.items()})
+
+
+#: What a unit of flow on a path costs.
+COST_PARTS = ("time", "fuel", "toll", "fare")
+
+
+def paths_costs(paths: DataFrame, links: DataFrame, vehicles: list[str]) -> DataFrame:
+    """``path_costs`` of several vehicles in one pass over the paths' steps: time_car, fuel_car and so on."""
     miles = F.col("metres") * F.lit(cost_of.METRE_TO_MILE)
-    time, fuel = cost_of.operating_cost(miles, F.try_divide(miles, F.col("speed")), vehicle)
-    each = links.select("e_id", "metres", time.alias("time"), fuel.alias("fuel"), "toll")
-    sums = inc.path_cost(inc.incidence(paths.select("od_id", "flow", "path")), each, ["metres", "time", "fuel", "toll"])
-    fare = dict(zip(("psv", "rail"), cost_of.fares(F.col("metres") / 1000), strict=True)).get(vehicle, F.lit(0.0))
-    sums = sums.withColumns({"fare": fare, "time": F.col("time") + cost_of.waiting_cost(vehicle)}).drop("metres")
-    parts = ("time", "fuel", "toll", "fare")
-    return paths.join(sums, "od_id", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in parts})
+    each, sums = ["metres", "toll"], {}
+    for v in vehicles:
+        time, fuel = cost_of.operating_cost(miles, F.try_divide(miles, F.col("speed")), v)
+        each += [time.alias(f"time_{v}"), fuel.alias(f"fuel_{v}")]
+        fare = dict(zip(("psv", "rail"), cost_of.fares(F.col("metres") / 1000), strict=True)).get(v, F.lit(0.0))
+        sums |= {f"time_{v}": F.col(f"time_{v}") + cost_of.waiting_cost(v), f"fuel_{v}": F.col(f"fuel_{v}"), f"toll_{v}": F.col("toll"), f"fare_{v}": fare}
+    each = links.select("e_id", *each)
+    steps = inc.path_cost(inc.incidence(paths.select("od_id", "flow", "path")), each, [c for c in each.columns if c != "e_id"])
+    steps = steps.select("od_id", *[c.alias(k) for k, c in sums.items()])
+    return paths.join(steps, "od_id", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in sums})
 
 
 def reroute(base: Assignment, closed: DataFrame) -> tuple[float, Assignment | None]:

@@ -59,12 +59,10 @@ def assignment_costs(s, d):
     steps = inc.incidence(p)
     done = inc.assigned(p, inc.od_adjustment(steps, inc.edge_totals(steps, links)))
     speeds = network.edge_init(links).select("e_id", "metres", F.col("initial_speed").alias("speed"), "toll")
-    out = None
-    for v in ("car", "ogv", "psv", "rail"):
-        sums = assignment.path_costs(done, speeds, v).agg(*[r(F.sum(F.col("assigned") * F.col(c)), 0).alias(c) for c in ("time", "fuel", "toll", "fare")])
-        row = sums.select(F.lit(v).alias("vehicle"), "*")
-        out = row if out is None else out.union(row)
-    return out
+    vehicles, parts = ["car", "ogv", "psv", "rail"], assignment.COST_PARTS
+    sums = assignment.paths_costs(done, speeds, vehicles).agg(*[r(F.sum(F.col("assigned") * F.col(f"{c}_{v}")), 0).alias(f"{c}_{v}") for v in vehicles for c in parts])
+    rows = F.array(*[F.struct(F.lit(v).alias("vehicle"), *[F.col(f"{c}_{v}").alias(c) for c in parts]) for v in vehicles])
+    return sums.select(F.inline(rows))
 
 
 @query(

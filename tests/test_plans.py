@@ -222,7 +222,7 @@ def exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
 
-@pytest.mark.parametrize("name,most", [("disrupted_pairs", 4), ("disrupted_edge_flow", 3), ("path_index_candidates", 3), ("stored_index_candidates", 3)])
+@pytest.mark.parametrize("name,most", [("disrupted_pairs", 4), ("disrupted_edge_flow", 3), ("path_index_candidates", 3), ("stored_index_candidates", 3), ("assignment_costs", 15)])
 def test_steps_are_not_shuffled(spark, name, most):
     """What meets the steps of paths goes to them, where it is a table of links; Spark knows no sizes here, as of large tables."""
     from roadweave.plans.queries import QUERIES
@@ -244,3 +244,22 @@ def test_disrupted_paths_are_the_candidates(spark, monkeypatch, rows):
     cap = spark.createDataFrame([("e1", 2.0), ("e4", 5.0), ("e4", 3.0), ("e9", None)], "e_id string, capacity double")
     want = sorted(map(tuple, inc.disrupted(inc.event_candidates(paths, damaged), cap).join(paths.select("od_id", "origin"), "od_id").select("event", "od_id", "origin", "disrupted").collect()))
     assert sorted(map(tuple, inc.disrupted_paths(paths, damaged, cap, ["origin"]).collect())) == want and len(want) > 10
+
+
+def test_segments_are_split_as_lines():
+    """Many segments in one pass of arrays give the pieces of each alone: on borders, upright, level, without length."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    ends = np.concatenate([rng.uniform(-5, 9, (300, 4)), rng.integers(-3, 6, (200, 4)) / 2, [[1, 1, 1, 1], [0, 0, 3, 0], [2, 5, 2, -1]]])
+    got = [[] for _ in ends]
+    for s, c, q, n in zip(*(a.tolist() for a in spatial.split_segments(*ends.T, -1.0, 0.5, 0.7, 1.0))):
+        got[s].append((c, q, n))
+    assert got == [spatial.split_line([(a, b), (c, d)], -1.0, 0.5, 0.7, 1.0) for a, b, c, d in ends.tolist()]
+
+
+def test_lines_of_grid_with_nulls_and_points(spark):
+    lines = spark.createDataFrame([("a", [(0.5, 0.5), (2.5, 0.5), (2.5, 1.5)]), ("b", [(0.1, 0.1)]), ("c", []), ("d", [(3.0, 0.2), (3.5, 0.2)])], "e_id string, vertices array<struct<x: double, y: double>>")
+    cells = spark.createDataFrame([(0, 0, 5.0)], "col int, row int, value double")
+    got = sorted((r.e_id, r.split_id, r.col, r.row, r.length, r.value) for r in spatial.intersect_grid(lines, cells, 0, 0, 1, 1).collect())
+    assert got == [("a", 0, 0, 0, 0.5, 5.0), ("a", 1, 1, 0, 1.0, None), ("a", 2, 2, 0, 0.5, None), ("a", 3, 2, 0, 0.5, None), ("a", 4, 2, 1, 0.5, None), ("d", 0, 3, 0, 0.5, None)]
