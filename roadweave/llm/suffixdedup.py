@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import CHUNK_BYTES, bounded_batches, checkpointed, join_by_hot_key, text_slices
+from ._common import CHUNK_BYTES, bounded_batches, checkpointed, join_by_hot_key, stored, text_slices
 from .suffix_array import permuted_prefixes, suffix_array
 
 #: Bytes of a string that counts as repeated, and of the grams from which a string's anchor is picked.
@@ -116,8 +116,9 @@ SEEN = 1 << 19
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """anchor, unit (a hash of the bytes that its strings span), doc, sub, place (where that starts, times 256, and its size), parts.
+    """anchor, unit (a hash of the bytes that its strings span), parts, place (where that starts, times 256, and its size), doc, sub.
 
+    Neighbouring rows mostly have one doc, sub and upper half of a place: as they stand side by side they take little room in the shuffle.
     A unit that an earlier row of the same task has already is a repeat for certain: its place is given inverted. So of a
     unit that is everywhere a task sends about one row to the task of its anchor.
     """
@@ -151,7 +152,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # What is known to repeat goes through under an anchor of chance, so a unit that is everywhere makes no hot task.
                 chance = ((docs[again] ^ sub[again]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (place[again].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
                 h[again], place[again] = chance, ~place[again]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), unit.view(np.int64), docs, sub, place, parts.view(np.int64))], names=["anchor", "unit", "doc", "sub", "place", "parts"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), unit.view(np.int64), parts.view(np.int64), place, docs, sub)], names=["anchor", "unit", "parts", "place", "doc", "sub"])
 
 
 def _repeats(anchor: np.ndarray, unit: np.ndarray, doc: np.ndarray, sub: np.ndarray, place: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -376,17 +377,22 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # Only a table in which an id stands twice needs the texts' hashes; else they are 0, which takes no room.
     repeated = df.select(F.col(id_col).cast("long").alias("doc")).where("doc IS NOT NULL").groupBy("doc").count().where("count > 1").limit(1)
-    sub = F.lit(0).cast("long") if repeated.isEmpty() else F.xxhash64(text)
+    once, none = repeated.isEmpty(), F.lit(0).cast("long")
+    sub = none if once else F.xxhash64(text)
+    # The constant is no key: the optimizer folds it in a join's keys, which then are not those that the texts were dealt by,
+    # and all texts would be shuffled again.
+    key = ["doc"] if once else ["doc", "sub"]
     docs = df.select(F.col(id_col).cast("long").alias("doc"), sub.alias("sub"), text.cast("binary").alias("text")).where("doc IS NOT NULL")
-    rows = docs.mapInArrow(_anchor_rows, "anchor long, unit long, doc long, sub long, place long, parts long")
+    rows = docs.mapInArrow(_anchor_rows, "anchor long, unit long, parts long, place long, doc long, sub long")
     sorted_rows = rows.repartition("anchor").sortWithinPartitions("anchor", "unit", "doc", "sub", "place").select("anchor", "unit", "doc", "sub", "place", "parts")
-    found = checkpointed(sorted_rows.mapInArrow(_spans_and_requests(max(hot_units, HELD_UNITS)), "anchor long, doc long, sub long, start long, stop long"))
+    found = stored(sorted_rows.mapInArrow(_spans_and_requests(max(hot_units, HELD_UNITS)), "anchor long, doc long, sub long, start long, stop long"))
     spans = found.where("anchor IS NULL").select("doc", "sub", "start", "stop")
     asked = found.where("anchor IS NOT NULL")
     hot = checkpointed(asked.groupBy("anchor").count().where(F.col("count") > hot_units).select("anchor"))
-    by_doc = docs.repartition("doc", "sub")
-    requests = asked.groupBy("doc", "sub").agg(F.collect_list(F.struct("anchor", "start", "stop")).alias("units"))
-    units = by_doc.join(requests, ["doc", "sub"]).select("text", "doc", "sub", "units").mapInArrow(_cut_units, "anchor long, doc long, sub long, start long, bytes binary")
+    by_doc = docs.select(*key, "text").repartition(*key)
+    requests = asked.groupBy(*key).agg(F.collect_list(F.struct("anchor", "start", "stop")).alias("units"))
+    # Lists are larger than the stored rows, whose size would have them broadcast.
+    units = by_doc.join(requests.hint("merge"), key).select("text", "doc", none.alias("sub") if once else "sub", "units").mapInArrow(_cut_units, "anchor long, doc long, sub long, start long, bytes binary")
     common = units
     if not hot.isEmpty():
         common = units.join(hot, "anchor", "left_anti")
@@ -396,8 +402,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         spans = spans.union(later.select("doc", "sub", "start", (F.col("start") + LENGTH).alias("stop")))
     shards = common.select("anchor", "doc", "sub", "start", "bytes").repartition("anchor").sortWithinPartitions("anchor")
     spans = spans.union(shards.mapInArrow(_shard_spans, "doc long, sub long, start long, stop long"))
-    removals = spans.groupBy("doc", "sub").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    out = by_doc.join(removals, ["doc", "sub"], "left").select("doc", "text", "spans").mapInArrow(_cut_text, "doc long, n_bytes long, n_removed long, spans array<struct<start: long, stop: long>>, kept binary")
+    removals = spans.groupBy(*key).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    out = by_doc.join(removals, key, "left").select("doc", "text", "spans").mapInArrow(_cut_text, "doc long, n_bytes long, n_removed long, spans array<struct<start: long, stop: long>>, kept binary")
     return out.withColumnRenamed("doc", id_col)
 
 

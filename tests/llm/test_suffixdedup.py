@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -134,3 +135,18 @@ def test_units_seen_before_are_told_by_the_task(monkeypatch, slots):
     rows = [r for b in suffixdedup._anchor_rows(batch(i) for i in (5, 6, 4, 7)) for r in b.to_pylist()]
     told = {(r["doc"], r["place"] < 0) for r in rows}
     assert (5, True) not in told and (4, True) not in told and (slots == 1 or {(6, True), (7, True)} <= told)
+
+
+@pytest.mark.parametrize("ids", [[1, 2], [1, 1]])
+def test_texts_are_shuffled_once(spark, ids):
+    """By the plan: what the texts are dealt by is what both joins ask for, so nothing is dealt again on top of it."""
+    text = "some words that go on for more than one hundred bytes, so that there is a string to find in it, and then some"
+    df = spark.createDataFrame([(i, text + "." * n) for n, i in enumerate(ids)], "doc_id long, text string")
+    out = suffixdedup.remove_repeats(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    lines = [line.strip(" :+-*") for line in plan.splitlines()]
+    exchanges = [i for i, line in enumerate(lines) if line.startswith("Exchange") and "ENSURE_REQUIREMENTS" in line]
+    assert exchanges and not [lines[i + 1] for i in exchanges if "REPARTITION_BY_COL" in lines[i + 1]]
+    texts = {re.sub(r"#\d+L?|\[plan_id=\d+\]", "", " ".join(lines[i : i + 3])) for i, line in enumerate(lines) if "REPARTITION_BY_COL" in line and "(doc" in line}
+    assert len(texts) == 1
+    assert sorted(r.n_removed for r in out.collect()) == [0, len(text)]
