@@ -17,6 +17,8 @@ from .network import Network, least_cost_paths
 
 #: Links up to which a network goes whole to every worker (some 60 bytes each and its names), nodes of a cell, nodes of the cells of a task, its origins.
 WHOLE_LINKS, CELL_NODES, BLOCK_NODES, ORIGINS = 2_000_000, 20_000, 200_000, 64
+#: Nodes of about which a task that numbers cells is, at least.
+RANGE_NODES = 200_000
 
 
 def find_paths(od: DataFrame, edges: DataFrame, directed: bool = False, needs: bool = False, whole_links: int = WHOLE_LINKS) -> DataFrame:
@@ -27,11 +29,19 @@ def find_paths(od: DataFrame, edges: DataFrame, directed: bool = False, needs: b
     return out.withColumn("needs", F.lit(None).cast("array<string>")) if needs else out
 
 
+def _runs(nodes: DataFrame, count: int, size: int, *order: str) -> DataFrame:
+    """node, cell: runs of ``size`` nodes in that order; a task cuts many, as the driver samples rows for each range of a shuffle."""
+    ranged = nodes.repartitionByRange(max(1, -(-count // max(size, RANGE_NODES))), *order).sortWithinPartitions(*order)
+    # The range in the upper bits, then the row's place in it.
+    at = F.monotonically_increasing_id()
+    place = at.bitwiseAND(F.lit((1 << 33) - 1))
+    return stored(ranged.select("node", (at - place + F.floor(place / size)).alias("cell")))
+
+
 def cells_in_order(nodes: DataFrame, size: int = CELL_NODES) -> DataFrame:
     """node, cell: runs of about ``size`` nodes in the order of their names, for names that say where a node lies."""
     nodes = nodes.select("node").where("node IS NOT NULL").distinct()
-    count = nodes.count()
-    return stored(nodes.repartitionByRange(max(1, -(-count // size)), "node").withColumn("cell", F.spark_partition_id()))
+    return _runs(nodes, nodes.count(), size, "node")
 
 
 def cells_by_place(nodes: DataFrame, size: int = CELL_NODES) -> DataFrame:
@@ -49,8 +59,7 @@ def cells_by_place(nodes: DataFrame, size: int = CELL_NODES) -> DataFrame:
     for bit in range(16):
         for c, up in ((x, 0), (y, 1)):
             code = code.bitwiseOR(F.shiftleft(F.shiftright(c, bit).bitwiseAND(F.lit(1)), 2 * bit + up))
-    ranged = nodes.select("node", code.alias("code")).repartitionByRange(max(1, -(-n // size)), "code", "node")
-    return stored(ranged.select("node", F.spark_partition_id().alias("cell")))
+    return _runs(nodes.select("node", code.alias("code")), n, size, "code", "node")
 
 
 def _blocks(cells: DataFrame, size: int) -> DataFrame:
@@ -111,12 +120,18 @@ HOW = "p_cost double, p_edge string, p_node string, edge string"
 _LABEL = ["cost", "p_cost", "p_edge", "p_node", "edge"]
 
 
+def _shuffled(cells: DataFrame) -> DataFrame:
+    """A table of nodes that joins never send whole, through the driver: names in order take a byte or two each in its files, by which Spark judges it, and many times that in memory."""
+    return cells.hint("merge")
+
+
 def _cell_rows(edges: DataFrame, cells: DataFrame, directed: bool) -> DataFrame:
     """cell, data: each cell's ``Cell``, pickled; stored."""
     arcs = edges.select(F.col("e_id").cast("string").alias("e_id"), F.col("from_id").cast("string").alias("tail"), F.col("to_id").cast("string").alias("head"), F.col("weight").cast("double").alias("weight"))
     arcs = arcs.where("tail IS NOT NULL AND head IS NOT NULL AND weight IS NOT NULL")
     if not directed:
         arcs = arcs.union(arcs.select("e_id", "head", "tail", "weight"))
+    cells = _shuffled(cells)
     arcs = arcs.join(cells.select(F.col("node").alias("tail"), "cell"), "tail").join(cells.select(F.col("node").alias("head"), F.col("cell").alias("head_cell")), "head")
 
     def build(table: pa.Table) -> pa.Table:
@@ -204,7 +219,7 @@ def cell_paths(od: DataFrame, edges: DataFrame, cells: DataFrame | None = None,
     own.append(cells)
     data = _cell_rows(edges, cells, directed)
     pairs = od.select(F.col("origin").cast("string").alias("origin"), F.col("destination").cast("string").alias("destination")).where("origin <> destination").distinct()
-    ends = checkpointed(pairs.join(cells.withColumnsRenamed({"node": "destination"}), "destination"))
+    ends = checkpointed(pairs.join(_shuffled(cells.withColumnsRenamed({"node": "destination"})), "destination"))
     origins = ends.select("origin").distinct().count()
     parts = max(1, -(-origins // ORIGINS), min(origins, od.sparkSession.sparkContext.defaultParallelism))
     infinite = F.lit(math.inf)
@@ -213,7 +228,7 @@ def cell_paths(od: DataFrame, edges: DataFrame, cells: DataFrame | None = None,
         least = F.min(F.struct(*_LABEL, "source")).alias("m")
         return sent.groupBy("origin", "node", F.col("to").alias("cell")).agg(least).select("origin", "node", "cell", "m.*")
 
-    start = ends.select("origin").distinct().join(cells.select(F.col("node").alias("origin"), F.col("cell").alias("to")), "origin")
+    start = ends.select("origin").distinct().join(_shuffled(cells.select(F.col("node").alias("origin"), F.col("cell").alias("to"))), "origin")
     none = F.lit(None).cast("string")
     first = start.select("origin", F.col("origin").alias("node"), F.lit(None).cast("int").alias("source"), "to", F.lit(0.0).alias("cost"), F.lit(-1.0).alias("p_cost"), F.lit("").alias("p_edge"), none.alias("p_node"), F.lit("").alias("edge"))
     sent = checkpointed(first)

@@ -66,6 +66,26 @@ def test_cells_of_a_strip_follow_one_another(spark):
     assert 12 <= spans.cells <= 20 and spans.rows < 400 + 10 * spans.cells
 
 
+def test_cells_are_cut_within_ranges(spark):
+    """Many small cells are no ranges of a shuffle each, of which the driver would hold samples: a task numbers those of its own."""
+    nodes = spark.range(400).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("node"), F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"))
+    for cells in (paths.cells_by_place(nodes, 2), paths.cells_in_order(nodes, 2)):
+        assert len(cells.inputFiles()) <= 2
+        rows = [r.cell for r in cells.orderBy("node").collect()]
+        assert rows == sorted(rows) and rows[::2] == rows[1::2] and len(set(rows)) == 200
+
+
+def test_tables_of_nodes_are_not_sent_whole(spark, monkeypatch):
+    """Joins with the cells, whose files are much shorter than their rows in memory, do not pass them through the driver."""
+    rows, _ = grid(5, 4, lambda r: 1.0)
+    edges = spark.createDataFrame(rows, LINK)
+    cells = paths.cells_in_order(edges.select(F.col("from_id").alias("node")).union(edges.select("to_id")), 5)
+    plans = []
+    monkeypatch.setattr(paths, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    assert paths._cell_rows(edges, cells, False).count() == 4
+    assert plans[0].count("SortMergeJoin") >= 2 and "BroadcastHashJoin" not in plans[0]
+
+
 def test_find_paths_goes_by_size(spark):
     rows, name = grid(6, 6, lambda r: float(r.randint(1, 3)))
     edges = spark.createDataFrame(rows, LINK)
